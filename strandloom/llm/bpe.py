@@ -58,6 +58,7 @@ class BpeCodec:
         for r, (a, b) in enumerate(model["merges"]):
             self.rank[self.vocab[a], self.vocab[b]] = r, self.vocab[a + b]
         self.longest = max(map(len, self.vocab))
+        self.known = Memo(self._raw_words)
         self._tables()
 
     def _tables(self) -> None:
@@ -93,9 +94,7 @@ class BpeCodec:
             return list(ids), None
         ids, after, before, alive = list(ids), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         rank, last = self.rank, None
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := rank.get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        heap = [(r, i, new, a, b) for r, new, i, a, b in heap]
+        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := rank.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
         while heap:
             _, i, new, a, b = heapq.heappop(heap)
@@ -178,26 +177,26 @@ class BpeCodec:
 
     def many(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts, special tokens in them included."""
-        parts: list[tuple[int, int]] = []  # (text, special id) or (text, -1 - index of a word)
-        words: dict[str, int] = {}
-        letters = self.letters
-        for t, text in enumerate(texts):
+        parts: list[list] = [[] for _ in texts]  # special ids, and words
+        words: set[str] = set()
+        for own, text in zip(parts, texts, strict=True):
             for piece in self.special_cut.split(text) if self.special_cut and "<" in text else (text,):
                 if piece in self.special:
-                    parts.append((t, self.special[piece]))
+                    own.append(self.special[piece])
                     continue
                 plain = piece.lower() if piece.isascii() else self.normal(piece)
-                for w in self.pattern.findall(plain):
-                    coded = w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode("utf-8", "replace")])
-                    parts.append((t, -1 - words.setdefault(coded, len(words))))
-        ids = self.words(list(words))
-        out: list[list[int]] = [[] for _ in texts]
-        for t, x in parts:
-            if x >= 0:
-                out[t].append(x)
-            else:
-                out[t].extend(ids[-1 - x])
-        return out
+                found = [plain] if plain.isascii() and plain.isalpha() else self.pattern.findall(plain)
+                own += found
+                words.update(found)
+        known = self.known
+        known.turn()
+        known.fill({w for w in words if w not in known})
+        return [[i for p in own for i in (known[p] if type(p) is str else (p,))] for own in parts]
+
+    def _raw_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words as the pattern finds them."""
+        letters = self.letters
+        return self.words([w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode("utf-8", "replace")]) for w in words])
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by blanks, unknown ids left out: the file names no decoder."""

@@ -28,23 +28,42 @@ def chunks(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """What chunks were turned into; emptied when it holds ``most`` of them, so memory is bounded."""
+    """What chunks were turned into, in two generations of at most ``most`` entries, so memory is bounded.
+
+    When the young one is full it becomes the old one; what is used again moves back.
+    """
 
     def __init__(self, many: callable, most: int = 200_000):
         super().__init__()
-        self.many, self.most = many, most
+        self.many, self.most, self.old = many, most, {}
 
-    def all(self, texts: list[str]) -> list[list]:
-        """For each text, the values of its chunks."""
+    def turn(self) -> None:
         if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
-        cut = [chunks(t) for t in texts]
-        get = self.get
-        out = [[get(c) for c in cs] for cs in cut]
-        new = list({c for cs, vs in zip(cut, out, strict=True) if None in vs for c, v in zip(cs, vs, strict=True) if v is None})
+
+    def fill(self, keys: set) -> None:
+        """Makes the values of ``keys`` available."""
+        old = self.old
+        new = []
+        for k in keys:
+            v = old.get(k)
+            if v is None:
+                new.append(k)
+            else:
+                self[k] = v
         if new:
             self.update(zip(new, self.many(new), strict=True))
+
+    def all(self, texts: list[str]) -> list[list]:
+        """For each text, the values of its chunks."""
+        self.turn()
+        cut = [chunks(t) for t in texts]
+        out = [list(map(self.get, cs)) for cs in cut]
+        missing = {c for cs, vs in zip(cut, out, strict=True) if None in vs for c, v in zip(cs, vs, strict=True) if v is None}
+        if missing:
+            self.fill(missing)
             for i, vs in enumerate(out):
                 if None in vs:
-                    out[i] = [self[c] for c in cut[i]]
+                    out[i] = list(map(self.__getitem__, cut[i]))
         return out
