@@ -120,7 +120,7 @@ def _descend(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", most_rows: int = 4000, bits: int = 14, threshold: float = 0.5, rounds: int = 80, penalty: float = 1e-6) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", most_rows: int = 1500, bits: int = 14, threshold: float = 0.5, rounds: int = 150, penalty: float = 1e-6) -> QualityModel:
     """Trains on about ``most_rows`` labelled rows, whole texts, chosen by a hash of the id."""
     small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.min("y").alias("y"))
@@ -153,19 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     if len(set(y)) < 2:
         p = float(np.clip(y.mean() if len(y) else 1.0, 1e-6, 1 - 1e-6))
         return QualityModel(np.zeros((_KINDS, 1 << bits), np.float32), 0.0, 0.0, float(np.log(p / (1 - p))), bits, threshold)
-    size = [len(x) // 4 for x in rows["cols"]]
-    owner = np.repeat(np.arange(len(y)), size)
-    cols = np.frombuffer(b"".join(rows["cols"]), np.int32).astype(np.int64)
-    vals = np.frombuffer(b"".join(rows["vals"]), np.float32).astype(float)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) // 4 for x in rows["cols"]])
+    cols = np.frombuffer(b"".join(rows["cols"]), np.int32)
+    vals = np.frombuffer(b"".join(rows["vals"]), np.float32)
+    del rows
     test = np.arange(len(y)) % 4 == 3
     if len(set(y[~test])) < 2 or len(set(y[test])) < 2:
         test[:] = False
     train = ~test[owner]
     usual = np.sqrt(np.bincount(cols[train], vals[train], width) / max(1, (~test).sum()) + 1e-6)
-    scaled = vals / usual[cols]
-    new = np.cumsum(~test) - 1
-    w, b = _descend(new[owner[train]], cols[train], scaled[train], y[~test], width, rounds, penalty)
-    z = np.bincount(owner, scaled * w[cols], len(y)) + b
+    vals = (vals / usual[cols]).astype(np.float32)
+    new = (np.cumsum(~test) - 1).astype(np.int32)
+    w, b = _descend(new[owner[train]], cols[train], vals[train], y[~test], width, rounds, penalty)
+    z = np.bincount(owner, vals * w[cols], len(y)) + b
     held = test if test.any() else ~test
     slope, shift = _platt(z[held], y[held])
     return QualityModel((w / usual).astype(np.float32).reshape(_KINDS, -1), float(b), slope, shift, bits, threshold)
