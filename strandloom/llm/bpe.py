@@ -15,18 +15,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .chunks import Memo, default_path
-from .common import small_batches, steps
+from .common import mapped
 
 _FREE = np.int64(1) << 40  # rank of what no merge makes
 
@@ -219,26 +217,15 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
 
     Executors read ``path`` themselves; by default, the public vocabulary of the installed package.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__t"))
-    names = [f"k{i}" for i in range(len(keep))]
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rows.schema.fields, strict=False))
-    out = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(path or default_path())
-        for b in batches:
-            texts = [t or "" for t in b.column("__t").to_pylist()]
-            for lo, hi in steps([len(t) for t in texts]):
-                got = memo.all(texts[lo:hi])
-                ids, decoded = [" ".join([v[0] for v in vs]) for vs in got], [" ".join([v[1] for v in vs]) for vs in got]
-                keys = [c.slice(lo, hi - lo) for c in b.columns[:-1]]
-                if digests:
-                    made = [pa.array([sum([v[2] for v in vs]) for vs in got], pa.int64()), pa.array(list(map(sha, ids)), pa.string()), pa.array(list(map(sha, decoded)), pa.string())]
-                else:
-                    made = [pa.array([np.array(x.split(), np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays([*keys, *made], [*names, *out])
-
-    kinds = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return rows.toDF(*names, "__t").mapInArrow(run, f"{schema}, {kinds}").toDF(*keep, *out)
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        got = _memo(path or default_path()).all([t or "" for t in texts])
+        ids, decoded = [" ".join([v[0] for v in vs]) for vs in got], [" ".join([v[1] for v in vs]) for vs in got]
+        if digests:
+            return [pa.array([sum([v[2] for v in vs]) for vs in got], pa.int64()), pa.array(list(map(sha, ids)), pa.string()), pa.array(list(map(sha, decoded)), pa.string())]
+        return [pa.array([np.array(x.split(), np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+
+    if digests:
+        return mapped(docs, text, list(keep), "long, string, string", ["n_tokens", "ids_sha256", "decoded_sha256"], run)
+    return mapped(docs, text, list(keep), "array<int>, string", ["ids", "decoded"], run)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step looks at (a single longer text is its own step).
@@ -51,6 +52,29 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
 
 
+def mapped(docs: DataFrame, text: str, keep: list[str], made: str, names: list[str], run: callable) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and what ``run`` makes of each text.
+
+    ``run`` takes a list of texts (None for nulls) and returns one Arrow array for each of
+    ``names``, whose types are ``made``.  Columns go through by position, whatever they are called.
+    """
+    small_batches(docs.sparkSession)
+    source = docs.select(*[docs[f"`{c}`"] for c in keep], *([] if text in keep else [docs[f"`{text}`"]]))
+    inner = [f"k{i}" for i in range(len(source.columns))]
+    at = keep.index(text) if text in keep else len(keep)
+    kinds = [f.dataType.simpleString() for f in source.schema.fields][: len(keep)]
+    results = [f"r{i}" for i in range(len(names))]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for lo, hi in steps([len(t or "") for t in texts]):
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), *run(texts[lo:hi])], [*inner[: len(keep)], *results])
+
+    schema = ", ".join(f"{n} {k}" for n, k in zip([*inner[: len(keep)], *results], [*kinds, *made.split(", ")], strict=True))
+    return source.toDF(*inner).mapInArrow(apply, schema).toDF(*keep, *names)
+
+
 def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring items whose sizes add up to at most ``limit`` (or one larger item)."""
     at = total = 0

@@ -17,7 +17,6 @@ at a time; all documents are read once.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordClass, mix, runs, small_batches, steps
+from .common import WordClass, mapped, mix, small_batches
 
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 _DELIMITERS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -138,8 +137,8 @@ def hits(texts: list[bytes], blocks: Iterator[list[Matcher]]) -> tuple[np.ndarra
     return np.bincount(doc, minlength=len(texts)), np.bincount(doc[hit], minlength=len(texts)), items
 
 
-def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids as strings), contaminated."""
+def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
+    """The columns ``keep`` of docs with n_words, n_hit, items (sorted ids as strings), contaminated."""
     spark = docs.sparkSession
     small_batches(spark)
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null")
@@ -149,17 +148,12 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id:
     for k in range(parts):
         rows = bench.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toPandas()
         blocks.append(spark.sparkContext.broadcast(windows(list(zip(rows["i"], rows["t"], strict=True)), width)))
-    kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in b.column("t").to_pylist()]
-            for lo, hi in steps([len(t) for t in texts]):
-                n, hit, items = hits(texts[lo:hi], (x.value for x in blocks))
-                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(hit > 0)], ["i", "n_words", "n_hit", "items", "contaminated"])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        n, hit, items = hits([(t or "").encode("utf-8", "replace") for t in texts], (x.value for x in blocks))
+        return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(hit > 0)]
 
-    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, f"i {kind}, n_words long, n_hit long, items array<string>, contaminated boolean").withColumnRenamed("i", doc_id)
+    return mapped(docs, text, list(keep), "long, long, array<string>, boolean", ["n_words", "n_hit", "items", "contaminated"], run)
 
 
 def digest(found: DataFrame) -> DataFrame:

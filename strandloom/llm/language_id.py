@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches
+from .common import mapped, mix, small_batches
 
 UNDETERMINED = "und"
 _LETTER: list[np.ndarray] = []
@@ -180,16 +180,10 @@ def predict_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[s
 
 def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred, score and ambiguous."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x n-gram buckets: its size is set by parameters
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__t"))
-    names = [f"k{i}" for i in range(len(keep))]
-    rows = rows.toDF(*names, "__t")
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rows.schema.fields, strict=False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, score, unsure = predict_texts(shared.value, b.column("__t").to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*names, "lang_pred", "score", "ambiguous"])
+    def run(texts: list[str | None]) -> list[pa.Array]:
+        lang, score, unsure = predict_texts(shared.value, texts)
+        return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean").toDF(*keep, "lang_pred", "score", "ambiguous")
+    return mapped(docs, text, list(keep), "string, double, boolean", ["lang_pred", "score", "ambiguous"], run)

@@ -241,9 +241,9 @@ def pages_of(records: DataFrame, kind: str = "long") -> DataFrame:
     h = F.col("headers")
     urn = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
     return records.where("kind = 'record'").select(
-        urn(h["WARC-Record-ID"]).cast(kind).alias("page_id"),
-        h["X-Payload-Length"].cast("long").alias("payload_bytes"),
+        urn(h["WARC-Record-ID"]).try_cast(kind).alias("page_id"),
+        h["X-Payload-Length"].try_cast("long").alias("payload_bytes"),
         F.regexp_replace(h["WARC-Payload-Digest"], "^sha1:", "").alias("payload_digest"),
         h["WARC-Type"].alias("record_type"),
-        F.when(h["WARC-Type"] == "revisit", urn(h["WARC-Refers-To"]).cast(kind)).alias("refers_to"),
+        F.when(h["WARC-Type"] == "revisit", urn(h["WARC-Refers-To"]).try_cast(kind)).alias("refers_to"),
     )
