@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .chunks import Memo, default_path
+from .chunks import Memo, collect_less, default_path, plain
 from .common import mapped
 
 _FREE = np.int64(1) << 40  # rank of what no merge makes
@@ -56,6 +56,12 @@ class BpeCodec:
         for r, (a, b) in enumerate(model["merges"]):
             self.rank[self.vocab[a], self.vocab[b]] = r, self.vocab[a + b]
         self.longest = max(map(len, self.vocab))
+        #: The longest token that begins with two given letters.
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            n = len(t) - len(self.end) if self.end and t.endswith(self.end) else len(t)
+            if n >= 2:
+                self.reach[t[:2]] = max(n, self.reach.get(t[:2], 0))
         self.known = Memo(self._raw_words)
         self._tables()
 
@@ -115,12 +121,15 @@ class BpeCodec:
         whole = vocab.get(word + self.end)
         if whole is not None:
             return [whole]
+        reach, end = self.reach, self.end
         while at < n:
-            got = vocab.get(word[at:] + self.end) if n - at <= self.longest else None
-            if got is not None:
-                out.append(got)
-                break
-            for size in range(min(self.longest, n - at - 1), 0, -1):
+            most = reach.get(word[at : at + 2], 1)
+            if n - at <= most or n - at == 1:
+                got = vocab.get(word[at:] + end)
+                if got is not None:
+                    out.append(got)
+                    break
+            for size in range(min(most, n - at - 1), 0, -1):
                 got = vocab.get(word[at : at + size])
                 if got is not None:
                     break
@@ -178,12 +187,15 @@ class BpeCodec:
         parts: list[list] = [[] for _ in texts]  # special ids, and words
         words: set[str] = set()
         for own, text in zip(parts, texts, strict=True):
+            if simple := plain(text):
+                own += simple if simple[1] else simple[:1]
+                words.update(own)
+                continue
             for piece in self.special_cut.split(text) if self.special_cut and "<" in text else (text,):
                 if piece in self.special:
                     own.append(self.special[piece])
                     continue
-                plain = piece.lower() if piece.isascii() else self.normal(piece)
-                found = [plain] if plain.isascii() and plain.isalpha() else self.pattern.findall(plain)
+                found = self.pattern.findall(piece.lower() if piece.isascii() else self.normal(piece))
                 own += found
                 words.update(found)
         known = self.known
@@ -208,6 +220,7 @@ def codec(path: str) -> BpeCodec:
 
 @lru_cache(2)
 def _memo(path: str) -> Memo:
+    collect_less()
     c = codec(path)
     return Memo(lambda texts: [(" ".join(map(str, ids)), c.decode(ids), len(ids)) for ids in c.many(texts)])
 

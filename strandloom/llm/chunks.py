@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import public_tokenizers
 
 #: ASCII separators that str.split() takes for white space and the vocabulary's patterns do not.
@@ -27,13 +29,34 @@ def chunks(text: str) -> list[str]:
     return [x if x.isascii() else "".join(_ODD[ord(c) - 0x10FFF0] if 0x10FFF0 <= ord(c) < 0x10FFF4 else c for c in x) for x in text.split()]
 
 
+_TAIL = ".,;:!?"
+
+
+def plain(chunk: str) -> tuple[str, str] | None:
+    """A chunk's lower-cased word and the marks after it, if it has no other parts.
+
+    Letters below U+0250 need no normalisation and are one word of the vocabulary's pattern,
+    as the marks are; everything else is left to the general way.
+    """
+    low = chunk.lower()
+    word = low.rstrip(_TAIL)
+    if word.isalpha() and max(word) < "\u0250":
+        return word, low[len(word) :]
+    return None
+
+
+def collect_less() -> None:
+    """Makes Python look for garbage cycles rarely: memos are large and have none."""
+    gc.set_threshold(200_000, 50, 100)
+
+
 class Memo(dict):
     """What chunks were turned into, in two generations of at most ``most`` entries, so memory is bounded.
 
     When the young one is full it becomes the old one; what is used again moves back.
     """
 
-    def __init__(self, many: callable, most: int = 200_000):
+    def __init__(self, many: callable, most: int = 300_000):
         super().__init__()
         self.many, self.most, self.old = many, most, {}
 
