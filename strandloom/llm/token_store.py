@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, default_path
+from .chunks import Memo, collect_less, default_path, plain
 from .common import shared_dir, small_batches, steps, written
 
 LENGTH, PER_BATCH = 2048, 64
@@ -43,7 +43,17 @@ def _memo(path: str, kind: str) -> Memo:
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
-    return Memo(lambda texts: [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+    collect_less()
+    # The library encodes words once each; chunks are put together from them.
+    words = Memo(lambda texts: [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def many(texts: list[str]) -> list[bytes]:
+        cut = [plain(x) or (x,) for x in texts]
+        words.turn()
+        words.fill({w for ws in cut for w in ws if w and w not in words})
+        return [b"".join([words[w] for w in ws if w]) for ws in cut]
+
+    return Memo(many)
 
 
 def vocabulary(path: str) -> int:
