@@ -29,7 +29,7 @@ def chunks(text: str) -> list[str]:
     return [x if x.isascii() else "".join(_ODD[ord(c) - 0x10FFF0] if 0x10FFF0 <= ord(c) < 0x10FFF4 else c for c in x) for x in text.split()]
 
 
-_TAIL = ".,;:!?"
+TAIL = ".,;:!?"
 
 
 def plain(chunk: str) -> tuple[str, str] | None:
@@ -39,7 +39,7 @@ def plain(chunk: str) -> tuple[str, str] | None:
     as the marks are; everything else is left to the general way.
     """
     low = chunk.lower()
-    word = low.rstrip(_TAIL)
+    word = low.rstrip(TAIL)
     if word.isalpha() and max(word) < "\u0250":
         return word, low[len(word) :]
     return None
@@ -56,7 +56,7 @@ class Memo(dict):
     When the young one is full it becomes the old one; what is used again moves back.
     """
 
-    def __init__(self, many: callable, most: int = 300_000):
+    def __init__(self, many: callable, most: int = 200_000):
         super().__init__()
         self.many, self.most, self.old = many, most, {}
 
@@ -78,6 +78,15 @@ class Memo(dict):
         if new:
             self.update(zip(new, self.many(new), strict=True))
 
+    def values_of(self, keys: list[str]) -> list:
+        """The values of chunks."""
+        self.turn()
+        out = list(map(self.get, keys))
+        if None in out:
+            self.fill({k for k, v in zip(keys, out, strict=True) if v is None})
+            out = list(map(self.__getitem__, keys))
+        return out
+
     def all(self, texts: list[str]) -> list[list]:
         """For each text, the values of its chunks."""
         self.turn()

@@ -25,11 +25,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, collect_less, default_path, plain
+from .chunks import TAIL, Memo, collect_less, default_path
 from .common import shared_dir, small_batches, steps, written
 
 LENGTH, PER_BATCH = 2048, 64
@@ -44,16 +45,60 @@ def _memo(path: str, kind: str) -> Memo:
     t.no_padding()
     t.no_truncation()
     collect_less()
-    # The library encodes words once each; chunks are put together from them.
-    words = Memo(lambda texts: [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
-
-    def many(texts: list[str]) -> list[bytes]:
-        cut = [plain(x) or (x,) for x in texts]
-        words.turn()
-        words.fill({w for ws in cut for w in ws if w and w not in words})
-        return [b"".join([words[w] for w in ws if w]) for ws in cut]
-
-    return Memo(many)
+    vocab = t.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+    width = np.dtype(kind).itemsize
+
+    def encode(texts: list[str]) -> list[bytes]:
+        """Ids of words; simple ones, of which each ends with its only word-end token, go to the library in one text."""
+        out: dict[str, bytes] = {}
+        simple = [w for w in texts if w.isalpha() or w.strip(TAIL) == ""]
+        for lo in range(0, len(simple), 4096):
+            part = simple[lo : lo + 4096]
+            ids = np.array(t.encode(" ".join(part), add_special_tokens=False).ids, kind)
+            at = (np.flatnonzero(ends[ids]) + 1) * width
+            if len(at) == len(part):
+                raw, begin = ids.tobytes(), 0
+                for w, end in zip(part, at.tolist(), strict=True):
+                    out[w] = raw[begin:end]
+                    begin = end
+        rest = [w for w in texts if w not in out]
+        for lo in range(0, len(rest), 1024):  # the library's results are large: a few at a time
+            part = rest[lo : lo + 1024]
+            out.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return [out[w] for w in texts]
+
+    return Memo(encode, 250_000)
+
+
+def encoded(memo: Memo, texts: pa.Array, kind: str, end_id: int) -> list[bytes]:
+    """The ids of each text (no nulls) and the end id.
+
+    Arrow splits the texts and finds the distinct chunks; only those are looked up.
+    """
+    end = np.array([end_id], kind).tobytes()
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # which only Arrow and Python take for white space
+        return [b"".join([*vs, end]) for vs in memo.all(texts.to_pylist())]
+    # Of Latin-1 texts, lower case and marks after a word set apart change no id and leave fewer distinct chunks.
+    plain = pc.invert(pc.match_substring_regex(texts, r"[^\x00-\xff]"))
+    low = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,;:!?]+)(\s|$)", r"\1 \2\3")
+    lists = pc.utf8_split_whitespace(pc.if_else(plain, low, texts))
+    words = lists.flatten().dictionary_encode()
+    values = [b""] if not len(words) else memo.values_of(words.dictionary.to_pylist())
+    size = np.fromiter(map(len, values), np.int32, len(values)) // np.int32(np.dtype(kind).itemsize)
+    begin = np.cumsum(size, dtype=np.int32) - size
+    data = np.frombuffer(b"".join(values), kind)
+    code = words.indices.to_numpy() if len(words) else np.zeros(0, np.int32)
+    n = size[code]
+    after = np.cumsum(n, dtype=np.int64)
+    if len(n) and after[-1] >= 1 << 31:
+        raise ValueError("a text with over 2**31 ids")
+    place = np.repeat(begin[code] - (after - n).astype(np.int32), n)
+    place += np.arange(len(place), dtype=np.int32)
+    ids = data[place]
+    ends = np.concatenate([[0], after])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return [ids[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def vocabulary(path: str) -> int:
@@ -140,7 +185,7 @@ class SequenceFile:
 def write_sequences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path: str | None = None, end_id: int = 2, length: int = LENGTH, files: int | None = None, folder: str | None = None) -> DataFrame:
     """Stores all documents; the index (doc_id, file, at, start, n_tokens): place in the file, and ids of all documents before it."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2048)
     vocab_file = path or default_path()
     kind = "<u2" if max(vocabulary(vocab_file), end_id + 1) <= 1 << 16 else "<u4"
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -152,12 +197,12 @@ def write_sequences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     cuts = sorted(set(cuts or []))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, end = _memo(vocab_file, kind), np.array([end_id], kind).tobytes()
+        memo = _memo(vocab_file, kind)
         edges = np.array(cuts, np.int64)
         for b in batches:
-            texts = [t or "" for t in b.column("t").to_pylist()]
-            for lo, hi in steps([len(t) for t in texts]):
-                ids = pa.array([b"".join([*vs, end]) for vs in memo.all(texts[lo:hi])], pa.binary())
+            texts = b.column("t").fill_null("")
+            for lo, hi in steps(pc.binary_length(texts).to_pylist()):
+                ids = pa.array(encoded(memo, texts.slice(lo, hi - lo), kind, end_id), pa.binary())
                 i = b.column("i").slice(lo, hi - lo)
                 part = np.searchsorted(edges, i.fill_null(np.iinfo(i.type.to_pandas_dtype()).min).to_numpy(zero_copy_only=False), "left")
                 yield pa.RecordBatch.from_arrays([i, pa.array(part, pa.int32()), ids], ["i", "part", "ids"])
