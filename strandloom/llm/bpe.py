@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .chunks import Memo, collect_less, default_path, plain
+from .chunks import Memo, collect_less, default_path, distinct, plain
 from .common import mapped
 
 _FREE = np.int64(1) << 40  # rank of what no merge makes
@@ -62,7 +62,6 @@ class BpeCodec:
             n = len(t) - len(self.end) if self.end and t.endswith(self.end) else len(t)
             if n >= 2:
                 self.reach[t[:2]] = max(n, self.reach.get(t[:2], 0))
-        self.known = Memo(self._raw_words)
         self._tables()
 
     def _tables(self) -> None:
@@ -198,9 +197,7 @@ class BpeCodec:
                 found = self.pattern.findall(piece.lower() if piece.isascii() else self.normal(piece))
                 own += found
                 words.update(found)
-        known = self.known
-        known.turn()
-        known.fill({w for w in words if w not in known})
+        known = dict(zip(words, self._raw_words(list(words)), strict=True))
         return [[i for p in own for i in (known[p] if type(p) is str else (p,))] for own in parts]
 
     def _raw_words(self, words: list[str]) -> list[list[int]]:
@@ -222,7 +219,17 @@ def codec(path: str) -> BpeCodec:
 def _memo(path: str) -> Memo:
     collect_less()
     c = codec(path)
-    return Memo(lambda texts: [(" ".join(map(str, ids)), c.decode(ids), len(ids)) for ids in c.many(texts)])
+    return Memo(lambda texts: [(" ".join(map(str, ids)), c.decode(ids)) for ids in c.many(texts)])
+
+
+def spelled(texts: pa.Array, path: str) -> tuple[list[str], list[str]]:
+    """Decimal ids and decoded text of each text, both joined by blanks."""
+    words, code, offsets = distinct(texts)
+    values = _memo(path).values_of(words)
+    ids, decoded = [v[0] for v in values], [v[1] for v in values]
+    code, cut = code.tolist(), list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+    # An empty chunk, which a blank at either end of a text leaves, has no ids.
+    return tuple([" ".join([x for i in code[a:b] if (x := side[i])]) for a, b in cut] for side in (ids, decoded))
 
 
 def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, digests: bool = False) -> DataFrame:
@@ -232,13 +239,12 @@ def encode(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc
     """
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
 
-    def run(texts: list[str | None]) -> list[pa.Array]:
-        got = _memo(path or default_path()).all([t or "" for t in texts])
-        ids, decoded = [" ".join([v[0] for v in vs]) for vs in got], [" ".join([v[1] for v in vs]) for vs in got]
+    def run(texts: pa.Array) -> list[pa.Array]:
+        ids, decoded = spelled(texts, path or default_path())
         if digests:
-            return [pa.array([sum([v[2] for v in vs]) for vs in got], pa.int64()), pa.array(list(map(sha, ids)), pa.string()), pa.array(list(map(sha, decoded)), pa.string())]
+            return [pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()), pa.array(list(map(sha, ids)), pa.string()), pa.array(list(map(sha, decoded)), pa.string())]
         return [pa.array([np.array(x.split(), np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
 
     if digests:
-        return mapped(docs, text, list(keep), "long, string, string", ["n_tokens", "ids_sha256", "decoded_sha256"], run)
-    return mapped(docs, text, list(keep), "array<int>, string", ["ids", "decoded"], run)
+        return mapped(docs, text, list(keep), "long, string, string", ["n_tokens", "ids_sha256", "decoded_sha256"], run, arrow=True)
+    return mapped(docs, text, list(keep), "array<int>, string", ["ids", "decoded"], run, arrow=True)

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step looks at (a single longer text is its own step).
@@ -52,10 +53,10 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
 
 
-def mapped(docs: DataFrame, text: str, keep: list[str], made: str, names: list[str], run: callable) -> DataFrame:
+def mapped(docs: DataFrame, text: str, keep: list[str], made: str, names: list[str], run: callable, *, arrow: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` and what ``run`` makes of each text.
 
-    ``run`` takes a list of texts (None for nulls) and returns one Arrow array for each of
+    ``run`` takes a list of texts (None for nulls; with ``arrow``, an Arrow array) and returns one Arrow array for each of
     ``names``, whose types are ``made``.  Columns go through by position, whatever they are called.
     """
     small_batches(docs.sparkSession)
@@ -67,9 +68,10 @@ def mapped(docs: DataFrame, text: str, keep: list[str], made: str, names: list[s
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for lo, hi in steps([len(t or "") for t in texts]):
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), *run(texts[lo:hi])], [*inner[: len(keep)], *results])
+            texts = b.column(at)
+            for lo, hi in steps(pc.binary_length(texts).fill_null(0).to_pylist()):
+                part = texts.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), *run(part if arrow else part.to_pylist())], [*inner[: len(keep)], *results])
 
     schema = ", ".join(f"{n} {k}" for n, k in zip([*inner[: len(keep)], *results], [*kinds, *made.split(", ")], strict=True))
     return source.toDF(*inner).mapInArrow(apply, schema).toDF(*keep, *names)

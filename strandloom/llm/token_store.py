@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import TAIL, Memo, collect_less, default_path
+from .chunks import TAIL, Memo, collect_less, default_path, distinct
 from .common import shared_dir, small_batches, steps, written
 
 LENGTH, PER_BATCH = 2048, 64
@@ -69,27 +69,17 @@ def _memo(path: str, kind: str) -> Memo:
             out.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True))
         return [out[w] for w in texts]
 
-    return Memo(encode, 250_000)
+    return Memo(encode, 150_000)
 
 
 def encoded(memo: Memo, texts: pa.Array, kind: str, end_id: int) -> list[bytes]:
-    """The ids of each text (no nulls) and the end id.
-
-    Arrow splits the texts and finds the distinct chunks; only those are looked up.
-    """
+    """The ids of each text and the end id; only distinct chunks are looked up."""
     end = np.array([end_id], kind).tobytes()
-    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # which only Arrow and Python take for white space
-        return [b"".join([*vs, end]) for vs in memo.all(texts.to_pylist())]
-    # Of Latin-1 texts, lower case and marks after a word set apart change no id and leave fewer distinct chunks.
-    plain = pc.invert(pc.match_substring_regex(texts, r"[^\x00-\xff]"))
-    low = pc.replace_substring_regex(pc.utf8_lower(texts), r"(\pL)([.,;:!?]+)(\s|$)", r"\1 \2\3")
-    lists = pc.utf8_split_whitespace(pc.if_else(plain, low, texts))
-    words = lists.flatten().dictionary_encode()
-    values = [b""] if not len(words) else memo.values_of(words.dictionary.to_pylist())
+    words, code, offsets = distinct(texts)
+    values = memo.values_of(words)
     size = np.fromiter(map(len, values), np.int32, len(values)) // np.int32(np.dtype(kind).itemsize)
     begin = np.cumsum(size, dtype=np.int32) - size
     data = np.frombuffer(b"".join(values), kind)
-    code = words.indices.to_numpy() if len(words) else np.zeros(0, np.int32)
     n = size[code]
     after = np.cumsum(n, dtype=np.int64)
     if len(n) and after[-1] >= 1 << 31:
@@ -97,7 +87,7 @@ def encoded(memo: Memo, texts: pa.Array, kind: str, end_id: int) -> list[bytes]:
     place = np.repeat(begin[code] - (after - n).astype(np.int32), n)
     place += np.arange(len(place), dtype=np.int32)
     ids = data[place]
-    ends = np.concatenate([[0], after])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    ends = np.concatenate([[0], after])[offsets]
     return [ids[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
