@@ -1,0 +1,236 @@
+"""Every registered query against DuckDB, and the parts that SQL does not reach."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_module
+from strandloom.functions import masking
+from strandloom.functions import residues as R
+from strandloom.operators import hits as H
+from strandloom.operators import ranges, words
+from strandloom.plans import registry
+from strandloom.plans.options import SearchOptions, output_limits
+from strandloom.plans.search import search
+from strandloom.sources import catalog, fasta, report
+
+TABLES = "documents benchmark labels pages conversations".split()
+
+
+def plain(df):
+    df = df[sorted(df.columns)].astype(object)
+    fix = lambda x: None if x is None or x != x else round(x, 6) if isinstance(x, float) else x if isinstance(x, (str, bool)) else int(x)
+    return sorted((tuple(map(fix, r)) for r in df.itertuples(index=False, name=None)), key=str)
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_gives_the_rows_of_its_sql(name, spark, sf, duck):
+    mine, other = registry.queries()[name](spark, sf).toPandas(), duck.sql(registry.oracle_sql()[name]).df()
+    assert sorted(mine.columns) == sorted(other.columns)
+    assert plain(mine) == plain(other)
+    assert len(mine)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_without_sql_runs(name, spark, sf):
+    assert registry.queries()[name](spark, sf).count() > 0
+
+
+def test_entry(spark):
+    assert entry_module.entry(spark).count() > 0
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_planted_passages_are_found_whole(spark, sf):
+    q = catalog.queries_of(spark.read.parquet(f"{sf}/benchmark.parquet"))
+    s = catalog.subjects_of(spark.read.parquet(f"{sf}/documents.parquet"))
+    planted = {(a["query_id"], b["oid"]) for a in q.collect() for b in s.collect() if a["residues"] in b["residues"]}
+    found = search(spark, q, s.select("oid", "residues"), SearchOptions(threshold=None, word_size=6))
+    whole = {(r["query_id"], r["oid"]) for r in found.where("identity = 100").collect()}
+    assert planted and planted <= whole
+
+
+def tiny(spark):
+    prot = "MKVLAAGIVGLCAKRWDERTYPLNHQSFWMKKDEFGH"
+    q = spark.createDataFrame([(1, prot)], "query_id long, residues string")
+    s = spark.createDataFrame([(1, "PPPP" + prot[:20] + "GG" + prot[20:] + "AAAA"), (2, "G" * 60), (3, prot), (4, "")], "oid long, residues string")
+    return q, s, prot
+
+
+def test_neighbour_and_exact_words_agree_on_the_best_hit(spark):
+    q, s, prot = tiny(spark)
+    for o in (SearchOptions(), SearchOptions(threshold=None, word_size=3), SearchOptions(window=0), SearchOptions(smith_waterman=True)):
+        rows = search(spark, q, s, o).collect()
+        best = max(rows, key=lambda r: r["score"])
+        assert (best["oid"], best["rank"], best["identities"], best["q_start"], best["q_end"]) == (3, 1, len(prot), 0, len(prot))
+        gapped = [r for r in rows if r["oid"] == 1]
+        assert any(r["gaps"] == 2 and r["identities"] == len(prot) for r in gapped)
+        assert {r["oid"] for r in rows} == {1, 3}
+
+
+def test_permuted_subjects_and_doubled_space(spark):
+    q, s, _ = tiny(spark)
+    key = lambda d: sorted((r["oid"], r["q_start"], r["q_end"], r["s_start"], r["s_end"], r["score"]) for r in d.collect())
+    assert key(search(spark, q, s)) == key(search(spark, q, s.orderBy(F.desc("oid"))))
+    one = {r["oid"]: r["evalue"] for r in search(spark, q, s, SearchOptions(search_space=1000)).collect()}
+    two = {r["oid"]: r["evalue"] for r in search(spark, q, s, SearchOptions(search_space=2000)).collect()}
+    assert all(abs(two[k] / one[k] - 2) < 1e-9 for k in one)
+
+
+def test_locations_shift_back(spark):
+    q, s, prot = tiny(spark)
+    r = max(search(spark, q, s, SearchOptions(query_loc="11-37", subject_loc="5-60")).where("oid = 3").collect(), key=lambda r: r["score"])
+    assert (r["q_start"], r["s_start"]) == (10, 10) and prot[r["q_start"] : r["q_end"]] == prot[r["s_start"] : r["s_end"]]
+
+
+def test_ungapped_search_and_limits(spark):
+    q, s, _ = tiny(spark)
+    rows = search(spark, q, s, SearchOptions(ungapped=True, max_targets=1, max_hsps=1)).collect()
+    assert [(r["oid"], r["gaps"]) for r in rows] == [(3, 0)]
+
+
+def test_options_round_trip_and_refuse():
+    o = SearchOptions(word_size=4, threshold=None)
+    assert SearchOptions.from_json(o.to_json()) == o and SearchOptions(task="translated").threshold == 12
+    for bad in ({"word_size": 1}, {"strand": "up"}, {"culling_limit": 1, "best_hit_edge": 0.1}):
+        with pytest.raises(ValueError):
+            SearchOptions(**bad)
+    assert output_limits(True, 20) == (20, 20, 20) and output_limits(False)[1:] == (500, 250)
+    with pytest.raises(ValueError):
+        output_limits(True, None, 5)
+
+
+def hsps(spark, rows):
+    return spark.createDataFrame(rows, "query_id long, oid long, q_start int, q_end int, s_start int, s_end int, score int")
+
+
+def test_containment_culling_chains_mask_level(spark):
+    rows = [(1, 1, 0, 50, 0, 50, 100), (1, 1, 10, 20, 10, 20, 30), (1, 1, 60, 90, 62, 92, 70), (1, 2, 5, 45, 100, 140, 60)]
+    h = hsps(spark, rows)
+    assert sorted(r["score"] for r in H.uncontained(h).collect()) == [60, 70, 100]
+    assert sorted(r["score"] for r in H.culled(h, 1).collect()) == [70, 100]
+    assert sorted(r["score"] for r in H.masked_level(h, 80).collect()) == [70, 100]
+    chain = {r["oid"]: r for r in H.linked(h).collect()}
+    assert chain[1]["n"] == 2 and chain[1]["chain_score"] > 100 and chain[2]["n"] == 1
+    assert H.per_query(h, 2).count() == 2 and H.per_subject(h, 1).count() == 2
+
+
+def test_best_hits_drop_a_poorer_hit_of_the_same_range(spark):
+    h = hsps(spark, [(1, 1, 0, 50, 0, 50, 200), (1, 2, 1, 49, 0, 48, 60), (1, 3, 60, 90, 0, 30, 60)]).withColumn("evalue", -F.col("score").cast("double"))
+    assert {r["oid"] for r in H.best_hits(h).collect()} == {1, 3}
+
+
+def test_statistics():
+    assert H.raw_from_bits(22, False) == 42 and H.raw_drop(7) == 16
+    assert H.search_space(100, 10**6, 1000) < 10**8 and H.length_adjustment(10, 100, 5) >= 0
+
+
+def test_fasta_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "first one", "ACDE" * 40), ("b", "", "W"), ("c", "x > y", "MKV")], "subject_id string, title string, residues string")
+    fasta.write_fasta(rows.coalesce(1), str(tmp_path / "out"), width=50)
+    back = fasta.read_fasta(spark, str(tmp_path / "out"))
+    assert sorted((r["subject_id"], r["title"], r["residues"]) for r in back.collect()) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "odd.fa").write_text(">only title\n>\n\n>p1 t\r\nMK\r\nVL\r\n>d1\nACGTNN\nACGT\n")
+    odd = fasta.read_fasta(spark, str(tmp_path / "odd.fa"))
+    assert sorted((r["subject_id"], r["residues"]) for r in odd.collect()) == [("d1", "ACGTNNACGT"), ("p1", "MKVL")]
+    assert [r["subject_id"] for r in fasta.checked_molecule(odd, "protein").collect()] == ["p1"]
+
+
+def test_subject_tables(spark, tmp_path):
+    s = spark.createDataFrame([(0, "x", "AAAA", 4), (1, "X", "C", 1), (2, "z", "GGG", 3)], "oid long, subject_id string, residues string, length int")
+    v = ranges.volumes(s, 5)
+    catalog.write_subjects(v, str(tmp_path / "db"))
+    back = catalog.read_subjects(spark, str(tmp_path / "db"))
+    assert back.count() == 3 and catalog.user_columns(back) == []
+    assert [r["id"] for r in catalog.duplicate_ids(s).collect()] == ["X"]
+    with pytest.raises(ValueError):
+        catalog.restricted(s, include=s, exclude=s)
+    with pytest.raises(ValueError):
+        catalog.with_taxids(s, 1, s)
+    assert {r["taxid"] for r in catalog.with_taxids(s, 7).collect()} == {7}
+    assert catalog.restricted(s, oids=(1, 3)).count() == 2
+    assert catalog.stats(s.where("oid > 9")).first()["mean"] == 0
+
+
+def test_masks(spark):
+    s = spark.createDataFrame([(1, "ABCDEFGHIJ"), (2, "KLM")], "oid long, residues string")
+    m = spark.createDataFrame([(1, 1, 2, 4), (1, 1, 3, 6), (1, 1, 9, 10)], "oid long, algorithm_id int, from int, to int")
+    assert {r["oid"]: r["residues"] for r in ranges.hard_masked(s, m).collect()} == {1: "ABXXXXGHIX", 2: "KLM"}
+    assert {r["oid"]: len(r["masks"]) for r in ranges.attached(s, m).collect()} == {1: 3, 2: 0}
+    with pytest.raises(Exception, match="mask out of bounds"):
+        ranges.attached(s, m.withColumn("to", F.lit(11))).collect()
+    low = spark.createDataFrame([(1, "ab1C dE")], "oid long, text string")
+    assert sorted((r["from"], r["to"]) for r in ranges.lower_case_masks(low).collect()) == [(0, 2), (3, 4)]
+    pieces = ranges.chunks(s, 6, 2)
+    assert sorted((r["oid"], r["start"], r["residues"]) for r in pieces.collect()) == [(1, 0, "ABCDEF"), (1, 4, "EFGHIJ"), (2, 0, "KLM")]
+    assert sorted((r["chunk"], r["from"], r["to"]) for r in ranges.clipped(m.drop("algorithm_id"), pieces, 6).collect()) == [(0, 2, 4), (0, 3, 6), (1, 0, 2), (1, 5, 6)]
+
+
+def test_low_complexity(spark):
+    assert masking.entropy_masks("MKVLDERTYPWNHQ" + "A" * 20 + "MKVLDERTYPWNHQ")[0][0] > 5
+    assert masking.entropy_masks("AC") == [] and masking.triplet_masks("ACG") == []
+    assert masking.triplet_masks("ACGT" * 40) and masking.triplet_masks("ACGTTGCATGTCGCATGATGCATGAGAGCT") == []
+
+
+def test_sequence_functions(spark):
+    row = spark.createDataFrame([("ATGAAATTTTGA", "500MB", "11-200", ">sp|P1 some title", 17, bytes([0b00011011, 0b11000000]))], "b string, z string, l string, d string, n int, p binary")
+    got = row.select(
+        R.translated(F.col("b"), 1), R.translated(F.col("b"), -1), R.reverse_complement(F.col("b")), R.size_in_bytes(F.col("z")), R.location(F.col("l")), R.defline_id(F.col("d")),
+        R.defline_title(F.col("d")), R.round_up_16(F.col("n")), R.from_2na(F.col("p"), F.lit(5)), R.clean_bases(F.lit("acg u\nx")), R.clean_protein(F.lit("mk1*")), R.size_in_bytes(F.lit("x")),
+    ).first()
+    assert list(got) == ["MKF*", "SKFH", "TCAAAATTTCAT", 500 << 20, (10, 200), "sp|P1", "some title", 32, "ACGTT", "ACGTN", "MKX*", None]
+
+
+def test_coordinates(spark):
+    rows = spark.createDataFrame([(f, 20) for f in (1, 2, 3, -1, -2, -3)], "f int, n int").select("f", R.bases_range(F.lit(1), F.lit(3), F.col("f"), F.col("n")).alias("r"))
+    for r in rows.collect():
+        lo = 3 + abs(r["f"]) - 1
+        assert tuple(r["r"]) == ((lo, lo + 6) if r["f"] > 0 else (20 - lo - 6, 20 - lo))
+
+
+def test_report_columns(spark, tmp_path):
+    q, s, _ = tiny(spark)
+    h = search(spark, q, s)
+    report.write_report(h, str(tmp_path / "r"), form="csv", spec="std gaps")
+    assert spark.read.csv(str(tmp_path / "r")).count() == h.count()
+    with pytest.raises(ValueError):
+        report.tabular(h, "qseqid nothing")
+
+
+def test_neighbours_by_table_and_by_index(spark):
+    q = spark.createDataFrame([(1, "WCYHKJ")], "query_id long, residues string")
+    rows = {(r["q_pos"], r["word"]) for r in words.neighbour_words(spark, q, 3, 11).collect()}
+    index = words.neighbour_index("WCYHKJ", 3, 11)
+    assert len(rows) == sum(map(len, index.values()))
+
+
+def test_soft_masks_and_presence(spark):
+    q = spark.createDataFrame([(1, "ABCDEFGH")], "query_id long, residues string")
+    s = spark.createDataFrame([(1, "XXABCDEFGHXX"), (2, "ZZZZ"), (3, "AB")], "oid long, residues string")
+    seeds = words.seeds(q, s, 4)
+    assert seeds.count() == 5
+    m = spark.createDataFrame([(1, 4, 5), (1, 300, 300)], "oid long, from int, to int")
+    assert sorted(r["s_pos"] for r in words.unmasked(seeds, m, 4).collect()) == [5, 6]
+    assert words.presence(q, s, 4).count() == 5
+
+
+def test_stream(spark, tmp_path):
+    from strandloom.streaming.search_stream import fasta_stream, search_stream
+
+    _, s, prot = tiny(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.fa").write_text(f">q1 x\n{prot}\n")
+    search_stream(fasta_stream(spark, str(folder)), s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    (folder / "b.fa").write_text(f">q2\n{prot[::-1]}\n>q3\n{prot}\n")
+    search_stream(fasta_stream(spark, str(folder)), s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["query_id"], r["batch"]) for r in rows.select("query_id", "batch").distinct().collect()} == {("q1", 0), ("q3", 1)}

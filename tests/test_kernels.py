@@ -1,0 +1,181 @@
+"""Alignment kernels against plain dynamic programming."""
+
+import numpy as np
+import pytest
+
+from strandloom.functions.matrix import RESIDUES, blosum62, codes
+from strandloom.operators import kernels as K
+
+M = blosum62()
+AA = codes("ACDEFGHIKLMNPQRSTVWY")
+NONE = -(10**9)
+
+
+def plain(q, s, o, e, local):
+    """Best score of a local alignment, or of one that starts at both beginnings."""
+    n, k = len(q), len(s)
+    h, d, r = ([[NONE] * (k + 1) for _ in range(n + 1)] for _ in range(3))
+    best = 0
+    for i in range(n + 1):
+        for j in range(k + 1):
+            if i:
+                d[i][j] = max(d[i - 1][j] - e, h[i - 1][j] - o - e)
+            if j:
+                r[i][j] = max(r[i][j - 1] - e, h[i][j - 1] - o - e)
+            sub = h[i - 1][j - 1] + M[q[i - 1], s[j - 1]] if i and j else 0 if i == j == 0 else NONE
+            h[i][j] = max(sub, d[i][j], r[i][j], 0 if local else NONE)
+            best = max(best, h[i][j])
+    return best
+
+
+def rescored(script, q, s, q0, s0, o, e):
+    total = 0
+    for op, n in script:
+        if op == "sub":
+            total += sum(int(M[q[q0 + i], s[s0 + i]]) for i in range(n))
+        else:
+            total -= o + e * n
+        q0, s0 = q0 + n * (op != "q_gap"), s0 + n * (op != "s_gap")
+    return total, q0, s0
+
+
+def relatives(count, seed):
+    rng = np.random.default_rng(seed)
+    for i in range(count):
+        q = rng.choice(AA, rng.integers(1, 40))
+        s = q.copy()
+        for _ in range(rng.integers(0, 8)):
+            p, kind = rng.integers(0, max(1, len(s))), rng.random()
+            if kind < 0.3:
+                s = np.delete(s, slice(p, p + rng.integers(1, 4)))
+            elif kind < 0.6:
+                s = np.insert(s, p, rng.choice(AA, rng.integers(1, 4)))
+            elif len(s):
+                s[p] = rng.choice(AA)
+        if len(s):
+            yield q, s, (11, 1) if i % 2 else (4, 2), rng
+
+
+def test_matrix_is_symmetric_and_has_a_sentinel():
+    assert (M == M.T).all() and (M[0] == -128).all() and M[1:, 1:].max() == 11
+    assert M[RESIDUES.index("*"), RESIDUES.index("*")] == 1
+
+
+def test_smith_waterman():
+    for q, s, (o, e), _ in relatives(120, 1):
+        assert K.smith_waterman(q, s, M, o, e)[0] == plain(q, s, o, e, True)
+
+
+def test_affine_arm_without_drop_is_exact_and_rescores():
+    for q, s, (o, e), _ in relatives(120, 2):
+        a = K.affine_arm(q, s, M, o, e, 10**6, True)
+        assert a.score == plain(q, s, o, e, False)
+        assert rescored(a.script, q, s, 0, 0, o, e) == (a.score, a.q_len, a.s_len)
+        assert K.affine_arm(q, s, M, o, e, 20).score <= a.score
+
+
+def test_gapped_never_beats_smith_waterman_and_rescores():
+    for q, s, (o, e), rng in relatives(120, 3):
+        qs = int(rng.integers(0, len(q)))
+        g = K.gapped(q, s, qs, min(qs, len(s) - 1), M, o, e, 30, True)
+        assert rescored(g[5], q, s, g[1], g[3], o, e) == (g[0], g[2], g[4])
+        assert g[0] <= plain(q, s, o, e, True)
+        assert not g[5] or g[5][0][0] == g[5][-1][0] == "sub"
+
+
+def stepped(q, s, qp, sp, before, k, drop):
+    best = at = total = 0
+    for i in range(k):
+        total += int(M[q[qp + i], s[sp + i]])
+        if total > best:
+            best, at = total, i + 1
+    qa, sa = qp + at, sp + at
+    top = left = total = 0
+    i = 1
+    while qa - i >= 0 and sa - i >= 0:
+        total += int(M[q[qa - i], s[sa - i]])
+        if total > top:
+            top, left = total, i
+        if top - total >= drop:
+            break
+        i += 1
+    score, right = top, 0
+    if left >= sa - before:
+        total, i = top, 0
+        while qa + i < len(q) and sa + i < len(s):
+            total += int(M[q[qa + i], s[sa + i]])
+            if total > score:
+                score, right = total, i + 1
+            if total <= 0 or score - total >= drop:
+                break
+            i += 1
+    return qa - left, sa - left, left + right, max(top, score)
+
+
+def test_ungapped_extension_step_by_step():
+    rng = np.random.default_rng(4)
+    for _ in range(1500):
+        q = rng.choice(AA, 30)
+        s = q.copy()
+        s[rng.integers(0, 30, 8)] = rng.choice(AA, 8)
+        p = int(rng.integers(0, 28))
+        b = int(rng.integers(0, p + 1))
+        assert K.ungapped(q, s, p, p, b, 3, 10, M)[:4] == stepped(q, s, p, p, b, 3, 10)
+
+
+def folded(q, s, hits, k, window, drop, cutoff):
+    """The two-hit state machine hit by hit, with a table of diagonals."""
+    state, out = {}, []
+    for sp, qp in sorted((sp, qp) for qp, sp in hits):
+        last, held = state.get(qp - sp, (-window, False))
+        if held:
+            state[qp - sp] = (sp, False) if sp >= last else (last, True)
+        elif sp - last >= window:
+            state[qp - sp] = (sp, False)
+        elif sp - last >= k:
+            q0, s0, n, score, went, _ = K.ungapped(q, s, qp, sp, last + k, k, drop, M)
+            state[qp - sp] = (s0 + n - k + 1, True) if went else (sp, False)
+            if score >= cutoff:
+                out.append((q0, s0, n, sp - s0, score))
+    return sorted(out)
+
+
+def test_two_hit_extension_is_the_state_machine():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        q = rng.choice(AA[:4], 50)
+        s = np.concatenate([rng.choice(AA[:4], 5), q[:40], rng.choice(AA[:4], 20)])
+        hits = [(i, j) for i in range(48) for j in range(len(s) - 2) if (q[i : i + 3] == s[j : j + 3]).all()]
+        qp, sp = (np.array(x) for x in zip(*hits, strict=True))
+        found, seen, tried = K.two_hit_extend(q, s, qp, sp, 3, 40, 16, 20, M)
+        assert sorted(found) == folded(q, s, hits, 3, 40, 16, 20)
+        assert seen == len(hits) >= tried
+
+
+@pytest.mark.parametrize("gap", [2, 3, 39, 40, 41])
+def test_second_hit_at_the_edges_of_the_window(gap):
+    q = np.array(list(codes("WWW")) + [codes("P")[0]] * 60)
+    found = K.two_hit_extend(q, q, np.array([0, gap]), np.array([0, gap]), 3, 40, 16, 1, M)
+    assert found[2] == (1 if 3 <= gap < 40 else 0)
+
+
+def test_gapped_starts():
+    q = codes("AAAAAAAAAAAAAAAWWWWWWWWWWWAAAAAAAA")
+    assert K.start_by_window(q, q, 0, 0, len(q), M) == 15 + 5
+    assert K.start_by_window(q, q, 2, 2, 11, M) == 2 + 5
+    assert K.start_by_window(q, codes("P" * len(q)), 0, 0, len(q), M) == 0
+    assert K.start_checked(q, codes("P" * len(q)), 0, 0, len(q), M) is None
+    assert K.start_by_identity(codes("ACGTACGT"), codes("TCGTACGA"), 0, 0, 8) == 4
+
+
+def test_joined_scripts_and_greedy():
+    assert K.joined([("sub", 2), ("q_gap", 1)], [("sub", 3)]) == [("q_gap", 1), ("sub", 5)]
+    assert K.greedy_distance(codes("ACGTACGT"), codes("ACGTTCGT"), 3) == (1, 8, 8)
+
+
+def test_frame_shift_beats_one_frame():
+    p = codes("MKWLLNDERCQHIVFYPSTG")
+    frames = [p[:10], p[10:], p[:1]]
+    whole = int(M[p, p].sum())
+    assert K.frame_shift_score([p, p[:1], p[:1]], p, M, 11, 1, 5) == whole
+    assert K.frame_shift_score(frames, p, M, 11, 1, 5) < whole
