@@ -16,8 +16,8 @@ from strandloom.llm.common import written
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with two that are hardly told apart, go."""
     model = language_id.fit(docs.where(language_id.learnable()))
-    found = language_id.predict(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~F.col("ambiguous")).select(docs.columns)
+    found = language_id.predict(docs, model, keep=tuple(docs.columns), prefix="__")
+    return found.where((F.col("__lang_pred") != language_id.UNDETERMINED) & ~F.col("__ambiguous")).select(docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.search(docs, bench, keep=tuple(docs.columns)).where(~F.col("contaminated")).select(docs.columns)
+    return decontaminate.search(docs, bench, keep=tuple(docs.columns), prefix="__").where(~F.col("__contaminated")).select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,8 +165,8 @@ class BpeCodec:
     def words(self, words: list[str]) -> list[list[int]]:
         """Ids of words in the byte-level alphabet."""
         guess = [self.propose(w) for w in words]
-        size = np.array([len(g) if g else 0 for g in guess])
-        flat = np.fromiter((i for g in guess if g for i in g), np.int64, size.sum())
+        size = np.array([len(g) if g else 0 for g in guess], np.int64)
+        flat = np.fromiter((i for g in guess if g for i in g), np.int64, int(size.sum()))
         owner = np.repeat(np.arange(len(words)), size)
         good = size > 0
         good[owner[~self.formed[flat]]] = False

@@ -137,8 +137,8 @@ def hits(texts: list[bytes], blocks: Iterator[list[Matcher]]) -> tuple[np.ndarra
     return np.bincount(doc, minlength=len(texts)), np.bincount(doc[hit], minlength=len(texts)), items
 
 
-def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
-    """The columns ``keep`` of docs with n_words, n_hit, items (sorted ids as strings), contaminated."""
+def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = 8 << 20, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of docs with n_words, n_hit, items (sorted ids as strings), contaminated, each name after ``prefix``."""
     spark = docs.sparkSession
     small_batches(spark)
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null")
@@ -153,7 +153,7 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: t
         n, hit, items = hits([(t or "").encode("utf-8", "replace") for t in texts], (x.value for x in blocks))
         return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(hit > 0)]
 
-    return mapped(docs, text, list(keep), "long, long, array<string>, boolean", ["n_words", "n_hit", "items", "contaminated"], run)
+    return mapped(docs, text, list(keep), "long, long, array<string>, boolean", [prefix + n for n in ("n_words", "n_hit", "items", "contaminated")], run)
 
 
 def digest(found: DataFrame) -> DataFrame:

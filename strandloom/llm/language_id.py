@@ -178,12 +178,12 @@ def predict_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[s
     return lang, score, unsure
 
 
-def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score and ambiguous."""
+def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of ``docs`` with lang_pred, score and ambiguous, each name after ``prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x n-gram buckets: its size is set by parameters
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         lang, score, unsure = predict_texts(shared.value, texts)
         return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
 
-    return mapped(docs, text, list(keep), "string, double, boolean", ["lang_pred", "score", "ambiguous"], run)
+    return mapped(docs, text, list(keep), "string, double, boolean", [prefix + n for n in ("lang_pred", "score", "ambiguous")], run)
