@@ -82,9 +82,9 @@ cells AS (
   FROM m GROUP BY ALL),
 d AS (SELECT pair_id, min(turn) FILTER (c <> r) AS differ FROM cells GROUP BY pair_id),
 parts AS (
-  SELECT pair_id, turn, 'prompt' AS part, c AS msgs FROM cells JOIN d USING (pair_id) WHERE differ IS NULL OR turn < differ
-  UNION ALL SELECT pair_id, turn, 'chosen', c FROM cells JOIN d USING (pair_id) WHERE turn >= differ
-  UNION ALL SELECT pair_id, turn, 'rejected', r FROM cells JOIN d USING (pair_id) WHERE turn >= differ),
+  SELECT cells.pair_id, turn, 'prompt' AS part, c AS msgs FROM cells JOIN d ON cells.pair_id IS NOT DISTINCT FROM d.pair_id WHERE differ IS NULL OR turn < differ
+  UNION ALL SELECT cells.pair_id, turn, 'chosen', c FROM cells JOIN d ON cells.pair_id IS NOT DISTINCT FROM d.pair_id WHERE turn >= differ
+  UNION ALL SELECT cells.pair_id, turn, 'rejected', r FROM cells JOIN d ON cells.pair_id IS NOT DISTINCT FROM d.pair_id WHERE turn >= differ),
 one AS (
   SELECT pair_id, part, turn, CAST(floor(turn / 64.0) AS BIGINT) AS block, unnest(msgs) AS x, generate_subscripts(msgs, 1) AS k
   FROM parts WHERE len(msgs) > 0),
