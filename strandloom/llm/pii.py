@@ -146,3 +146,37 @@ def redacted(docs: DataFrame, *, text: str = "text", n_chars: str | None = "n_ch
         kind = docs.schema[n_chars].dataType
         rows = rows.withColumn(n_chars, F.when(F.size("__spans") > 0, F.length(text).cast(kind)).otherwise(F.col(n_chars)))
     return rows.select(docs.columns)
+
+
+_LUHN_SQL = "list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN (length(g) - i) % 2 = 1 THEN CAST(substr(g, i, 1) AS INT) * 2 - CASE WHEN CAST(substr(g, i, 1) AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(g, i, 1) AS INT) END)) % 10 = 0"
+_MOD_SQL = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(hit, ' ', ''), 5) || substr(replace(hit, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+#: DuckDB's SQL for ``digest(find(documents))``, with the plain patterns.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+kinds(rank, kind, rx) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+  (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
+  (4, 'iban', '[A-Z]{{2}}[0-9]{{2}}( ?[A-Z0-9]{{4}}){{2,7}}( ?[A-Z0-9]{{1,3}})?'),
+  (5, 'secret', 'AKIA[0-9A-Z]{{16}}|([Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi_?[Kk]ey)[\x20]{{0,2}}[=:][\x20]{{0,2}}["'']?[A-Za-z0-9+/_-]{{8,}}["'']?'),
+  (6, 'natid', '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}')),
+parts AS (SELECT doc_id, rank, kind, string_split_regex(t, rx) AS p, regexp_extract_all(t, rx) AS m FROM d, kinds),
+found AS (SELECT doc_id, rank, kind, k, p[k] AS piece, m[k] AS hit, p[k + 1] AS nxt FROM parts, LATERAL (SELECT unnest(range(1, len(m) + 1)) AS k)),
+placed AS (SELECT *, CAST(sum(length(piece) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY k) AS BIGINT) AS e, regexp_replace(hit, '[^0-9]', '', 'g') AS g FROM found),
+good AS (
+  SELECT doc_id, rank, kind, e - length(hit) AS s, e FROM placed
+  WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) < 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') <= '255')))
+    WHEN 'card' THEN length(g) BETWEEN 14 AND 19 AND {_LUHN_SQL}
+    WHEN 'phone' THEN length(g) BETWEEN 10 AND 15
+    WHEN 'iban' THEN {_MOD_SQL}
+    WHEN 'secret' THEN regexp_matches(hit, '[0-9]')
+    ELSE NOT regexp_matches(hit, '^(000|666|9..)-|-00-|-0000$') AND regexp_matches(lower(right(piece, 40) || ' ' || left(nxt, 40)), 'ssn|social|security|tax') END),
+spelled AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM good GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN spelled USING (doc_id)
+"""

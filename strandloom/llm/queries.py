@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat_format.ORACLE_SQL}
+    return {"op4_pii": pii.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

@@ -68,8 +68,13 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Damaged("header without a colon")
-        head[name.strip()] = value.strip()
-    size = head.get("Content-Length", "")
+        # Only this one may come twice; else two records' headers have run together.
+        if (name := name.strip()) in head and name.lower() != "warc-concurrent-to":
+            raise Damaged("header twice")
+        head[name] = value.strip()
+    if missing := {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} - head.keys():
+        raise Damaged(f"no {min(missing)}")
+    size = head["Content-Length"]
     if not (size.isascii() and size.isdigit()):
         raise Damaged("no length")
     body, end = stop + 4, stop + 4 + int(size)
@@ -247,3 +252,13 @@ def pages_of(records: DataFrame, kind: str = "long") -> DataFrame:
         h["WARC-Type"].alias("record_type"),
         F.when(h["WARC-Type"] == "revisit", urn(h["WARC-Refers-To"]).try_cast(kind)).alias("refers_to"),
     )
+
+
+_BITS_SQL = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(h, {5 * i + 1}, 5) AS INT) >> {5 * (3 - k)}) % 32 + 1, 1)" for i in range(8) for k in range(4))
+#: DuckDB's SQL for what is read back of ``pages``: SHA-1 in base32, five hexadecimal digits for every four letters.
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BITS_SQL} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
