@@ -21,6 +21,11 @@ def as_bases(residues: Column) -> Column:
     return F.translate(residues, LETTERS, AS_BASES)
 
 
+def assembled(pieces: Column) -> Column:
+    """A sequence from an array of pieces (residues, gap): each piece's residues, or a run of N as long as its gap."""
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(p["residues"], F.repeat(F.lit("N"), p["gap"]))), "")
+
+
 def masked(residues: Column, which: str) -> Column:
     """Every one of the letters ``which`` becomes X."""
     return F.translate(residues, which, "X" * len(which)) if which else residues

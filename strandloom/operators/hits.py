@@ -66,6 +66,14 @@ def spaces(queries: DataFrame, subjects: DataFrame, *, gapped: bool = True, db_s
     return queries.select("query_id", F.length("residues").alias("n")).join(F.broadcast(table), "n").select("query_id", "space")
 
 
+def cutoffs(queries: DataFrame, subjects: DataFrame, *, evalue_limit: float = 10.0, trigger: float = 22.0, drop: float = 7.0, drop_gapped: float = 15.0) -> DataFrame:
+    """Raw cutoffs that hold for all queries, the least stringent of each: ungapped and gapped score, X-drops."""
+    lam, k, _ = GAPPED
+    needed = F.ceil(F.log(F.col("space") * k / evalue_limit) / lam).cast("int")
+    each = spaces(queries, subjects).select(F.greatest(needed, F.lit(1)).alias("score"))
+    return each.agg(F.min("score").alias("gapped_score")).select(F.lit(raw_from_bits(trigger, False)).alias("ungapped_score"), "gapped_score", F.lit(raw_drop(drop)).alias("x_drop"), F.lit(raw_drop(drop_gapped, True)).alias("x_drop_gapped"))
+
+
 # ------------------------------------------------------------------ dedupe and culling
 
 #: Full order of segment pairs within a query and subject; ties end with coordinates.

@@ -32,6 +32,14 @@ def clipped(masks: DataFrame, pieces: DataFrame, size: int) -> DataFrame:
     return j.select("oid", "chunk", F.greatest(F.col("from") - F.col("start"), F.lit(0)).alias("from"), F.least(F.col("to") - F.col("start"), F.col("n")).alias("to"))
 
 
+def fetched(subjects: DataFrame, ranges: DataFrame, *, gap: int = 0, pad: int = 0) -> DataFrame:
+    """(oid, from, to, residues) of parts of subjects: ranges padded, cut at the end, and merged where the gap is small."""
+    parts = merged(ranges, gap=gap, pad=pad).join(subjects.select("oid", "residues"), "oid")
+    to = F.least(F.col("to"), F.length("residues"))
+    rows = parts.where(F.col("from") < F.length("residues"))
+    return rows.select("oid", "from", to.alias("to"), F.substring("residues", F.col("from") + 1, to - F.col("from")).alias("residues"))
+
+
 def coverage(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, oid, covered, share): residues of a query that the hits of a subject cover, counted once."""
     r = hits.select(F.struct("query_id", "oid").alias("k"), F.col("q_start").alias("from"), F.col("q_end").alias("to"))
@@ -103,6 +111,12 @@ def balanced(subjects: DataFrame, parts: int) -> DataFrame:
     return rows.select("oid", F.least(F.floor(F.col("before") * parts / F.lit(total)), F.lit(parts - 1)).cast("int").alias("part"))
 
 
+def query_batches(queries: DataFrame, limit: int) -> DataFrame:
+    """``queries`` with a batch number: a new one whenever the residues so far pass a multiple of ``limit``."""
+    rows = numbered(queries.withColumn("len", F.length("residues").cast("long")), "query_id", weight="len")
+    return rows.withColumn("batch", F.floor(F.col("before") / limit).cast("int")).drop("rn", "before", "len")
+
+
 def volumes(subjects: DataFrame, limit: int) -> DataFrame:
     """``subjects`` with a volume number: a new one whenever the residues so far pass a multiple of ``limit``."""
     rows = numbered(subjects.withColumn("len", F.length("residues").cast("long")), "oid", weight="len")

@@ -391,6 +391,35 @@ def range_merge(spark, sf):
     return ranges.merged(r, gap=10, pad=20).withColumns({"from": F.col("from").cast("int"), "to": F.col("to").cast("int")})
 
 
+@query(
+    _with(_BASE, _words_sql(K), _ISLANDS)
+    + """, w AS (SELECT oid, greatest(s_start - 20, 0) AS f, s_end + 20 AS t FROM hsp),
+o AS (SELECT *, max(t) OVER (PARTITION BY oid ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM w),
+r AS (SELECT *, sum(CASE WHEN f <= far + 10 THEN 0 ELSE 1 END) OVER (PARTITION BY oid ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS run FROM o),
+u AS (SELECT oid, min(f) AS f, max(t) AS t FROM r GROUP BY oid, run)
+SELECT oid, CAST(f AS INT) AS "from", CAST(least(t, length(residues)) AS INT) AS "to", substr(residues, CAST(f AS BIGINT) + 1, CAST(least(t, length(residues)) - f AS BIGINT)) AS residues FROM u JOIN s USING (oid)"""
+)
+def range_fetch(spark, sf):
+    """The parts of subjects around their seeds."""
+    r = _hsps(spark, sf).select("oid", F.col("s_start").alias("from"), F.col("s_end").alias("to"))
+    return ranges.fetched(_s(spark, sf), r, gap=10, pad=20).withColumns({"from": F.col("from").cast("int"), "to": F.col("to").cast("int")})
+
+
+@query(_with(_BASE) + "SELECT query_id, CAST(floor(before / 2000) AS INT) AS batch FROM (SELECT query_id, sum(length(residues)) OVER (ORDER BY query_id) - length(residues) AS before FROM q)")
+def query_batches(spark, sf):
+    return ranges.query_batches(_q(spark, sf), 2000).select("query_id", "batch")
+
+
+@query(_with(_BASE) + "SELECT query_id, substr(residues, 11, 70) AS residues FROM q")
+def query_location(spark, sf):
+    return _q(spark, sf).select("query_id", R.restricted(F.col("residues"), "11-80")[0].alias("residues"))
+
+
+@query()
+def score_cutoffs(spark, sf):
+    return H.cutoffs(_q(spark, sf), _s(spark, sf))
+
+
 @query(_with(_BASE) + "SELECT CAST(floor(rn / 64) AS BIGINT) AS grp, count(*) AS n, CAST(max(len) AS BIGINT) AS longest, CAST(sum(len) AS BIGINT) AS residues FROM (SELECT length(residues) AS len, row_number() OVER (ORDER BY length(residues), oid) - 1 AS rn FROM s) GROUP BY 1")
 def length_groups(spark, sf):
     return ranges.length_groups(_s(spark, sf), 64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,13 @@ def without(subjects: DataFrame, ids: DataFrame, key: str = "subject_id") -> Dat
     return subjects.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def warned_if_empty(subjects: DataFrame) -> DataFrame:
+    """``subjects``, with a warning (not a failure) if nothing is left."""
+    if subjects.isEmpty():
+        warnings.warn("no subject is left after the restriction", stacklevel=2)
+    return subjects
+
+
 def restricted(subjects: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None, oids: tuple[int, int] | None = None) -> DataFrame:
     """Subjects of a list, or not of one (not both), within a range of oids."""
     if include is not None and exclude is not None:

@@ -174,6 +174,13 @@ def test_masks(spark):
     assert sorted((r["chunk"], r["from"], r["to"]) for r in ranges.clipped(m.drop("algorithm_id"), pieces, 6).collect()) == [(0, 2, 4), (0, 3, 6), (1, 0, 2), (1, 5, 6)]
 
 
+def test_assembled_and_empty_warning(spark):
+    row = spark.createDataFrame([([("AC", None), (None, 3), ("GT", None)],)], "p array<struct<residues:string,gap:int>>")
+    assert row.select(R.assembled(F.col("p"))).first()[0] == "ACNNNGT"
+    with pytest.warns(UserWarning):
+        catalog.warned_if_empty(row.where("false"))
+
+
 def test_low_complexity(spark):
     assert masking.entropy_masks("MKVLDERTYPWNHQ" + "A" * 20 + "MKVLDERTYPWNHQ")[0][0] > 5
     assert masking.entropy_masks("AC") == [] and masking.triplet_masks("ACG") == []
