@@ -97,8 +97,8 @@ def _grams(texts: list[str], bits: int, step: int = 1 << 19) -> Iterator[tuple[n
 
 
 def learnable(doc_id: str = "doc_id") -> F.Column:
-    """Rows that may be learnt from: the checksum of the id as text leaves no 2 when divided by 4."""
-    return F.crc32(F.col(doc_id).cast("string")) % 4 != 2
+    """Rows that may be learnt from: the checksum of the id as text (null: empty) leaves no 2 when divided by 4."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 != 2
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 2000, bits: int = 15, scale: float = 6.0, least_gap: float = 0.02) -> LanguageModel:
