@@ -99,6 +99,15 @@ def islands(seeds_: DataFrame, k: int) -> DataFrame:
     return runs.groupBy("query_id", "oid", "diag", "run").agg(F.min("q_pos").alias("q_start"), F.min("s_pos").alias("s_start"), (F.max("s_pos") - F.min("s_pos") + k).alias("length"), F.count("*").alias("n_seeds")).drop("run")
 
 
+def crowded(seeds_: DataFrame, window: int) -> DataFrame:
+    """Seeds with another one less than ``window`` away on their diagonal; the others can neither be nor make a second hit."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("query_id", "oid", "diag").orderBy("s_pos")
+    near = (F.col("s_pos") - F.lag("s_pos").over(w) < window) | (F.lead("s_pos").over(w) - F.col("s_pos") < window)
+    return seeds_.withColumn("__near", near).where("__near").drop("__near")
+
+
 def two_hits(seeds_: DataFrame, k: int, window: int) -> DataFrame:
     """(query_id, oid, diag, s_pos, before): hits that have another one on their diagonal, k to window - 1 before.
 
@@ -107,7 +116,7 @@ def two_hits(seeds_: DataFrame, k: int, window: int) -> DataFrame:
     """
     step = lambda acc, s: F.when(acc["last"].isNull() | (s - acc["last"] >= window), F.struct(s.alias("last"), acc["out"].alias("out"))).when(s - acc["last"] >= k, F.struct(s.alias("last"), F.concat(acc["out"], F.array(F.struct(s.alias("s_pos"), acc["last"].alias("before")))).alias("out"))).otherwise(acc)
     zero = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<struct<s_pos:int,before:int>>").alias("out"))
-    folded = seeds_.groupBy("query_id", "oid", "diag").agg(F.aggregate(F.array_sort(F.collect_list("s_pos")), zero, step, lambda a: a["out"]).alias("hits"))
+    folded = crowded(seeds_, window).groupBy("query_id", "oid", "diag").agg(F.aggregate(F.array_sort(F.collect_list("s_pos")), zero, step, lambda a: a["out"]).alias("hits"))
     return folded.select("query_id", "oid", "diag", F.explode("hits").alias("h")).select("query_id", "oid", "diag", "h.s_pos", "h.before")
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import residues as R
-from strandloom.functions.matrix import GAPPED, blosum62, matrix_table
+from strandloom.functions.matrix import GAPPED, blosum62
 from strandloom.operators import hits as H
 from strandloom.operators import ranges, words
+from strandloom.operators.ungapped import right_arm
 from strandloom.plans.options import SearchOptions
 from strandloom.plans.search import search
 from strandloom.sources import catalog, fasta, report
@@ -188,20 +189,13 @@ stopped AS (SELECT *, min(CASE WHEN p - t >= {_XDROP} THEN i END) OVER (PARTITIO
 FROM (SELECT *, max(p) OVER (PARTITION BY query_id, oid, diag) AS best FROM stopped WHERE stop IS NULL OR i <= stop) GROUP BY query_id, oid, diag"""
 )
 def ungapped_xdrop(spark, sf):
-    """The right arm of the longest island of each diagonal, in window form, over at most 200 residues of reach."""
+    """The right arm of the longest island of each diagonal, over at most 200 residues of reach; the SQL has it in window form."""
     i, q, s = _islands(spark, sf), _q(spark, sf), _s(spark, sf)
     best = i.groupBy("query_id", "oid", "diag").agg(F.max(F.struct("length", (-F.col("q_start")).alias("m"), "s_start")).alias("x"))
     e = best.select("query_id", "oid", "diag", (-F.col("x.m") + F.col("x.length")).cast("int").alias("q0"), (F.col("x.s_start") + F.col("x.length")).cast("int").alias("s0"))
     arms = e.join(q, "query_id").withColumn("a", F.substring("residues", F.col("q0") + 1, F.lit(200))).drop("residues").join(s.select("oid", "residues"), "oid").withColumn("b", F.substring("residues", F.col("s0") + 1, F.lit(200)))
     n = F.least(F.length("a"), F.length("b"))
-    rows = arms.where(n > 0).select("query_id", "oid", "diag", "a", "b", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    rows = rows.select("query_id", "oid", "diag", "i", F.substring("a", F.col("i"), F.lit(1)).alias("a"), F.substring("b", F.col("i"), F.lit(1)).alias("b")).join(F.broadcast(matrix_table(spark)), ["a", "b"])
-    w = W.partitionBy("query_id", "oid", "diag")
-    o = w.orderBy("i")
-    rows = rows.withColumn("t", F.sum("score").over(o)).withColumn("p", F.greatest(F.lit(0), F.max("t").over(o)))
-    rows = rows.withColumn("stop", F.min(F.when(F.col("p") - F.col("t") >= _XDROP, F.col("i"))).over(w)).where(F.col("stop").isNull() | (F.col("i") <= F.col("stop")))
-    rows = rows.withColumn("best", F.max("p").over(w))
-    return rows.groupBy("query_id", "oid", "diag").agg(F.max("p").alias("gain"), F.coalesce(F.min(F.when((F.col("t") == F.col("best")) & (F.col("best") > 0), F.col("i"))), F.lit(0)).cast("long").alias("steps"))
+    return arms.where(n > 0).select("query_id", "oid", "diag", right_arm(F.col("a"), F.col("b"), n, _XDROP).alias("x")).select("query_id", "oid", "diag", F.col("x.best").cast("long").alias("gain"), F.col("x.steps").cast("long").alias("steps"))
 
 
 def _exact_options() -> SearchOptions:
