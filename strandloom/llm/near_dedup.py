@@ -1,6 +1,6 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-Repetitions within a text are thinned first (see ``thinned``).  A sketch samples the ``order`` k-mers (five words, each labelled with its occurrence) of least
+A sketch samples the ``order`` k-mers (five words, each labelled with its occurrence) of least
 hash and keeps them in text order, so that it is sensitive to edits and not only to the bag
 of k-mers.  Texts that share a sketch are candidates; a candidate pair is a link if a banded
 alignment of their words finds an edit similarity of at least ``least``.
@@ -39,11 +39,10 @@ _BLOCK = 1 << 16
 
 
 def thinned(h: np.ndarray, k: int = WORDS) -> np.ndarray:
-    """The words of a text without the bulk of its repetitions.
+    """The words of a text without the bulk of its repetitions.  Classes do not use it: they compare whole texts.
 
     Of a k-mer's occurrences only the 1st, 2nd, 4th, 8th ... count; words that lie in none of
-    those go.  So a line that a text repeats a hundred times weighs as seven, and texts that
-    share nothing but that line are not similar.  Texts without a repeated k-mer stay as they are.
+    those go.  So a line that a text repeats a hundred times weighs as seven.  Texts without a repeated k-mer stay as they are.
     """
     if len(h) <= k:
         return h
@@ -163,9 +162,9 @@ def _sketched(docs: DataFrame, kind: str) -> DataFrame:
             for lo, hi in steps([len(t) for t in texts]):
                 h, own, _, _ = SPACED.words(texts[lo:hi])
                 at = spans_of(own, hi - lo)
-                thin = [thinned(h[at[i] : at[i + 1]]) for i in range(hi - lo)]
-                keys = [sketches(x).view(np.int64) for x in thin]
-                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array([len(x) for x in thin], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["i", "h", "n", "keys"])
+                each = [h[at[i] : at[i + 1]] for i in range(hi - lo)]
+                keys = [sketches(x).view(np.int64) for x in each]
+                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["i", "h", "n", "keys"])
 
     return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>")
 
@@ -174,7 +173,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, kind: str) -> Da
     """(a, b, sim) of pairs; sim is 0 under ``least``."""
 
     def words(text: str) -> list:
-        return thinned(SPACED.words([text.encode("utf-8", "replace")])[0]).tolist()
+        return SPACED.words([text.encode("utf-8", "replace")])[0].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, list] = {}

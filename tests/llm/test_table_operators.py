@@ -176,6 +176,15 @@ def test_near_duplicates_in_hot_groups(spark):
     assert all(got[400 + i] == i for i in range(200, 210))
 
 
+def test_near_duplicates_compare_whole_texts(spark):
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    passage, other, line = words(60), words(60), words(9)
+    texts = [passage * 2, passage * 3, other * 8, other * 15, words(90) + line * 60, words(90) + line * 60]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = odd_documents(spark)
     found = near_dedup.near_classes(docs).collect()
