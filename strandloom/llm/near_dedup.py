@@ -5,10 +5,12 @@ hash and keeps them in text order, so that it is sensitive to edits and not only
 of k-mers.  Texts that share a sketch are candidates; a candidate pair is a link if a banded
 alignment of their words finds an edit similarity of at least ``least``.
 
-No bucket is expanded into pairs.  Equal texts collapse first.  In a bucket every text is
-compared with one pivot.  Buckets in which some comparison failed are split by a second
-sketch and compared with pivots again.  What still fails there is compared pair by pair: that
-rest shares twice the k-mers of a sketch and yet is not similar to its pivot.  Classes
+Equal texts collapse first.  In a bucket every text is compared with one pivot.  Buckets whose
+texts are then of several classes are compared pair by pair across the classes, in blocks: a
+bound on the edit distance from counts of words rules most pairs out, and what it leaves is
+aligned, a few pairs for each two classes first, then all that still lie in two.  So texts
+that share a sketch and are similar always end in one class, whatever else is in the bucket.
+That is quadratic in the texts of such a bucket, but only the bound is.  Classes
 are the connected components of the links; the least doc_id names a class.
 
 Null texts, and texts without a word unless equal, are classes of their own.  Texts of fewer
@@ -33,8 +35,10 @@ WORDS, LEAST = 5, 0.8
 #: Sketches of a text and k-mers in each: texts with a share J of common k-mers meet with
 #: probability 1 - (1 - J**4)**20, over 0.9999 at 0.8.
 SKETCHES, ORDER = 20, 4
-#: Second sketches that split a bucket with failures.
-SPLITS = 4
+#: Counts of words in a bag.
+BINS = 256
+#: Texts of a bucket that are compared at once, and pairs of two classes that are aligned before all others.
+_MOST, _FEW = 512, 4
 _BLOCK = 1 << 16
 
 
@@ -155,6 +159,17 @@ def similarity(a: list, b: list, least: float = LEAST) -> float:
     return 0.0 if d is None else 1 - d / size
 
 
+def bag(h: np.ndarray) -> bytes:
+    """How many words fall into each bin, 255 at most."""
+    return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _bounds(one: np.ndarray, many: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distances of one bag and many; an edit changes no count by more than one each way."""
+    common = np.minimum(many, one).sum(1, dtype=np.uint16).astype(np.int64)
+    return np.maximum(sums, int(one.sum(dtype=np.int64))) - common
+
+
 def _sketched(docs: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,9 +179,9 @@ def _sketched(docs: DataFrame, kind: str) -> DataFrame:
                 at = spans_of(own, hi - lo)
                 each = [h[at[i] : at[i + 1]] for i in range(hi - lo)]
                 keys = [sketches(x).view(np.int64) for x in each]
-                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["i", "h", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([bag(x) for x in each], pa.binary())], ["i", "h", "n", "keys", "bag"])
 
-    return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>")
+    return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>, bag binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, kind: str) -> DataFrame:
@@ -190,15 +205,85 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, kind: str) -> Da
 
 
 def _stars(buckets: DataFrame) -> DataFrame:
-    """(key, s, a, b, na, nb) of each other text b of a bucket (key, s, i, n) and its pivot a, the least id; na, nb: words."""
+    """(key, a, b, na, nb) of each other text b of a bucket (key, i, n) and its pivot a, the least id; na, nb: words."""
     pivot = buckets.groupBy("key").agg(F.min(F.struct("i", "n")).alias("p"), F.max("i").alias("top")).where("top > p.i")
     joined = buckets.join(pivot.select("key", F.col("p.i").alias("a"), F.col("p.n").alias("na")), "key").where("i > a")
-    return joined.select("key", "s", "a", F.col("i").alias("b"), "na", F.col("n").alias("nb"))
+    return joined.select("key", "a", F.col("i").alias("b"), "na", F.col("n").alias("nb"))
 
 
-def _members(stars: DataFrame) -> DataFrame:
-    """The buckets (key, s, i, n) of stars, pivots included."""
-    return stars.select("key", "s", F.col("b").alias("i"), F.col("nb").alias("n")).unionByName(stars.select("key", "s", F.col("a").alias("i"), F.col("na").alias("n")).distinct())
+def _across(stars: DataFrame, labels: DataFrame, bags: DataFrame, least: float, kind: str, few: int = 0) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket and of two classes that may be similar; ``few``: at most so many of two classes in a block.
+
+    labels: i, label.  bags: i, n, bag.  Buckets of one class go; larger ones than a block are
+    dealt over blocks so that every two texts meet in one.
+    """
+    member = stars.select("key", F.col("b").alias("i")).unionByName(stars.select("key", F.col("a").alias("i"))).distinct().join(labels, "i")
+    mixed = member.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    dealt = member.join(mixed.select("key", F.ceil(F.col("size") / _MOST).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("i"), "parts").cast("int"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(bags, "i")
+    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "i", "label", "n", "bag")
+
+    def met(rows: pa.Table) -> tuple[pa.Array, pa.Array] | None:
+        ids, n = rows.column("i").combine_chunks(), rows.column("n").to_numpy()
+        label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        part, same = rows.column("part").to_numpy(), rows.column("x")[0] == rows.column("y")[0]
+        bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
+        sums = bags.sum(1, dtype=np.int64)
+        found = []
+        for k in range(len(n) - 1):
+            size = np.maximum(n[k + 1 :], n[k])
+            fits = (label[k + 1 :] != label[k]) & (np.minimum(n[k + 1 :], n[k]) >= size * least - 1e-6) & (same | (part[k + 1 :] != part[k]))
+            at = np.flatnonzero(fits)
+            if len(at):
+                bound = _bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at])
+                ok = bound <= ((1 - least) * size[at] + 1e-9).astype(np.int64)
+                found.append((np.full(ok.sum(), k), at[ok] + k + 1, bound[ok] / size[at][ok]))
+        a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        if few and len(a):
+            pair = np.minimum(label[a], label[b]).astype(np.int64) * len(n) + np.maximum(label[a], label[b])
+            rank = np.lexsort((bound, pair))
+            begin = np.flatnonzero(np.diff(pair[rank], prepend=-1))
+            rank = rank[np.arange(len(rank)) - np.repeat(begin, np.diff(np.append(begin, len(rank)))) < few]
+            a, b = a[rank], b[rank]
+        return ids.take(pa.array(a)), ids.take(pa.array(b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        made: list[tuple[pa.Array, pa.Array]] = []
+        last = None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*made, strict=True)], ["a", "b"])
+                made.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "x", "y")])
+            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = tuple(group[:, lo].tolist())
+                if own != last and held:
+                    made.append(met(pa.concat_tables(held)))
+                    held.clear()
+                last = own
+                held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+            if sum(len(x) for x, _ in made) > 10_000:
+                yield from told()
+        if held:
+            made.append(met(pa.concat_tables(held)))
+        yield from told()
+
+    pairs = block.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (i, label) after more links (a, b)."""
+    at = lambda c: labels.select(F.col("i").alias(c), F.col("label").alias(f"l{c}"))
+    over = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return labels.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("i", F.coalesce("top", "label").alias("label"))
 
 
 def _near(least: float) -> F.Column:
@@ -216,7 +301,7 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     found = written(_sketched(base.select("i", "h", "t"), kind), "sketches")
     firsts = found.groupBy("h").agg(F.min("i").alias("rep"))
     reps = written(found.join(firsts.select(F.col("rep").alias("i"), "h"), ["i", "h"], "left_semi").where("n > 0"), "texts")
-    stars = written(_stars(reps.select("i", "n", F.posexplode("keys").alias("s", "key"))), "stars")
+    stars = written(_stars(reps.select("i", "n", F.explode("keys").alias("key"))), "stars")
     involved = stars.select(F.col("a").alias("i")).unionByName(stars.select(F.col("b").alias("i"))).distinct()
     # An id may carry several texts (repeated ids): the one that stands for the id is the least hash.
     chosen = reps.select("i", "h").join(involved, "i", "left_semi").groupBy("i").agg(F.min("h").alias("h"))
@@ -226,31 +311,16 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     checked = written(_verified(pairs(stars), texts, least, kind), "checked")
     links = checked.where("sim > 0").select("a", "b")
 
-    # Buckets with a failure, all of their members, split by further sketches.
-    bad = stars.join(links, ["a", "b"], "left_anti").select("key").distinct()
-    again = _members(stars.join(bad, "key", "left_semi")).join(reps.select("i", "keys"), "i")
-    other = [F.struct(F.xxhash64("key", F.get("keys", F.pmod(F.col("s") + 1 + 3 * j, F.size("keys")))).alias("key"), F.lit(j).alias("s")) for j in range(SPLITS)]
-    split = written(_stars(again.select("i", "n", F.explode(F.array(*other)).alias("x")).select("i", "n", "x.key", "x.s").distinct()), "split")
-    checked2 = written(_verified(pairs(split).join(checked.select("a", "b"), ["a", "b"], "left_anti"), texts, least, kind), "checked")
-    links = links.unionByName(checked2.where("sim > 0").select("a", "b"))
-    labels = components(links)
-
-    # The rest, pair by pair, where that can still join two classes: every member that failed
-    # against its pivot with every other member of another class so far.
-    named = labels.select(F.col("node").alias("i"), "label")
-    failed = split.join(links, ["a", "b"], "left_anti").select("key", F.col("b").alias("i"), F.col("nb").alias("nx")).join(named, "i", "left")
-    failed = failed.select("key", F.col("i").alias("x"), "nx", F.coalesce("label", "i").alias("lx"))
-    member = _members(split.join(failed.select("key").distinct(), "key", "left_semi")).join(named, "i", "left").select("key", "i", "n", F.coalesce("label", "i").alias("l"))
-    x, y = F.col("x"), F.col("i")
-    rest = failed.join(member, "key").where((F.col("lx") != F.col("l")) & (F.least("nx", "n") >= F.greatest("nx", "n") * F.lit(least) - 1e-6))
-    rest = rest.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct().join(checked.select("a", "b").unionByName(checked2.select("a", "b")), ["a", "b"], "left_anti")
-    checked3 = written(_verified(rest, texts, least, kind), "checked")
-    at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    bridges = checked3.where("sim > 0").join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    over = components(bridges).select(F.col("node").alias("class"), F.col("label").alias("top"))
-
-    classes = firsts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("label", "rep").alias("class"))
-    classes = classes.join(over, "class", "left").select("h", F.coalesce("top", "class").alias("class_id"))
+    # The rest, pair by pair, where that can still join two classes.
+    labels = written(_merged(involved.select("i", F.col("i").alias("label")), links), "classes")
+    bags = written(reps.join(chosen, ["i", "h"], "left_semi").select("i", "n", "bag"), "bags")
+    for few in (_FEW, 0):
+        new = written(_across(stars, labels, bags, least, kind, few).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        more = written(_verified(new, texts, least, kind), "checked")
+        labels = written(_merged(labels, more.where("sim > 0")), "classes")
+        checked = checked.unionByName(more)
+
+    classes = firsts.join(labels.withColumnRenamed("i", "rep"), "rep", "left").select("h", F.coalesce("label", "rep").alias("class_id"))
     out = found.select("i", "h").join(classes, "h").select("i", "class_id")
     return out.unionByName(rows.where("t is null").select("i", F.col("i").alias("class_id"))).withColumnRenamed("i", doc_id)
 

@@ -185,6 +185,34 @@ def test_near_duplicates_compare_whole_texts(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
 
 
+def test_near_duplicates_of_one_sketch_are_never_lost(spark, monkeypatch):
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    # Every text has one sketch in common with all others and none else, under a pivot that is like none.
+    own = {}
+    monkeypatch.setattr(near_dedup, "_MOST", 16)
+    sketched = near_dedup._sketched
+    monkeypatch.setattr(near_dedup, "_sketched", lambda docs, kind: sketched(docs, kind).withColumn("keys", F.array(F.lit(1), *[F.xxhash64("h", F.lit(j)) for j in range(19)])))
+    texts = {0: words(50)}
+    for i in range(1, 60):
+        a = words(50)
+        texts[i], texts[100 + i] = a, [*a[:20], *words(5), *a[25:]]
+        own[i] = own[100 + i] = i
+    rows = [(i, " ".join(t)) for i, t in texts.items()]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == own | {0: 0}
+
+
+def test_bags_bound_the_edit_distance():
+    rng = np.random.default_rng(8)
+    vocabulary = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    texts = [rng.choice(vocabulary, rng.integers(1, 30)) for _ in range(40)] + [np.repeat(vocabulary[:1], n) for n in (254, 300, 600)]
+    bags = np.stack([np.frombuffer(near_dedup.bag(t), np.uint8) for t in texts])
+    for t, one in zip(texts[::3], bags[::3], strict=True):
+        for other, bound in zip(texts, near_dedup._bounds(one, bags, bags.sum(1, dtype=np.int64)), strict=True):
+            assert 0 <= bound <= distance(t.tolist(), other.tolist())
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = odd_documents(spark)
     found = near_dedup.near_classes(docs).collect()
