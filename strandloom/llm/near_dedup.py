@@ -1,6 +1,6 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-A sketch samples the ``order`` k-mers (five words, each labelled with its occurrence) of least
+A sketch samples the ``order`` k-mers (two words, each labelled with its occurrence) of least
 hash and keeps them in text order, so that it is sensitive to edits and not only to the bag
 of k-mers.  Texts that share a sketch are candidates; a candidate pair is a link if a banded
 alignment of their words finds an edit similarity of at least ``least``.
@@ -13,8 +13,8 @@ that share a sketch and are similar always end in one class, whatever else is in
 That is quadratic in the texts of such a bucket, but only the bound is.  Classes
 are the connected components of the links; the least doc_id names a class.
 
-Null texts, and texts without a word unless equal, are classes of their own.  Texts of fewer
-than five words are one k-mer.  Equal texts, repeated rows and equal ids share a class.
+Null texts, and texts without a word unless equal, are classes of their own.  Short texts have
+further sketches of single words.  Equal texts, repeated rows and equal ids share a class.
 Extra columns are ignored.
 """
 
@@ -25,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, mix, runs, small_batches, spans_of, steps, written
 from .components import components
 
-WORDS, LEAST = 5, 0.8
+WORDS, LEAST = 2, 0.8
 #: Sketches of a text and k-mers in each: texts with a share J of common k-mers meet with
-#: probability 1 - (1 - J**4)**20, over 0.9999 at 0.8.
-SKETCHES, ORDER = 20, 4
+#: probability 1 - (1 - J**2)**32.  Scattered edits of one word in five leave a J of about 0.47.
+SKETCHES, ORDER = 32, 2
+#: Texts of up to SHORT words have SINGLES more sketches, of one word each: few of their pairs of words outlive an edit.
+SHORT, SINGLES = 20, 8
 #: Counts of words in a bag.
 BINS = 256
 #: Texts of a bucket that are compared at once, and pairs of two classes that are aligned before all others.
@@ -42,7 +45,7 @@ _MOST, _FEW = 512, 4
 _BLOCK = 1 << 16
 
 
-def thinned(h: np.ndarray, k: int = WORDS) -> np.ndarray:
+def thinned(h: np.ndarray, k: int = 5) -> np.ndarray:
     """The words of a text without the bulk of its repetitions.  Classes do not use it: they compare whole texts.
 
     Of a k-mer's occurrences only the 1st, 2nd, 4th, 8th ... count; words that lie in none of
@@ -98,6 +101,13 @@ def sketches(h: np.ndarray, count: int = SKETCHES, order: int = ORDER, k: int =
     return out
 
 
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """All sketches of a text's word hashes."""
+    if len(h) > SHORT:
+        return sketches(h)
+    return np.concatenate([sketches(h), mix(sketches(h, SINGLES, 1, 1, 6))])
+
+
 def mix_rows(g: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     """One pseudo-random order of the k-mers for each sketch."""
     return (g[None, :] ^ add) * mul
@@ -178,10 +188,36 @@ def _sketched(docs: DataFrame, kind: str) -> DataFrame:
                 h, own, _, _ = SPACED.words(texts[lo:hi])
                 at = spans_of(own, hi - lo)
                 each = [h[at[i] : at[i + 1]] for i in range(hi - lo)]
-                keys = [sketches(x).view(np.int64) for x in each]
-                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([bag(x) for x in each], pa.binary())], ["i", "h", "n", "keys", "bag"])
+                keys = [keys_of(x).view(np.int64) for x in each]
+                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["i", "h", "n", "keys"])
+
+    return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>")
+
+
+def _bagged(texts: DataFrame, kind: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in steps(pc.binary_length(b.column("t")).to_pylist()):
+                h, own, _, _ = SPACED.words([t.encode("utf-8", "replace") for t in b.column("t").slice(lo, hi - lo).to_pylist()])
+                at = spans_of(own, hi - lo)
+                bags = [bag(h[at[i] : at[i + 1]]) for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(bags, pa.binary())], ["i", "n", "bag"])
+
+    return texts.mapInArrow(run, f"i {kind}, n long, bag binary")
+
+
+def _possible(pairs: DataFrame, bags: DataFrame, least: float, kind: str) -> DataFrame:
+    """The pairs (a, b) that the bound on the edit distance does not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("ba", "bb"))
+            size = np.maximum(b.column("na").to_numpy(), b.column("nb").to_numpy())
+            bound = np.maximum(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64)) - np.minimum(x, y).sum(1, dtype=np.int64)
+            yield b.select(["a", "b"]).filter(pa.array(bound <= ((1 - least) * size + 1e-9).astype(np.int64)))
 
-    return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>, bag binary")
+    full = pairs.join(bags.toDF("b", "nb", "bb"), "b").join(bags.toDF("a", "na", "ba"), "a")
+    return full.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, kind: str) -> DataFrame:
@@ -212,16 +248,18 @@ def _stars(buckets: DataFrame) -> DataFrame:
 
 
 def _across(stars: DataFrame, labels: DataFrame, bags: DataFrame, least: float, kind: str, few: int = 0) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket and of two classes that may be similar; ``few``: at most so many of two classes in a block.
+    """(a, b), a < b: pairs of a bucket, pivot aside, and of two classes that may be similar; ``few``: at most so many of two classes in a block.
 
-    labels: i, label.  bags: i, n, bag.  Buckets of one class go; larger ones than a block are
+    labels: i, label.  bags: i, n, bag.  Every text has met its pivot.  Buckets of one class go; larger ones than a block are
     dealt over blocks so that every two texts meet in one.
     """
-    member = stars.select("key", F.col("b").alias("i")).unionByName(stars.select("key", F.col("a").alias("i"))).distinct().join(labels, "i")
+    member = stars.select("key", F.col("b").alias("i")).distinct().join(labels, "i")
     mixed = member.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     dealt = member.join(mixed.select("key", F.ceil(F.col("size") / _MOST).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("i"), "parts").cast("int"))
-    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(bags, "i")
-    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "i", "label", "n", "bag")
+    dealt = written(dealt, "dealt")
+    every = dealt.groupBy("i").agg(F.collect_list("key").alias("keys"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(every.join(bags, "i"), "i")
+    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "i", "label", "n", "bag", "keys")
 
     def met(rows: pa.Table) -> tuple[pa.Array, pa.Array] | None:
         ids, n = rows.column("i").combine_chunks(), rows.column("n").to_numpy()
@@ -229,6 +267,8 @@ def _across(stars: DataFrame, labels: DataFrame, bags: DataFrame, least: float,
         part, same = rows.column("part").to_numpy(), rows.column("x")[0] == rows.column("y")[0]
         bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
         sums = bags.sum(1, dtype=np.int64)
+        key, keys = rows.column("key")[0].as_py(), rows.column("keys").to_pylist()
+        before = [{x for x in each if x < key} for each in keys]  # pairs that share an earlier bucket met there
         found = []
         for k in range(len(n) - 1):
             size = np.maximum(n[k + 1 :], n[k])
@@ -236,8 +276,9 @@ def _across(stars: DataFrame, labels: DataFrame, bags: DataFrame, least: float,
             at = np.flatnonzero(fits)
             if len(at):
                 bound = _bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at])
-                ok = bound <= ((1 - least) * size[at] + 1e-9).astype(np.int64)
-                found.append((np.full(ok.sum(), k), at[ok] + k + 1, bound[ok] / size[at][ok]))
+                ok = np.flatnonzero(bound <= ((1 - least) * size[at] + 1e-9).astype(np.int64))
+                ok = ok[[before[k].isdisjoint(before[x + k + 1]) for x in at[ok].tolist()]] if len(ok) else ok
+                found.append((np.full(len(ok), k), at[ok] + k + 1, bound[ok] / size[at][ok]))
         a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         if few and len(a):
             pair = np.minimum(label[a], label[b]).astype(np.int64) * len(n) + np.maximum(label[a], label[b])
@@ -308,12 +349,12 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     texts = written(base.join(chosen, ["i", "h"], "left_semi").select("i", "t").dropDuplicates(["i"]), "involved")
     pairs = lambda s: s.where(_near(least)).select("a", "b").distinct()
 
-    checked = written(_verified(pairs(stars), texts, least, kind), "checked")
+    bags = written(_bagged(texts, kind), "bags")
+    checked = written(_verified(_possible(pairs(stars), bags, least, kind), texts, least, kind), "checked")
     links = checked.where("sim > 0").select("a", "b")
 
     # The rest, pair by pair, where that can still join two classes.
     labels = written(_merged(involved.select("i", F.col("i").alias("label")), links), "classes")
-    bags = written(reps.join(chosen, ["i", "h"], "left_semi").select("i", "n", "bag"), "bags")
     for few in (_FEW, 0):
         new = written(_across(stars, labels, bags, least, kind, few).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
         more = written(_verified(new, texts, least, kind), "checked")

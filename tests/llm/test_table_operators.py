@@ -185,6 +185,41 @@ def test_near_duplicates_compare_whole_texts(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4}
 
 
+def test_near_duplicates_by_edit_similarity(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, pairs = [], {}
+    for size, edits in [(5, 1), (7, 1), (11, 2), (30, 6), (100, 20), (100, 15), (300, 60), (1000, 200)]:
+        for _ in range(40):
+            a = [word() for _ in range(size)]
+            b = list(a)
+            for i in rng.sample(range(size), edits):
+                b[i] = word()
+            pairs.setdefault(size, []).append(len(rows))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for size, firsts in pairs.items():
+        assert sum(got[i] == got[i + 1] for i in firsts) >= 0.97 * len(firsts), size
+    seven = [(0, "one two three four five six seven"), (1, "one two three four five six eight"), (2, "one two three four five"), (3, "one two other four five")]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(spark.createDataFrame(seven, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    texts = sorted(((r["text"].split(), r["doc_id"]) for r in docs.collect()), key=lambda x: len(x[0]))
+    close = 0
+    for k, (a, i) in enumerate(texts):
+        for b, j in texts[k + 1 :]:
+            if len(a) < 0.8 * len(b) - 1e-6:
+                break
+            if near_dedup.similarity(a, b):
+                close += 1
+                assert got[i] == got[j], (i, j)
+    assert close > 50
+
+
 def test_near_duplicates_of_one_sketch_are_never_lost(spark, monkeypatch):
     rng = random.Random(6)
     words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
