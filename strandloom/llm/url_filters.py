@@ -45,18 +45,27 @@ def ruled(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES
     return rule, verdict
 
 
-def templates(paths: DataFrame, *, depth: int = 6, most_children: int = 64, rare: float = 0.02, z: float = 1.96) -> DataFrame:
+def templates(paths: DataFrame, *, most_children: int = 64, rare: float = 0.02, z: float = 1.96) -> DataFrame:
     """(host, path, template) of a table (host, path, n, good, bad) with one row for each path.
 
-    depth: levels at which statistics decide; below, segments that look variable become wildcards
-    and the others stay.
+    A path that is the last one below its template so far has no siblings, so the rest of it goes by its looks at once.
     """
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    state = paths.select("host", "path", "n", "good", "bad", segs.alias("segs"), F.lit("").alias("t"))
-    levels = min(depth, paths.agg(F.max(F.size(segs))).first()[0] or 0)
-    for level in range(levels):
+    fields = ("host", "path", "n", "good", "bad", "segs", "t")
+
+    def parted(state: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """Paths that go on at this level, and the finished ones with their templates."""
+        more = F.size("segs") > level
+        many = state.where(more).groupBy("host", "t").agg(F.count("*").alias("paths")).where("paths > 1")
+        both = written(state.join(many, ["host", "t"], "left").withColumn("on", more & F.col("paths").isNotNull()), "level")
+        tail = F.transform(F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), F.when(s.rlike(VARIABLE), "*").otherwise(s)))
+        return both.where("on").select(*fields), both.where("not on").select("host", "path", "n", "good", "bad", F.concat("t", F.array_join(tail, "")).alias("template"))
+
+    state, found = parted(paths.select("host", "path", "n", "good", "bad", segs.alias("segs"), F.lit("").alias("t")), 0)
+    level = 0
+    while not state.isEmpty():
         seg = F.get("segs", F.lit(level))
-        child = written(state.where(seg.isNotNull()).groupBy("host", "t", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")]), "children")
+        child = written(state.groupBy("host", "t", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")]), "children")
         node = child.groupBy("host", "t").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")])
         known, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
         share = lambda good, of: F.try_divide(good.cast("double"), of.cast("double"))
@@ -66,9 +75,11 @@ def templates(paths: DataFrame, *, depth: int = 6, most_children: int = 64, rare
         alike = (known > 0) & (others > 0) & (apart < z)
         wild = F.col("seg").rlike(VARIABLE) | ((F.col("kinds") > most_children) & (F.col("n") < rare * F.col("all_n"))) | alike
         step = child.join(node, ["host", "t"]).select("host", "t", "seg", F.when(F.coalesce(wild, F.lit(False)), "*").otherwise(F.col("seg")).alias("next"))
-        state = written(state.withColumn("seg", seg).join(step, ["host", "t", "seg"], "left").select("host", "path", "n", "good", "bad", "segs", F.concat("t", F.coalesce(F.concat(F.lit("/"), F.col("next")), F.lit(""))).alias("t")), "level")
-    tail = F.transform(F.slice("segs", F.lit(levels + 1), F.greatest(F.size("segs") - levels, F.lit(0))), lambda s: F.concat(F.lit("/"), F.when(s.rlike(VARIABLE), "*").otherwise(s)))
-    return state.select("host", "path", "n", "good", "bad", F.concat("t", F.array_join(tail, "")).alias("template"))
+        after = written(state.withColumn("seg", seg).join(step, ["host", "t", "seg"]).select("host", "path", "n", "good", "bad", "segs", F.concat("t", F.lit("/"), "next").alias("t")), "step")
+        level += 1
+        state, more = parted(after, level)
+        found = found.unionByName(more)
+    return found
 
 
 def judge(pages: DataFrame, labels: DataFrame | None, *, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", label: str = "quality", rules: tuple[tuple[str, str], ...] = RULES, least_purity: float = 0.5, weight: float = 8.0, **tree) -> DataFrame:

@@ -70,6 +70,16 @@ def test_url_templates_reject_by_purity(spark):
     assert {r["verdict"] for i, r in found.items() if i % 4 or i >= 400} == {"allow"}
 
 
+def test_url_statistics_reach_every_level(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    rows = [(i, f"http://deep.com/a/b/c/d/e/f/{'bad' if i < 200 else 'good'}/g/{word(i)}") for i in range(600)]
+    labels = [(i, 0 if i < 200 else 1) for i in range(0, 600, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = {r["page_id"]: r for r in url_filters.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert {r["template"] for r in found.values()} == {"/a/b/c/d/e/f/bad/g/*", "/a/b/c/d/e/f/good/g/*"}
+    assert all(r["verdict"] == ("block" if i < 200 else "allow") for i, r in found.items())
+
+
 def test_url_empty_table(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string"), None).count() == 0
 
