@@ -189,11 +189,11 @@ stopped AS (SELECT *, min(CASE WHEN p - t >= {_XDROP} THEN i END) OVER (PARTITIO
 FROM (SELECT *, max(p) OVER (PARTITION BY query_id, oid, diag) AS best FROM stopped WHERE stop IS NULL OR i <= stop) GROUP BY query_id, oid, diag"""
 )
 def ungapped_xdrop(spark, sf):
-    """The right arm of the longest island of each diagonal, over at most 200 residues of reach; the SQL has it in window form."""
+    """The right arm of the longest island of each diagonal, to the X-drop or the end of a sequence; the SQL has it in window form, over the first 200 residues."""
     i, q, s = _islands(spark, sf), _q(spark, sf), _s(spark, sf)
     best = i.groupBy("query_id", "oid", "diag").agg(F.max(F.struct("length", (-F.col("q_start")).alias("m"), "s_start")).alias("x"))
     e = best.select("query_id", "oid", "diag", (-F.col("x.m") + F.col("x.length")).cast("int").alias("q0"), (F.col("x.s_start") + F.col("x.length")).cast("int").alias("s0"))
-    arms = e.join(q, "query_id").withColumn("a", F.substring("residues", F.col("q0") + 1, F.lit(200))).drop("residues").join(s.select("oid", "residues"), "oid").withColumn("b", F.substring("residues", F.col("s0") + 1, F.lit(200)))
+    arms = e.join(q, "query_id").withColumn("a", F.substring("residues", F.col("q0") + 1, F.length("residues"))).drop("residues").join(s.select("oid", "residues"), "oid").withColumn("b", F.substring("residues", F.col("s0") + 1, F.length("a")))
     n = F.least(F.length("a"), F.length("b"))
     return arms.where(n > 0).select("query_id", "oid", "diag", right_arm(F.col("a"), F.col("b"), n, _XDROP).alias("x")).select("query_id", "oid", "diag", F.col("x.best").cast("long").alias("gain"), F.col("x.steps").cast("long").alias("steps"))
 

@@ -241,3 +241,12 @@ def test_stream(spark, tmp_path):
     search_stream(fasta_stream(spark, str(folder)), s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["query_id"], r["batch"]) for r in rows.select("query_id", "batch").distinct().collect()} == {("q1", 0), ("q3", 1)}
+
+
+def test_ungapped_arm_has_no_longest_reach(spark, tmp_path):
+    q = "ACDEFGHIKLMNPQRSTVWY" * 15
+    s = q[:20] + "".join("A" if i % 6 == 5 else c for i, c in enumerate(q[20:]))
+    spark.createDataFrame([(1, q)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, s, "en", "s", len(s))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["ungapped_xdrop"](spark, str(tmp_path)).where("diag = 0").collect()
+    assert [r["steps"] > 200 for r in found] == [True]
