@@ -156,10 +156,10 @@ def per_query(hsps: DataFrame, n: int) -> DataFrame:
 
 
 def top_subjects(hsps: DataFrame, n: int) -> DataFrame:
-    """Pairs of the n best subjects of each query: least E-value, then highest score, then oid; with the rank of the subject."""
+    """Pairs of the n best subjects (0: all) of each query: least E-value, then highest score, then oid; with the rank of the subject."""
     best = hsps.groupBy("query_id", "oid").agg(F.min("evalue").alias("e"), F.max("score").alias("s"))
     w = W.partitionBy("query_id").orderBy("e", F.desc("s"), "oid")
-    ranks = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "oid", "rank")
+    ranks = best.withColumn("rank", F.row_number().over(w)).where(F.lit(not n) | (F.col("rank") <= n)).select("query_id", "oid", "rank")
     return hsps.join(ranks, ["query_id", "oid"])
 
 

@@ -214,7 +214,7 @@ def gapped_hsps(spark, sf):
 
 @query()
 def edit_script_stats(spark, sf):
-    h = search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"), _exact_options())
+    h = search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"), _exact_options().with_(max_targets=0))
     return h.groupBy("query_id").agg(F.count("*").alias("pairs"), F.sum("align_length").alias("columns"), F.sum("gaps").alias("gaps"), F.sum("gap_opens").alias("gap_opens"), F.sum("identities").alias("identities"))
 
 

@@ -250,3 +250,8 @@ def test_ungapped_arm_has_no_longest_reach(spark, tmp_path):
     spark.createDataFrame([(1, s, "en", "s", len(s))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = registry.queries()["ungapped_xdrop"](spark, str(tmp_path)).where("diag = 0").collect()
     assert [r["steps"] > 200 for r in found] == [True]
+
+
+def test_zero_targets_mean_all(spark):
+    hits = spark.createDataFrame([(1, oid, 1e-9, 50) for oid in range(600)], "query_id long, oid long, evalue double, score int")
+    assert H.top_subjects(hits, 0).count() == 600 and H.top_subjects(hits, 500).count() == 500
