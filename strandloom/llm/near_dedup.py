@@ -367,6 +367,6 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
 
 def kept(docs: DataFrame, classes: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each class: that whose id names it."""
+    """One row of ``docs`` for each class: that whose id names it; rows without an id all stay."""
     names = classes.where(F.col(doc_id) == F.col("class_id")).select(doc_id).distinct()
-    return docs.join(names, doc_id, "left_semi").dropDuplicates([doc_id])
+    return docs.join(names, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))

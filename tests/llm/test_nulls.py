@@ -38,3 +38,9 @@ def test_pages_and_chats(spark):
     assert warc.pages_of(warc.read_archives(warc.write_archives(pages))).count() == 4
     chats = spark.createDataFrame([(None, None, None, None), (1, None, None, "x"), (0, 0, "user", None)], "conv_id long, turn long, role string, text string")
     assert chat_format.preferences(chat_format.paired(chats)).count() == 3
+
+
+def test_rows_without_an_id_stay(spark):
+    docs = spark.createDataFrame([(None, "some text"), (None, None), (None, "a text of its own"), (7, "some text"), (8, "some text")], "doc_id long, text string")
+    left = near_dedup.kept(docs, near_dedup.near_classes(docs)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (0, "a text of its own"), (0, "some text"), (7, "some text")]
