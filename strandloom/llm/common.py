@@ -44,15 +44,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds Arrow batches, as texts can be long, and lets Python workers find this package where the driver did."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows and bytes of an Arrow batch.  Every operator sets the same, so it does not matter which one was called last.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as texts can be long, and lets Python workers find this package where the driver did."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
 
 
+def utf8(texts: pa.Array) -> list[memoryview]:
+    """The bytes of texts, as views of the Arrow buffer; nulls are empty."""
+    if not len(texts):
+        return []
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    data = memoryview(texts.buffers()[2] or b"").cast("B")
+    return [data[lo:hi] for lo, hi in zip(at, at[1:])]
+
+
 def mapped(docs: DataFrame, text: str, keep: list[str], made: str, names: list[str], run: callable, *, arrow: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` and what ``run`` makes of each text.
 

@@ -3,18 +3,25 @@
 A sketch samples the ``order`` k-mers (two words, each labelled with its occurrence) of least
 hash and keeps them in text order, so that it is sensitive to edits and not only to the bag
 of k-mers.  Texts that share a sketch are candidates; a candidate pair is a link if a banded
-alignment of their words finds an edit similarity of at least ``least``.
-
-Equal texts collapse first.  In a bucket every text is compared with one pivot.  Buckets whose
-texts are then of several classes are compared pair by pair across the classes, in blocks: a
-bound on the edit distance from counts of words rules most pairs out, and what it leaves is
-aligned, a few pairs for each two classes first, then all that still lie in two.  So texts
-that share a sketch and are similar always end in one class, whatever else is in the bucket.
-That is quadratic in the texts of such a bucket, but only the bound is.  Classes
-are the connected components of the links; the least doc_id names a class.
-
-Null texts, and texts without a word unless equal, are classes of their own.  Short texts have
-further sketches of single words.  Equal texts, repeated rows and equal ids share a class.
+alignment of the words of both whole texts finds an edit similarity of at least ``least``.
+
+Equal texts collapse first.  In a bucket (the texts with a sketch in common) every text meets
+one pivot, the least.  Buckets whose texts then still lie in several classes are searched on:
+
+* those of up to ``FULL`` texts pair by pair;
+* larger ones by their rarest words.  Two texts of an edit similarity of ``least`` have at least
+  that share of the longer one's words in common, so, in whatever order words are ranked, each
+  has one of the other's among its own first (1 - least) * length + 1.  Words are ranked from
+  rare to frequent, so texts that share a passage meet at words of their own, in small groups.
+
+So no pair that shares a sketch is lost, whatever else is in its bucket.  What meets is compared
+by an exact bound on the edit distance, from counts of words, before any alignment.  Classes are
+the connected components of the links; the least doc_id names a class.
+
+Null texts are classes of their own, as are rows without a word unless equal.  Texts of up to
+``SHORT`` words have further sketches of single words.  Equal texts and repeated rows share a
+class; rows of one id and different texts are judged each by its text.  A class of rows without
+an id has a null class_id.  An empty table gives no rows.  Very long texts are compared whole.
 Extra columns are ignored.
 """
 
@@ -29,41 +36,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, mix, runs, small_batches, spans_of, steps, written
+from .common import SPACED, mix, runs, small_batches, spans_of, steps, utf8, written
 from .components import components
 
 WORDS, LEAST = 2, 0.8
 #: Sketches of a text and k-mers in each: texts with a share J of common k-mers meet with
-#: probability 1 - (1 - J**2)**32.  Scattered edits of one word in five leave a J of about 0.47.
-SKETCHES, ORDER = 32, 2
+#: probability 1 - (1 - J**2)**20.  Scattered edits of one word in five leave a J of about 0.47.
+SKETCHES, ORDER = 20, 2
 #: Texts of up to SHORT words have SINGLES more sketches, of one word each: few of their pairs of words outlive an edit.
 SHORT, SINGLES = 20, 8
-#: Counts of words in a bag.
-BINS = 256
-#: Texts of a bucket that are compared at once, and pairs of two classes that are aligned before all others.
-_MOST, _FEW = 512, 4
+#: Buckets of several classes are compared pair by pair up to this many texts, by their rarest words beyond.
+FULL = 32
+#: Counts of words in a bag; counts by which words are ranked (a table of this fixed size reaches the driver).
+BINS, RANKS = 256, 1 << 18
+#: Texts of a group that are compared at once, partners that meet one text in a task, and pairs of two classes that are aligned before all others.
+_MOST, _RUN, _FEW = 512, 64, 4
 _BLOCK = 1 << 16
 
 
-def thinned(h: np.ndarray, k: int = 5) -> np.ndarray:
-    """The words of a text without the bulk of its repetitions.  Classes do not use it: they compare whole texts.
-
-    Of a k-mer's occurrences only the 1st, 2nd, 4th, 8th ... count; words that lie in none of
-    those go.  So a line that a text repeats a hundred times weighs as seven.  Texts without a repeated k-mer stay as they are.
-    """
-    if len(h) <= k:
-        return h
-    g = runs(h, k)
-    nth = _occurrence(g)
-    if not nth.any():
-        return h
-    edge = np.zeros(len(h) + 1, np.int64)
-    at = np.flatnonzero((nth & (nth + 1)) == 0)
-    edge[at] += 1
-    edge[at + k] -= 1
-    return h[np.cumsum(edge[:-1]) > 0]
-
-
 def _occurrence(g: np.ndarray) -> np.ndarray:
     """How many equal items come before each item."""
     rank = np.argsort(g, kind="stable")
@@ -73,13 +63,18 @@ def _occurrence(g: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(g: np.ndarray) -> np.ndarray:
+    """Items as themselves the first time, and as another value for each further occurrence."""
+    nth = _occurrence(g).astype(np.uint64)
+    return np.where(nth > 0, mix(g + nth * np.uint64(0x9E3779B97F4A7C15)), g)
+
+
 def sketches(h: np.ndarray, count: int = SKETCHES, order: int = ORDER, k: int = WORDS, seed: int = 5) -> np.ndarray:
     """The sketches (one hash each) of a text's word hashes; none without words."""
     if not len(h):
         return np.zeros(0, np.uint64)
     g = runs(h, min(k, len(h)))
-    nth = _occurrence(g).astype(np.uint64)
-    g = np.where(nth > 0, mix(g + nth * np.uint64(0x9E3779B97F4A7C15)), g)
+    g = labelled(g)
     rng = np.random.default_rng(seed)
     mul, add = (rng.integers(1, 2**63, (2, count), dtype=np.uint64) | np.uint64(1))[:, :, None]
     least = np.tile(np.arange(min(order, len(g))), (count, 1))
@@ -174,199 +169,260 @@ def bag(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def rarest(h: np.ndarray, counts: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The labelled words of a text that one of any similar text's must be among, the rarest by ``counts``."""
+    g = labelled(h)
+    rank = np.lexsort((g, counts[(g >> np.uint64(46)).astype(np.int64)]))
+    return g[rank[: int((1 - least) * len(g) + 1e-9) + 1]]
+
+
 def _bounds(one: np.ndarray, many: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """A lower bound of the edit distances of one bag and many; an edit changes no count by more than one each way."""
     common = np.minimum(many, one).sum(1, dtype=np.uint16).astype(np.int64)
     return np.maximum(sums, int(one.sum(dtype=np.int64))) - common
 
 
-def _sketched(docs: DataFrame, kind: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t.encode("utf-8", "replace") for t in b.column("t").to_pylist()]
-            for lo, hi in steps([len(t) for t in texts]):
-                h, own, _, _ = SPACED.words(texts[lo:hi])
-                at = spans_of(own, hi - lo)
-                each = [h[at[i] : at[i + 1]] for i in range(hi - lo)]
-                keys = [keys_of(x).view(np.int64) for x in each]
-                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["i", "h", "n", "keys"])
+def _allowed(size: np.ndarray, least: float) -> np.ndarray:
+    """The most edits of texts of these lengths that are similar."""
+    return ((1 - least) * size + 1e-9).astype(np.int64)
+
+
+def _bags(column: pa.Array) -> np.ndarray:
+    """Bags as rows of counts, a view of the Arrow buffer."""
+    raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(raw):
+        return np.zeros((0, BINS), np.uint8)
+    at = int(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset])
+    return np.frombuffer(raw.buffers()[2], np.uint8)[at : at + len(raw) * BINS].reshape(-1, BINS)
 
-    return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>")
 
+def _words(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text, from bounded slices."""
+    for lo, hi in steps(pc.binary_length(texts).to_pylist()):
+        h, own, _, _ = SPACED.words(utf8(texts.slice(lo, hi - lo)))
+        at = spans_of(own, hi - lo)
+        for i in range(hi - lo):
+            yield h[at[i] : at[i + 1]]
+
+
+def _sketched(docs: DataFrame, kind: str) -> DataFrame:
+    """(i, h, n, keys, bag) of rows (i, h, t)."""
 
-def _bagged(texts: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in steps(pc.binary_length(b.column("t")).to_pylist()):
-                h, own, _, _ = SPACED.words([t.encode("utf-8", "replace") for t in b.column("t").slice(lo, hi - lo).to_pylist()])
-                at = spans_of(own, hi - lo)
-                bags = [bag(h[at[i] : at[i + 1]]) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([b.column("i").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(bags, pa.binary())], ["i", "n", "bag"])
+            each = list(_words(b.column("t")))
+            keys = [keys_of(x).view(np.int64) for x in each]
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([bag(x) for x in each], pa.binary())], ["i", "h", "n", "keys", "bag"])
 
-    return texts.mapInArrow(run, f"i {kind}, n long, bag binary")
+    return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>, bag binary")
 
 
-def _possible(pairs: DataFrame, bags: DataFrame, least: float, kind: str) -> DataFrame:
-    """The pairs (a, b) that the bound on the edit distance does not rule out."""
+def _possible(pairs: DataFrame, meta: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that neither lengths nor the bound on the edit distance rule out.  meta: u, n, bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("ba", "bb"))
+            x, y = _bags(b.column("ba")), _bags(b.column("bb"))
             size = np.maximum(b.column("na").to_numpy(), b.column("nb").to_numpy())
             bound = np.maximum(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64)) - np.minimum(x, y).sum(1, dtype=np.int64)
-            yield b.select(["a", "b"]).filter(pa.array(bound <= ((1 - least) * size + 1e-9).astype(np.int64)))
+            yield b.select(["a", "b"]).filter(pa.array(bound <= _allowed(size, least)))
 
-    full = pairs.join(bags.toDF("b", "nb", "bb"), "b").join(bags.toDF("a", "na", "ba"), "a")
-    return full.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, f"a {kind}, b {kind}")
+    full = pairs.join(meta.toDF("b", "nb", "bb"), "b").join(meta.toDF("a", "na", "ba"), "a")
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-6
+    return full.where(near).select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, kind: str) -> DataFrame:
-    """(a, b, sim) of pairs; sim is 0 under ``least``."""
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim) of different pairs (a, b), a < b; sim is 0 under ``least``.  texts: u, t.
 
-    def words(text: str) -> list:
-        return SPACED.words([text.encode("utf-8", "replace")])[0].tolist()
+    Rows of one a are dealt in runs of about ``_RUN`` partners behind a copy of its text, so a text of many partners is spread.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[str, list] = {}
+        head, first = None, []
+        for batch in batches:
+            a, part, b = (batch.column(c).to_pylist() for c in ("a", "part", "b"))
+            sims: list[float | None] = []
+            for x, p, y, h in zip(a, part, b, _words(batch.column("t")), strict=True):
+                if x == y:
+                    head, first = (x, p), h.tolist()
+                    sims.append(None)
+                else:
+                    if head != (x, p):
+                        raise ValueError("a run without its first text")
+                    sims.append(similarity(first, h.tolist(), least))
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
+            yield out.filter(pc.is_valid(out.column("sim")))
+
+    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / _RUN).cast("int").alias("parts"))
+    dealt = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    heads = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
+    full = dealt.unionByName(heads).join(texts.toDF("b", "t"), "b")
+    ordered = full.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") < F.col("b"), "b")
+    return ordered.select("a", "part", "b", "t").mapInArrow(run, "a long, b long, sim double")
+
+
+def _by_rarest(members: DataFrame, least: float) -> DataFrame:
+    """(key, u, label): members (u, label, t) of buckets too large for all pairs, at each of their rarest words."""
+    spark = members.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RANKS, np.int64)
         for b in batches:
-            sims = []
-            for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True):
-                if x not in last:
-                    last = {x: words(x)}
-                sims.append(similarity(last[x], words(y), least))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
-
-    full = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-    return full.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, sim double")
-
+            every = [labelled(h) for h in _words(b.column("t")) if len(h)]
+            if every:
+                total += np.bincount((np.concatenate(every) >> np.uint64(46)).astype(np.int64), minlength=RANKS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "c"])
+
+    # RANKS counts at most, whatever the data.
+    found = members.select("t").mapInArrow(count, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).collect()
+    counts = np.zeros(RANKS, np.int64)
+    counts[[r["bin"] for r in found]] = [r["c"] for r in found]
+    shared = spark.sparkContext.broadcast(counts)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [rarest(h, shared.value, least) for h in _words(b.column("t"))]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), b.column("u").take(at), b.column("label").take(at)], ["key", "u", "label"])
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(key, a, b, na, nb) of each other text b of a bucket (key, i, n) and its pivot a, the least id; na, nb: words."""
-    pivot = buckets.groupBy("key").agg(F.min(F.struct("i", "n")).alias("p"), F.max("i").alias("top")).where("top > p.i")
-    joined = buckets.join(pivot.select("key", F.col("p.i").alias("a"), F.col("p.n").alias("na")), "key").where("i > a")
-    return joined.select("key", "a", F.col("i").alias("b"), "na", F.col("n").alias("nb"))
+    return members.select("u", "label", "t").mapInArrow(spread, "key long, u long, label long")
 
 
-def _across(stars: DataFrame, labels: DataFrame, bags: DataFrame, least: float, kind: str, few: int = 0) -> DataFrame:
-    """(a, b), a < b: pairs of a bucket, pivot aside, and of two classes that may be similar; ``few``: at most so many of two classes in a block.
+def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: pairs of a group and of two classes that the bound does not rule out.  groups: key, u, label; meta: u, n, bag.
 
-    labels: i, label.  bags: i, n, bag.  Every text has met its pivot.  Buckets of one class go; larger ones than a block are
-    dealt over blocks so that every two texts meet in one.
+    Groups of one class go; larger ones than a block are dealt over blocks so that every two texts meet in one.
     """
-    member = stars.select("key", F.col("b").alias("i")).distinct().join(labels, "i")
-    mixed = member.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    dealt = member.join(mixed.select("key", F.ceil(F.col("size") / _MOST).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("i"), "parts").cast("int"))
-    dealt = written(dealt, "dealt")
-    every = dealt.groupBy("i").agg(F.collect_list("key").alias("keys"))
-    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(every.join(bags, "i"), "i")
-    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "i", "label", "n", "bag", "keys")
-
-    def met(rows: pa.Table) -> tuple[pa.Array, pa.Array] | None:
-        ids, n = rows.column("i").combine_chunks(), rows.column("n").to_numpy()
-        label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        part, same = rows.column("part").to_numpy(), rows.column("x")[0] == rows.column("y")[0]
-        bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
+    mixed = groups.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    dealt = groups.join(mixed.select("key", F.ceil(F.col("size") / _MOST).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("u"), "parts").cast("int"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(meta, "u")
+    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "u", "label", "n", "bag")
+
+    def met(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        u, n, label, part = (rows.column(c).to_numpy() for c in ("u", "n", "label", "part"))
+        same = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
+        if (label == label[0]).all():
+            return u[:0], u[:0]
+        bags = _bags(rows.column("bag"))
         sums = bags.sum(1, dtype=np.int64)
-        key, keys = rows.column("key")[0].as_py(), rows.column("keys").to_pylist()
-        before = [{x for x in each if x < key} for each in keys]  # pairs that share an earlier bucket met there
         found = []
         for k in range(len(n) - 1):
             size = np.maximum(n[k + 1 :], n[k])
-            fits = (label[k + 1 :] != label[k]) & (np.minimum(n[k + 1 :], n[k]) >= size * least - 1e-6) & (same | (part[k + 1 :] != part[k]))
-            at = np.flatnonzero(fits)
+            at = np.flatnonzero((label[k + 1 :] != label[k]) & (np.minimum(n[k + 1 :], n[k]) >= size * least - 1e-6) & (same | (part[k + 1 :] != part[k])))
             if len(at):
-                bound = _bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at])
-                ok = np.flatnonzero(bound <= ((1 - least) * size[at] + 1e-9).astype(np.int64))
-                ok = ok[[before[k].isdisjoint(before[x + k + 1]) for x in at[ok].tolist()]] if len(ok) else ok
-                found.append((np.full(len(ok), k), at[ok] + k + 1, bound[ok] / size[at][ok]))
-        a, b, bound = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        if few and len(a):
-            pair = np.minimum(label[a], label[b]).astype(np.int64) * len(n) + np.maximum(label[a], label[b])
-            rank = np.lexsort((bound, pair))
-            begin = np.flatnonzero(np.diff(pair[rank], prepend=-1))
-            rank = rank[np.arange(len(rank)) - np.repeat(begin, np.diff(np.append(begin, len(rank)))) < few]
-            a, b = a[rank], b[rank]
-        return ids.take(pa.array(a)), ids.take(pa.array(b))
+                at = at[_bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at]) <= _allowed(size[at], least)]
+                found.append((np.full(len(at), u[k]), u[k + 1 :][at]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (u[:0], u[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        made: list[tuple[pa.Array, pa.Array]] = []
+        held: list[pa.RecordBatch] = []
+        made: list[tuple[np.ndarray, np.ndarray]] = []
         last = None
 
-        def told() -> Iterator[pa.RecordBatch]:
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*made, strict=True)], ["a", "b"])
-                made.clear()
+        def told() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64),) * 2
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "x", "y")])
+            group = np.stack([batch.column(c).to_numpy() for c in ("key", "x", "y")])
             cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 own = tuple(group[:, lo].tolist())
                 if own != last and held:
-                    made.append(met(pa.concat_tables(held)))
+                    made.append(met(pa.Table.from_batches(held)))
                     held.clear()
                 last = own
-                held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+                held.append(batch.slice(lo, hi - lo))
             if sum(len(x) for x, _ in made) > 10_000:
-                yield from told()
+                yield told()
         if held:
-            made.append(met(pa.concat_tables(held)))
-        yield from told()
-
-    pairs = block.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (i, label) after more links (a, b)."""
-    at = lambda c: labels.select(F.col("i").alias(c), F.col("label").alias(f"l{c}"))
-    over = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    return labels.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("i", F.coalesce("top", "label").alias("label"))
-
-
-def _near(least: float) -> F.Column:
-    """Lengths without which no pair is similar enough."""
-    return F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-6
+            made.append(met(pa.Table.from_batches(held)))
+        yield told()
+
+    return block.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _labels(of: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, label) of the texts ``of`` (u) in the components of the links (a, b)."""
+    over = components(links).toDF("u", "label")
+    return of.join(over, "u", "left").select("u", F.coalesce("label", "u").alias("label"))
+
+
+def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): the links among the texts of buckets (key, u, pivot, size)."""
+    stars = buckets.where("u > pivot").select(F.col("pivot").alias("a"), F.col("u").alias("b")).distinct()
+    checked = written(_verified(written(_possible(stars, meta, least), "possible"), texts, least), "checked")
+    involved = buckets.select("u").distinct()
+    labels = written(_labels(involved, checked.where("sim > 0")), "classes")
+
+    # The rest: buckets of several classes.
+    member = written(buckets.select("key", "u", "size").join(labels, "u"), "members")
+    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rest = written(member.join(mixed, "key", "left_semi"), "mixed")
+    large = rest.where(F.col("size") > FULL).select("u", "label").distinct().join(texts, "u")
+    groups = rest.where(F.col("size") <= FULL).select("key", "u", "label").unionByName(_by_rarest(written(large, "large"), least))
+    new = written(_across(written(groups, "groups"), meta, least).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    # A few pairs of each two classes first: they mostly make them one.
+    at = lambda c: labels.select(F.col("u").alias(c), F.col("label").alias(f"l{c}"))
+    for few in (_FEW, 0):
+        open_ = new.join(at("a"), "a").join(at("b"), "b").where("la <> lb")
+        if few:
+            chance = F.xxhash64("a", "b")
+            best = open_.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"), F.pmod(chance, F.lit(few)).alias("k")).agg(F.min(F.struct("a", "b")).alias("p"))
+            chosen = best.select("p.a", "p.b")
+        else:
+            chosen = open_.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        more = written(_verified(written(chosen, "chosen"), texts, least), "checked")
+        checked = checked.unionByName(more)
+        if few:
+            labels = written(_labels(involved, checked.where("sim > 0")), "classes")
+    return checked.where("sim > 0").select("a", "b")
 
 
 def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id."""
+    """One row for each row of ``docs``: doc_id, class_id, class_size (rows), links (similar other texts found), text_md5 and is_first.
+
+    ``is_first`` marks, in each class, the rows of least id, and of them those of one text.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
     base = rows.where("t is not null").withColumn("h", F.unhex(F.md5("t")))
     found = written(_sketched(base.select("i", "h", "t"), kind), "sketches")
-    firsts = found.groupBy("h").agg(F.min("i").alias("rep"))
-    reps = written(found.join(firsts.select(F.col("rep").alias("i"), "h"), ["i", "h"], "left_semi").where("n > 0"), "texts")
-    stars = written(_stars(reps.select("i", "n", F.explode("keys").alias("key"))), "stars")
-    involved = stars.select(F.col("a").alias("i")).unionByName(stars.select(F.col("b").alias("i"))).distinct()
-    # An id may carry several texts (repeated ids): the one that stands for the id is the least hash.
-    chosen = reps.select("i", "h").join(involved, "i", "left_semi").groupBy("i").agg(F.min("h").alias("h"))
-    texts = written(base.join(chosen, ["i", "h"], "left_semi").select("i", "t").dropDuplicates(["i"]), "involved")
-    pairs = lambda s: s.where(_near(least)).select("a", "b").distinct()
-
-    bags = written(_bagged(texts, kind), "bags")
-    checked = written(_verified(_possible(pairs(stars), bags, least, kind), texts, least, kind), "checked")
-    links = checked.where("sim > 0").select("a", "b")
-
-    # The rest, pair by pair, where that can still join two classes.
-    labels = written(_merged(involved.select("i", F.col("i").alias("label")), links), "classes")
-    for few in (_FEW, 0):
-        new = written(_across(stars, labels, bags, least, kind, few).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
-        more = written(_verified(new, texts, least, kind), "checked")
-        labels = written(_merged(labels, more.where("sim > 0")), "classes")
-        checked = checked.unionByName(more)
-
-    classes = firsts.join(labels.withColumnRenamed("i", "rep"), "rep", "left").select("h", F.coalesce("label", "rep").alias("class_id"))
-    out = found.select("i", "h").join(classes, "h").select("i", "class_id")
-    return out.unionByName(rows.where("t is null").select("i", F.col("i").alias("class_id"))).withColumnRenamed("i", doc_id)
-
-
-def kept(docs: DataFrame, classes: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each class: that whose id names it; rows without an id all stay."""
-    names = classes.where(F.col(doc_id) == F.col("class_id")).select(doc_id).distinct()
-    return docs.join(names, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    # One node u for each different text; rep: its least id.
+    once = found.groupBy("h").agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
+    nodes = written(once.select(F.monotonically_increasing_id().alias("u"), "h", "rep", "copies", "n", "keys", "bag"), "nodes")
+
+    each = nodes.where("n > 0").select("u", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("pivot")).where("size > 1")
+    buckets = written(each.join(shared, "key"), "buckets")
+    involved = nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep")
+    texts = base.join(involved, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
+    links = written(_links(buckets, nodes.select("u", "n", "bag"), written(texts, "involved"), least), "all-links")
+
+    ends = links.select(F.col("a").alias("u")).unionByName(links.select(F.col("b").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
+    linked = written(ends.join(components(links).toDF("u", "label"), "u"), "linked")
+    member = nodes.select("u", "h", "rep", "copies").join(linked, "u", "left").select("h", "rep", "copies", F.coalesce("label", "u").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    head = member.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "h"))).alias("head"))
+    classes = member.join(head, "label").select("h", F.col("head.rep").alias("class_id"), F.col("head.h").alias("hh"), "class_size", "links")
+    out = found.select("i", "h").join(classes, "h").select("i", "class_id", "class_size", "links", F.hex("h").alias("text_md5"), F.coalesce((F.col("i") == F.col("class_id")) & (F.col("h") == F.col("hh")), F.lit(False)).alias("is_first"))
+    none = rows.where("t is null").select("i", F.col("i").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("string").alias("text_md5"), F.lit(True).alias("is_first"))
+    return out.unionByName(none).withColumnRenamed("i", doc_id)
+
+
+def kept(docs: DataFrame, classes: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each class of ``near_classes``: the first.  Rows without an id or without a text all stay."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    i, t = (F.col(names[docs.columns.index(c)]) for c in (doc_id, text))
+    first = classes.where("is_first").select(F.col(doc_id).alias("first_id"), F.col("text_md5").alias("first_md5")).distinct()
+    whole = inner.where(i.isNotNull() & t.isNotNull()).withColumn("md5", F.upper(F.md5(t)))
+    stay = whole.join(first, (i == F.col("first_id")) & (F.col("md5") == F.col("first_md5")), "left_semi").dropDuplicates([names[docs.columns.index(doc_id)], "md5"])
+    return stay.select(names).unionByName(inner.where(i.isNull() | t.isNull())).toDF(*docs.columns)

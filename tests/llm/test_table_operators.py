@@ -110,12 +110,8 @@ def test_banded_alignment():
         assert abs(near_dedup.similarity(a, b) - want) < 1e-9
 
 
-def test_thinning_and_sketches():
+def test_sketches():
     h = np.arange(100, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    assert near_dedup.thinned(h) is h
-    line = h[:10]
-    long = np.concatenate([np.tile(line, 100), h[50:]])
-    assert len(near_dedup.thinned(long)) < 150
     assert (near_dedup.sketches(h) == near_dedup.sketches(h.copy())).all()
     assert len(near_dedup.sketches(h[:0])) == 0 and len(near_dedup.sketches(h[:2])) == near_dedup.SKETCHES
     big = np.random.default_rng(1).integers(1, 2**63, 200_000, dtype=np.uint64)
