@@ -5,6 +5,12 @@ hash and keeps them in text order, so that it is sensitive to edits and not only
 of k-mers.  Texts that share a sketch are candidates; a candidate pair is a link if a banded
 alignment of the words of both whole texts finds an edit similarity of at least ``least``.
 
+k-mers compete by hash, those of frequent words at a handicap: a k-mer whose rarest word is
+frequent in the corpus is sampled up to ``2 ** HANDICAP`` times less often.  So "of the" or a line
+that a third of the corpus has in common rarely makes a bucket.  Counts of words come from all
+texts, in a table of fixed size.  Texts that are alike in nothing but frequent lines meet by further
+sketches, of k-mers of five words without a handicap.
+
 Equal texts collapse first.  In a bucket (the texts with a sketch in common) every text meets
 one pivot, the least.  Buckets whose texts then still lie in several classes are searched on:
 
@@ -41,15 +47,19 @@ from .components import components
 
 WORDS, LEAST = 2, 0.8
 #: Sketches of a text and k-mers in each: texts with a share J of common k-mers meet with
-#: probability 1 - (1 - J**2)**20.  Scattered edits of one word in five leave a J of about 0.47.
-SKETCHES, ORDER = 20, 2
+#: probability 1 - (1 - J**2)**18.  Scattered edits of one word in five leave a J of about 0.47.
+SKETCHES, ORDER = 18, 2
+#: Sketches of k-mers of five words and without a handicap: of one edit in five these would find one pair in five.
+LONG, LONGS = 5, 6
 #: Texts of up to SHORT words have SINGLES more sketches, of one word each: few of their pairs of words outlive an edit.
 SHORT, SINGLES = 20, 8
 #: Buckets of several classes are compared pair by pair up to this many texts, by their rarest words beyond.
-FULL = 32
-#: Counts of words in a bag; counts by which words are ranked (a table of this fixed size reaches the driver).
-BINS, RANKS = 256, 1 << 18
-#: Texts of a group that are compared at once, partners that meet one text in a task, and pairs of two classes that are aligned before all others.
+FULL = 256
+#: Counts of words in a bag; counts of the corpus's words (a table of this fixed size reaches the driver and every worker).
+BINS, RANKS = 256, 1 << 16
+#: Words of up to 64 occurrences, or one in 2**15 of all, have no handicap; each doubling beyond adds one bit, up to HANDICAP.
+HANDICAP, RARE_COUNT, RARE_SHARE = 6, 64, 2.0**-15
+#: Texts of a block that are compared at once, partners that meet one text in a task, and pairs of two classes that are aligned before all others.
 _MOST, _RUN, _FEW = 512, 64, 4
 _BLOCK = 1 << 16
 
@@ -69,24 +79,37 @@ def labelled(g: np.ndarray) -> np.ndarray:
     return np.where(nth > 0, mix(g + nth * np.uint64(0x9E3779B97F4A7C15)), g)
 
 
-def sketches(h: np.ndarray, count: int = SKETCHES, order: int = ORDER, k: int = WORDS, seed: int = 5) -> np.ndarray:
-    """The sketches (one hash each) of a text's word hashes; none without words."""
+def _bin(h: np.ndarray) -> np.ndarray:
+    """Where words are counted."""
+    return (h >> np.uint64(48)).astype(np.int64)
+
+
+def handicaps(counts: np.ndarray) -> np.ndarray:
+    """How many bits the words of each bin lose."""
+    free = max(RARE_COUNT, RARE_SHARE * int(counts.sum()))
+    return np.round(np.clip(np.log2(np.maximum(counts, 1) / free), 0, HANDICAP)).astype(np.uint8)
+
+
+def sketches(h: np.ndarray, handicap: np.ndarray | None = None, count: int = SKETCHES, order: int = ORDER, k: int = WORDS, seed: int = 5) -> np.ndarray:
+    """The sketches (one hash each) of a text's word hashes; none without words.  handicap: bits lost by bin of words."""
     if not len(h):
         return np.zeros(0, np.uint64)
-    g = runs(h, min(k, len(h)))
-    g = labelled(g)
+    k = min(k, len(h))
+    g = labelled(runs(h, k))
+    bits = np.zeros(len(h), np.uint8) if handicap is None else handicap[_bin(h)]
+    shift = (np.uint8(HANDICAP) - np.minimum.reduce([bits[i : i + len(g)] for i in range(k)])).astype(np.uint64)
     rng = np.random.default_rng(seed)
     mul, add = (rng.integers(1, 2**63, (2, count), dtype=np.uint64) | np.uint64(1))[:, :, None]
     least = np.tile(np.arange(min(order, len(g))), (count, 1))
     if len(g) > order:
         found = []
         for lo in range(0, len(g), _BLOCK):
-            x = mix_rows(g[lo : lo + _BLOCK], mul, add)
+            x = mix_rows(g[lo : lo + _BLOCK], mul, add) >> shift[lo : lo + _BLOCK]
             n = min(order, x.shape[1])
             found.append((np.argpartition(x, n - 1, 1)[:, :n] if n < x.shape[1] else np.tile(np.arange(n), (count, 1))) + lo)
         at = np.concatenate(found, 1)
         if len(found) > 1:
-            v = (g[at] ^ add) * mul
+            v = ((g[at] ^ add) * mul) >> shift[at]
             at = np.take_along_axis(at, np.argpartition(v, order - 1, 1)[:, :order], 1)
         least = np.sort(at, 1)
     picked = g[least]
@@ -96,11 +119,12 @@ def sketches(h: np.ndarray, count: int = SKETCHES, order: int = ORDER, k: int =
     return out
 
 
-def keys_of(h: np.ndarray) -> np.ndarray:
+def keys_of(h: np.ndarray, handicap: np.ndarray | None = None) -> np.ndarray:
     """All sketches of a text's word hashes."""
-    if len(h) > SHORT:
-        return sketches(h)
-    return np.concatenate([sketches(h), mix(sketches(h, SINGLES, 1, 1, 6))])
+    found = [sketches(h, handicap), ~sketches(h, None, LONGS, ORDER, LONG, 7)]
+    if len(h) <= SHORT:
+        found.append(mix(sketches(h, handicap, SINGLES, 1, 1, 6)))
+    return np.concatenate(found)
 
 
 def mix_rows(g: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
@@ -109,7 +133,10 @@ def mix_rows(g: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def aligned(a: list, b: list, most: int) -> int | None:
-    """Edit distance of two lists if it is at most ``most``, by furthest-reaching points within that band of diagonals."""
+    """Edit distance of two lists if it is at most ``most``, within that band of diagonals.
+
+    Few edits are found by furthest-reaching points, more by a sweep of the band in bits.
+    """
     lo, n, m = 0, len(a), len(b)
     while lo < n and lo < m and a[lo] == b[lo]:
         lo += 1
@@ -121,12 +148,24 @@ def aligned(a: list, b: list, most: int) -> int | None:
         return None
     if not n or not m:
         return max(n, m)
+    found = _reached(a, b, min(most, _NEAR))
+    if found is not None or most <= _NEAR:
+        return found
+    return _swept(a, b, most)
+
+
+#: Edits up to which alignment goes by furthest-reaching points: their cost grows with the square of the edits.
+_NEAR = 10
+
+
+def _reached(a: list, b: list, most: int) -> int | None:
+    """Edit distance up to ``most``, by furthest-reaching points of its band of diagonals."""
+    n, m = len(a), len(b)
     goal = m - n
-    reach = {0: 0}
     i = 0
     while i < n and i < m and a[i] == b[i]:
         i += 1
-    reach[0] = i
+    reach = {0: i}
     if goal == 0 and i >= n:
         return 0
     for e in range(1, most + 1):
@@ -147,6 +186,37 @@ def aligned(a: list, b: list, most: int) -> int | None:
     return None
 
 
+def _swept(a: list, b: list, most: int) -> int | None:
+    """Edit distance up to ``most``, column by column: differences down the band are bits of two numbers."""
+    if len(a) < len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    band = min(most, n)
+    top = 2 * band + 1
+    every = (2 << top) - 1
+    place = dict.fromkeys(b, 0)
+    for i, x in enumerate(a):
+        if x in place:
+            place[x] |= 1 << (i + top - band)
+    down, up = ((2 << band) - 1) << (top - band), 0
+    now, corner, edge = band, 1 << top, 1 << top
+    for j, x in enumerate(b):
+        equal = place[x] >> j & every
+        flat = (((equal & down) + down) ^ down | equal | up) & every
+        right, left = up | every & ~(flat | down), flat & down
+        if j < n - band:
+            now += not flat & corner
+        else:
+            edge >>= 1
+            now += bool(right & edge) - bool(left & edge)
+        flat >>= 1
+        down, up = left | every & ~(flat | right), flat & right
+        # What is left of the columns can take off one each.
+        if now - (m - 1 - j) > most + max(0, n - band - 1 - j):
+            return None
+    return now if now <= most else None
+
+
 def similarity(a: list, b: list, least: float = LEAST) -> float:
     """Edit similarity of two word lists (1 - distance / length of the longer), or 0 if it is under ``least``."""
     size = max(len(a), len(b))
@@ -172,7 +242,7 @@ def bag(h: np.ndarray) -> bytes:
 def rarest(h: np.ndarray, counts: np.ndarray, least: float = LEAST) -> np.ndarray:
     """The labelled words of a text that one of any similar text's must be among, the rarest by ``counts``."""
     g = labelled(h)
-    rank = np.lexsort((g, counts[(g >> np.uint64(46)).astype(np.int64)]))
+    rank = np.lexsort((g, counts[_bin(h)]))
     return g[rank[: int((1 - least) * len(g) + 1e-9) + 1]]
 
 
@@ -205,13 +275,33 @@ def _words(texts: pa.Array) -> Iterator[np.ndarray]:
             yield h[at[i] : at[i + 1]]
 
 
-def _sketched(docs: DataFrame, kind: str) -> DataFrame:
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How many words of all texts (t) fall into each bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RANKS, np.int64)
+        for b in batches:
+            column = b.column("t")
+            for lo, hi in steps(pc.binary_length(column).to_pylist()):
+                total += np.bincount(_bin(SPACED.words(utf8(column.slice(lo, hi - lo)))[0]), minlength=RANKS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "c"])
+
+    # RANKS rows at most, whatever the data.
+    found = texts.select("t").mapInArrow(run, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).toPandas()
+    counts = np.zeros(RANKS, np.int64)
+    counts[found["bin"]] = found["c"]
+    return counts
+
+
+def _sketched(docs: DataFrame, kind: str, counts: np.ndarray) -> DataFrame:
     """(i, h, n, keys, bag) of rows (i, h, t)."""
+    shared = docs.sparkSession.sparkContext.broadcast(handicaps(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = list(_words(b.column("t")))
-            keys = [keys_of(x).view(np.int64) for x in each]
+            keys = [keys_of(x, shared.value).view(np.int64) for x in each]
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([bag(x) for x in each], pa.binary())], ["i", "h", "n", "keys", "bag"])
 
     return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>, bag binary")
@@ -262,24 +352,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return ordered.select("a", "part", "b", "t").mapInArrow(run, "a long, b long, sim double")
 
 
-def _by_rarest(members: DataFrame, least: float) -> DataFrame:
+def _by_rarest(members: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
     """(key, u, label): members (u, label, t) of buckets too large for all pairs, at each of their rarest words."""
-    spark = members.sparkSession
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RANKS, np.int64)
-        for b in batches:
-            every = [labelled(h) for h in _words(b.column("t")) if len(h)]
-            if every:
-                total += np.bincount((np.concatenate(every) >> np.uint64(46)).astype(np.int64), minlength=RANKS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "c"])
-
-    # RANKS counts at most, whatever the data.
-    found = members.select("t").mapInArrow(count, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).collect()
-    counts = np.zeros(RANKS, np.int64)
-    counts[[r["bin"] for r in found]] = [r["c"] for r in found]
-    shared = spark.sparkContext.broadcast(counts)
+    shared = members.sparkSession.sparkContext.broadcast(counts)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,7 +429,7 @@ def _labels(of: DataFrame, links: DataFrame) -> DataFrame:
     return of.join(over, "u", "left").select("u", F.coalesce("label", "u").alias("label"))
 
 
-def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
     """(a, b): the links among the texts of buckets (key, u, pivot, size)."""
     stars = buckets.where("u > pivot").select(F.col("pivot").alias("a"), F.col("u").alias("b")).distinct()
     checked = written(_verified(written(_possible(stars, meta, least), "possible"), texts, least), "checked")
@@ -366,7 +441,7 @@ def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, least: float)
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rest = written(member.join(mixed, "key", "left_semi"), "mixed")
     large = rest.where(F.col("size") > FULL).select("u", "label").distinct().join(texts, "u")
-    groups = rest.where(F.col("size") <= FULL).select("key", "u", "label").unionByName(_by_rarest(written(large, "large"), least))
+    groups = rest.where(F.col("size") <= FULL).select("key", "u", "label").unionByName(_by_rarest(written(large, "large"), counts, least))
     new = written(_across(written(groups, "groups"), meta, least).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
     # A few pairs of each two classes first: they mostly make them one.
     at = lambda c: labels.select(F.col("u").alias(c), F.col("label").alias(f"l{c}"))
@@ -395,7 +470,8 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
     base = rows.where("t is not null").withColumn("h", F.unhex(F.md5("t")))
-    found = written(_sketched(base.select("i", "h", "t"), kind), "sketches")
+    counts = word_counts(base)
+    found = written(_sketched(base.select("i", "h", "t"), kind, counts), "sketches")
     # One node u for each different text; rep: its least id.
     once = found.groupBy("h").agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
     nodes = written(once.select(F.monotonically_increasing_id().alias("u"), "h", "rep", "copies", "n", "keys", "bag"), "nodes")
@@ -405,7 +481,7 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     buckets = written(each.join(shared, "key"), "buckets")
     involved = nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep")
     texts = base.join(involved, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
-    links = written(_links(buckets, nodes.select("u", "n", "bag"), written(texts, "involved"), least), "all-links")
+    links = written(_links(buckets, nodes.select("u", "n", "bag"), written(texts, "involved"), counts, least), "all-links")
 
     ends = links.select(F.col("a").alias("u")).unionByName(links.select(F.col("b").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
     linked = written(ends.join(components(links).toDF("u", "label"), "u"), "linked")

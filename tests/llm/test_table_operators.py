@@ -213,6 +213,58 @@ def test_near_duplicates_by_edit_similarity(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2}
 
 
+def test_swept_band_equals_plain_alignment():
+    rng = random.Random(11)
+    for _ in range(4000):
+        a = [rng.randint(0, 5) for _ in range(rng.randint(1, 18))]
+        b = [x for x in a if rng.random() > 0.15] if rng.random() < 0.7 else [rng.randint(0, 5) for _ in range(rng.randint(1, 18))]
+        most = rng.randint(0, 18)
+        if b and abs(len(a) - len(b)) <= most:
+            d = distance(a, b)
+            assert near_dedup._swept(a, b, most) == (d if d <= most else None)
+
+
+def test_sketch_recall_by_similarity_band():
+    """Share of pairs that share a sketch, by edit similarity, for words all rare and for a corpus half of which is frequent words."""
+    rng = np.random.default_rng(12)
+    common, rare = rng.integers(1, 2**63, 50, dtype=np.uint64), rng.integers(1, 2**63, 5000, dtype=np.uint64)
+    counts = np.zeros(near_dedup.RANKS, np.int64)
+    counts[(common >> np.uint64(48)).astype(int)] += 200_000
+    handicap = near_dedup.handicaps(counts + 40)
+    for size in (40, 150, 600):
+        for similar in (0.8, 0.85, 0.9, 0.95):
+            met = 0
+            for _ in range(60):
+                h = np.where(rng.random(size) < 0.5, rng.choice(common, size), rng.choice(rare, size))
+                other = h.copy()
+                at = rng.choice(size, round((1 - similar) * size), replace=False)
+                other[at] = rng.integers(1, 2**63, len(at), dtype=np.uint64)
+                met += bool((near_dedup.keys_of(h, handicap) == near_dedup.keys_of(other, handicap)).any())
+            assert met >= 0.9 * 60, (size, similar, met)
+
+
+def test_rarest_words_of_similar_texts_meet():
+    rng = random.Random(13)
+    counts = np.zeros(near_dedup.RANKS, np.int64)
+    vocabulary = np.random.default_rng(14).integers(1, 2**63, 30, dtype=np.uint64)
+    counts[(vocabulary >> np.uint64(48)).astype(int)] = range(30)
+    for _ in range(2000):
+        a = [rng.choice(vocabulary) for _ in range(rng.randint(1, 40))]
+        b = [x if rng.random() > 0.15 else rng.choice(vocabulary) for x in a if rng.random() > 0.1]
+        if b and near_dedup.similarity([int(x) for x in a], [int(x) for x in b]):
+            assert set(near_dedup.rarest(np.array(a), counts).tolist()) & set(near_dedup.rarest(np.array(b), counts).tolist())
+
+
+def test_kept_takes_one_row_of_each_class(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "something else"), (2, "a b c"), (3, None), (3, None), (4, ""), (5, ""), (None, "a b c")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, md5 int")
+    found = near_dedup.near_classes(docs)
+    left = sorted(((r["doc_id"], r["text"]) for r in near_dedup.kept(docs, found).collect()), key=str)
+    assert left == sorted([(1, "a b c"), (1, "something else"), (3, None), (3, None), (4, ""), (None, "a b c")], key=str)
+    sizes = {(r["doc_id"], r["class_id"], r["class_size"], r["links"]) for r in found.collect()}
+    assert sizes == {(1, 1, 4, 0), (1, 1, 1, 0), (2, 1, 4, 0), (3, 3, 1, 0), (4, 4, 2, 0), (5, 4, 2, 0), (None, 1, 4, 0)}
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
@@ -235,7 +287,8 @@ def test_near_duplicates_of_one_sketch_are_never_lost(spark, monkeypatch):
     own = {}
     monkeypatch.setattr(near_dedup, "_MOST", 16)
     sketched = near_dedup._sketched
-    monkeypatch.setattr(near_dedup, "_sketched", lambda docs, kind: sketched(docs, kind).withColumn("keys", F.array(F.lit(1), *[F.xxhash64("h", F.lit(j)) for j in range(19)])))
+    monkeypatch.setattr(near_dedup, "FULL", 16)
+    monkeypatch.setattr(near_dedup, "_sketched", lambda *a: sketched(*a).withColumn("keys", F.array(F.lit(1), *[F.xxhash64("h", F.lit(j)) for j in range(19)])))
     texts = {0: words(50)}
     for i in range(1, 60):
         a = words(50)
