@@ -367,7 +367,7 @@ def _by_rarest(members: DataFrame, counts: np.ndarray, least: float) -> DataFram
 
 
 def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: pairs of a group and of two classes that the bound does not rule out.  groups: key, u, label; meta: u, n, bag.
+    """(a, b, la, lb), a < b: pairs of a group and of two classes la, lb that the bound does not rule out.  groups: key, u, label; meta: u, n, bag.
 
     Groups of one class go; larger ones than a block are dealt over blocks so that every two texts meet in one.
     """
@@ -376,11 +376,12 @@ def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(meta, "u")
     block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "u", "label", "n", "bag")
 
-    def met(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def met(rows: pa.Table) -> list[np.ndarray]:
+        """a, b and their labels, as rows of one array each."""
         u, n, label, part = (rows.column(c).to_numpy() for c in ("u", "n", "label", "part"))
         same = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
         if (label == label[0]).all():
-            return u[:0], u[:0]
+            return []
         bags = _bags(rows.column("bag"))
         sums = bags.sum(1, dtype=np.int64)
         found = []
@@ -389,18 +390,21 @@ def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
             at = np.flatnonzero((label[k + 1 :] != label[k]) & (np.minimum(n[k + 1 :], n[k]) >= size * least - 1e-6) & (same | (part[k + 1 :] != part[k])))
             if len(at):
                 at = at[_bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at]) <= _allowed(size[at], least)]
-                found.append((np.full(len(at), u[k]), u[k + 1 :][at]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (u[:0], u[:0])
+                other = u[k + 1 :][at]
+                less = other < u[k]
+                mine, theirs = np.full(len(at), label[k]), label[k + 1 :][at]
+                found.append(np.stack([np.minimum(other, u[k]), np.maximum(other, u[k]), np.where(less, theirs, mine), np.where(less, mine, theirs)]))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        made: list[tuple[np.ndarray, np.ndarray]] = []
+        made: list[np.ndarray] = []
         last = None
 
         def told() -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64),) * 2
+            pairs = np.unique(np.concatenate(made, 1), axis=1) if made else np.zeros((4, 0), np.int64)
             made.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "la", "lb"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -410,17 +414,17 @@ def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
             for lo, hi in zip(cuts, cuts[1:]):
                 own = tuple(group[:, lo].tolist())
                 if own != last and held:
-                    made.append(met(pa.Table.from_batches(held)))
+                    made.extend(met(pa.Table.from_batches(held)))
                     held.clear()
                 last = own
                 held.append(batch.slice(lo, hi - lo))
-            if sum(len(x) for x, _ in made) > 10_000:
+            if sum(x.shape[1] for x in made) > 100_000:
                 yield told()
         if held:
-            made.append(met(pa.Table.from_batches(held)))
+            made.extend(met(pa.Table.from_batches(held)))
         yield told()
 
-    return block.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return block.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, la long, lb long").distinct()
 
 
 def _labels(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -444,19 +448,15 @@ def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, counts: np.nda
     groups = rest.where(F.col("size") <= FULL).select("key", "u", "label").unionByName(_by_rarest(written(large, "large"), counts, least))
     new = written(_across(written(groups, "groups"), meta, least).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
     # A few pairs of each two classes first: they mostly make them one.
-    at = lambda c: labels.select(F.col("u").alias(c), F.col("label").alias(f"l{c}"))
-    for few in (_FEW, 0):
-        open_ = new.join(at("a"), "a").join(at("b"), "b").where("la <> lb")
-        if few:
-            chance = F.xxhash64("a", "b")
-            best = open_.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"), F.pmod(chance, F.lit(few)).alias("k")).agg(F.min(F.struct("a", "b")).alias("p"))
-            chosen = best.select("p.a", "p.b")
-        else:
-            chosen = open_.select("a", "b").join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        more = written(_verified(written(chosen, "chosen"), texts, least), "checked")
-        checked = checked.unionByName(more)
-        if few:
-            labels = written(_labels(involved, checked.where("sim > 0")), "classes")
+    best = new.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"), F.pmod(F.xxhash64("a", "b"), F.lit(_FEW)).alias("k")).agg(F.min(F.struct("a", "b")).alias("p"))
+    some = written(_verified(written(best.select("p.a", "p.b"), "some"), texts, least), "checked")
+    checked = checked.unionByName(some)
+    links = some.where("sim > 0").select("a", "b").join(new, ["a", "b"])
+    merged = written(components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "merged")
+    for c in ("la", "lb"):
+        new = new.join(merged.toDF(c, "top"), c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
+    others = new.where("la <> lb").select("a", "b").join(some.select("a", "b"), ["a", "b"], "left_anti")
+    checked = checked.unionByName(written(_verified(written(others, "others"), texts, least), "checked"))
     return checked.where("sim > 0").select("a", "b")
 
 
@@ -471,24 +471,24 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
     base = rows.where("t is not null").withColumn("h", F.unhex(F.md5("t")))
     counts = word_counts(base)
-    found = written(_sketched(base.select("i", "h", "t"), kind, counts), "sketches")
     # One node u for each different text; rep: its least id.
-    once = found.groupBy("h").agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
+    once = _sketched(base.select("i", "h", "t"), kind, counts).groupBy("h").agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
     nodes = written(once.select(F.monotonically_increasing_id().alias("u"), "h", "rep", "copies", "n", "keys", "bag"), "nodes")
 
     each = nodes.where("n > 0").select("u", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("pivot")).where("size > 1")
     buckets = written(each.join(shared, "key"), "buckets")
-    involved = nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep")
-    texts = base.join(involved, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
-    links = written(_links(buckets, nodes.select("u", "n", "bag"), written(texts, "involved"), counts, least), "all-links")
+    involved = written(nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep", "n", "bag"), "involved")
+    own = involved.select("u", "uh", "rep")
+    texts = base.join(own, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
+    links = written(_links(buckets, involved.select("u", "n", "bag"), written(texts, "texts"), counts, least), "all-links")
 
     ends = links.select(F.col("a").alias("u")).unionByName(links.select(F.col("b").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
     linked = written(ends.join(components(links).toDF("u", "label"), "u"), "linked")
     member = nodes.select("u", "h", "rep", "copies").join(linked, "u", "left").select("h", "rep", "copies", F.coalesce("label", "u").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     head = member.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "h"))).alias("head"))
     classes = member.join(head, "label").select("h", F.col("head.rep").alias("class_id"), F.col("head.h").alias("hh"), "class_size", "links")
-    out = found.select("i", "h").join(classes, "h").select("i", "class_id", "class_size", "links", F.hex("h").alias("text_md5"), F.coalesce((F.col("i") == F.col("class_id")) & (F.col("h") == F.col("hh")), F.lit(False)).alias("is_first"))
+    out = base.select("i", "h").join(classes, "h").select("i", "class_id", "class_size", "links", F.hex("h").alias("text_md5"), F.coalesce((F.col("i") == F.col("class_id")) & (F.col("h") == F.col("hh")), F.lit(False)).alias("is_first"))
     none = rows.where("t is null").select("i", F.col("i").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("string").alias("text_md5"), F.lit(True).alias("is_first"))
     return out.unionByName(none).withColumnRenamed("i", doc_id)
 
