@@ -54,13 +54,15 @@ LONG, LONGS = 5, 6
 #: Texts of up to SHORT words have SINGLES more sketches, of one word each: few of their pairs of words outlive an edit.
 SHORT, SINGLES = 20, 8
 #: Buckets of several classes are compared pair by pair up to this many texts, by their rarest words beyond.
-FULL = 256
+FULL = 512
 #: Counts of words in a bag; counts of the corpus's words (a table of this fixed size reaches the driver and every worker).
 BINS, RANKS = 256, 1 << 16
 #: Words of up to 64 occurrences, or one in 2**15 of all, have no handicap; each doubling beyond adds one bit, up to HANDICAP.
 HANDICAP, RARE_COUNT, RARE_SHARE = 6, 64, 2.0**-15
 #: Texts of a block that are compared at once, partners that meet one text in a task, and pairs of two classes that are aligned before all others.
 _MOST, _RUN, _FEW = 512, 64, 4
+#: Least keys of a text's groups by which repeated pairs are told from new ones.
+_FIRSTS = 32
 _BLOCK = 1 << 16
 
 
@@ -373,8 +375,11 @@ def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
     """
     mixed = groups.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     dealt = groups.join(mixed.select("key", F.ceil(F.col("size") / _MOST).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("u"), "parts").cast("int"))
-    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(meta, "u")
-    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "u", "label", "n", "bag")
+    dealt = written(dealt, "dealt")
+    # A pair that shares several groups is told in the first of them, as far as these few keys of each text show.
+    firsts = dealt.groupBy("u").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _FIRSTS).alias("firsts"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(firsts.join(meta, "u"), "u")
+    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "u", "label", "n", "bag", "firsts")
 
     def met(rows: pa.Table) -> list[np.ndarray]:
         """a, b and their labels, as rows of one array each."""
@@ -384,12 +389,22 @@ def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
             return []
         bags = _bags(rows.column("bag"))
         sums = bags.sum(1, dtype=np.int64)
+        here = rows.column("key")[0].as_py()
+        before: dict[int, set[int]] = {}
+
+        def earlier(i: int) -> set[int]:
+            if i not in before:
+                before[i] = {x for x in rows.column("firsts")[i].as_py() if x < here}
+            return before[i]
+
         found = []
         for k in range(len(n) - 1):
             size = np.maximum(n[k + 1 :], n[k])
             at = np.flatnonzero((label[k + 1 :] != label[k]) & (np.minimum(n[k + 1 :], n[k]) >= size * least - 1e-6) & (same | (part[k + 1 :] != part[k])))
             if len(at):
                 at = at[_bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at]) <= _allowed(size[at], least)]
+            if len(at):
+                at = at[[earlier(k).isdisjoint(earlier(i + k + 1)) for i in at.tolist()]]
                 other = u[k + 1 :][at]
                 less = other < u[k]
                 mine, theirs = np.full(len(at), label[k]), label[k + 1 :][at]
