@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 
 import numpy as np
 import public_tokenizers
@@ -27,9 +28,11 @@ def chunks(text: str) -> list[str]:
     """
     if not any(c in text for c in _ODD):
         return text.split()
-    for i, c in enumerate(_ODD):
-        text = text.replace(c, chr(0x10FFF0 + i))
-    return [x if x.isascii() else "".join(_ODD[ord(c) - 0x10FFF0] if 0x10FFF0 <= ord(c) < 0x10FFF4 else c for c in x) for x in text.split()]
+    return _UNSPACED.findall(text)
+
+
+#: Runs without white space, where that is what str.split() takes for it but for ``_ODD``.
+_UNSPACED = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 TAIL = ".,;:!?"

@@ -164,7 +164,7 @@ def test_bpe_equals_the_library(spark, sf, library):
     for pool in ("abcdefghijklmnop tionthe's'T'RE'll ÀÉ̈́ΣσςİiıßẞỒ한글ก์ๆ😀👍🏽​\x00\x85\xa0　\n\t<|endoftext|>0123４五½²#$%&'()*+,-./", "abcdeABC 's'T.,;:!?ÀÉµªºÿß½²³ \xa0\x85-_\n12<|>"):
         texts += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 80))) for _ in range(1500)]
     texts += ["a" * 5000, "ab" * 3000 + "<|startoftext|>x<|endoftext|>", " <|endoftext|> ", "é" * 1000, "ΑΣ ΟΔΟΣ", "a.,;: b.c d., ", ""]
-    for part in (texts, [t + "\x1c\x1d x\x1f" for t in texts[:500]]):
+    for part in (texts, [t + "\x1c\x1d x\x1f" for t in texts[:500]], ["a\x1c\U0010fff0b", "\U0010fff1\x1d", "\x1e \U0010fff2\u2028é\x85x"]):
         ids, decoded = bpe.spelled(pa.array(part), default_path())
         for t, i, d in zip(part, ids, decoded, strict=True):
             want = library.encode(t, add_special_tokens=False).ids
@@ -185,18 +185,26 @@ def test_bpe_compatibility_decides_like_merging(library):
     assert c.compatible(a, b).tolist() == want and 100 < sum(want) < 2900
 
 
-def test_bpe_odd_rows(spark):
-    full = bpe.encode(odd_documents(spark)).collect()
-    short = bpe.encode(odd_documents(spark), digests=True).collect()
-    assert len(full) == len(short) == odd_documents(spark).count()
-    for a, b in zip(sorted(full, key=str), sorted(full, key=str), strict=True):
-        assert a["ids"] == b["ids"]
-    assert {r["n_tokens"] for r in short if r["doc_id"] in (0, 1, 2, 3)} == {0}
+def test_bpe_query_equals_the_library(spark, sf, library):
+    """The query's columns, row by row, on ordinary and odd rows."""
+    sha = lambda x: hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
+    odd = odd_documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(100, "a\x1c\U0010fff0b")], "doc_id long, text string"))
+    docs = documents(spark, sf).select((F.col("doc_id") + 1000).alias("doc_id"), "text").unionByName(odd)
+    want = []
+    for r in docs.collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, bpe.encode(docs, digests=True).collect())) == sorted(want)
+    full = [(r["doc_id"], len(r["ids"]), sha(" ".join(map(str, r["ids"]))), sha(r["decoded"])) for r in bpe.encode(docs).collect()]
+    assert sorted(full) == sorted(want)
     assert bpe.encode(nothing(spark)).count() == 0
 
 
 def test_chunks_keep_the_odd_separators():
     assert chunks("a\x1cb c\x1f") == ["a\x1cb", "c\x1f"]
+    assert chunks("a\x1c\U0010fff0b") == ["a\x1c\U0010fff0b"]
+    for space in map(chr, range(0x3100)):
+        assert chunks(f"a{space}b\x1c") == (["a", "b\x1c"] if space.isspace() and space not in "\x1c\x1d\x1e\x1f" else [f"a{space}b\x1c"])
 
 
 # ------------------------------------------------------------------ personal data
