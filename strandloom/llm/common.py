@@ -91,6 +91,22 @@ def mapped(docs: DataFrame, text: str, keep: list[str], made: str, names: list[s
     return source.toDF(*inner).mapInArrow(apply, schema).toDF(*keep, *names)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches joined up to about ``limit`` bytes of a column."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        n = b.column(column).nbytes
+        if held and size + n > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if b.num_rows:
+            held.append(b)
+            size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring items whose sizes add up to at most ``limit`` (or one larger item)."""
     at = total = 0

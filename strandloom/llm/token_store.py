@@ -18,6 +18,7 @@ doc_id is an integer column.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import TAIL, Memo, collect_less, default_path, distinct
-from .common import shared_dir, small_batches, steps, written
+from .common import gathered, shared_dir, small_batches, steps, written
 
 LENGTH, PER_BATCH = 2048, 64
+#: Text bytes in which each distinct word is looked up once.
+_GATHERED = 12 << 20
 
 
 @lru_cache(2)
@@ -50,26 +53,47 @@ def _memo(path: str, kind: str) -> Memo:
     ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
     width = np.dtype(kind).itemsize
 
+    #: A token that no word without "<" contains and that is cut out before anything else.
+    mark = next(((i, x.content) for i, x in t.get_added_tokens_decoder().items() if x.special and not x.normalized and "<" in x.content), None)
+    simple_end = re.compile(f"[{re.escape(TAIL)}]*")
+
+    def cut(part: list[str], joint: str, ends: callable) -> bool:
+        """Encodes a list of words as one text; False if its ids do not fall into as many pieces."""
+        ids = np.array(t.encode_batch_fast([joint.join(part)], add_special_tokens=False)[0].ids, kind)
+        begin, stop = ends(ids)
+        if len(stop) != len(part):
+            return False
+        raw = ids.tobytes()
+        out.update(zip(part, [raw[x:y] for x, y in zip((begin * width).tolist(), (stop * width).tolist())]))
+        return True
+
+    def after_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stop = np.flatnonzero(ends[ids]) + 1
+        return np.concatenate([[0], stop[:-1]]), stop
+
+    def between_marks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(ids == mark[0])
+        return np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]])
+
+    out: dict[str, bytes] = {}
+
     def encode(texts: list[str]) -> list[bytes]:
-        """Ids of words; simple ones, of which each ends with its only word-end token, go to the library in one text."""
-        out: dict[str, bytes] = {}
-        simple = [w for w in texts if w.isalpha() or w.strip(TAIL) == ""]
+        """Ids of words; simple ones, of which each ends with its only word-end token, go to the library in one text, others between marks."""
+        out.clear()
+        simple = [w for w in texts if w.isalpha() or (w and simple_end.fullmatch(w))]
         for lo in range(0, len(simple), 4096):
-            part = simple[lo : lo + 4096]
-            ids = np.array(t.encode(" ".join(part), add_special_tokens=False).ids, kind)
-            at = (np.flatnonzero(ends[ids]) + 1) * width
-            if len(at) == len(part):
-                raw, begin = ids.tobytes(), 0
-                for w, end in zip(part, at.tolist(), strict=True):
-                    out[w] = raw[begin:end]
-                    begin = end
+            cut(simple[lo : lo + 4096], " ", after_words)
+        if mark:
+            others = [w for w in texts if w not in out and "<" not in w]
+            for lo in range(0, len(others), 4096):
+                cut(others[lo : lo + 4096], mark[1], between_marks)
         rest = [w for w in texts if w not in out]
         for lo in range(0, len(rest), 1024):  # the library's results are large: a few at a time
             part = rest[lo : lo + 1024]
             out.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False), strict=True))
         return [out[w] for w in texts]
 
-    return Memo(encode, 150_000)
+    return Memo(encode, 300_000)
 
 
 def encoded(memo: Memo, texts: pa.Array, kind: str, end_id: int) -> list[bytes]:
@@ -189,9 +213,9 @@ def write_sequences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(vocab_file, kind)
         edges = np.array(cuts, np.int64)
-        for b in batches:
+        for b in gathered(batches, "t", _GATHERED):
             texts = b.column("t").fill_null("")
-            for lo, hi in steps(pc.binary_length(texts).to_pylist()):
+            for lo, hi in steps(pc.binary_length(texts).to_pylist(), _GATHERED):
                 ids = pa.array(encoded(memo, texts.slice(lo, hi - lo), kind, end_id), pa.binary())
                 i = b.column("i").slice(lo, hi - lo)
                 part = np.searchsorted(edges, i.fill_null(np.iinfo(i.type.to_pandas_dtype()).min).to_numpy(zero_copy_only=False), "left")
