@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandloom.sources.shared import written
+
 
 def merged(ranges: DataFrame, *, key: str = "oid", gap: int = 0, pad: int = 0) -> DataFrame:
     """(key, from, to): ranges widened by ``pad`` and merged where at most ``gap`` lies between them."""
@@ -80,22 +82,28 @@ def hard_masked(subjects: DataFrame, masks: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ splits over the whole table
 
 
-def numbered(rows: DataFrame, *order: str, weight: str | None = None, into: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, *order: str, weight: str | None = None, into: int | None = None) -> DataFrame:
     """``rows`` with ``rn`` (from 0) and, with ``weight``, ``before`` (its sum over earlier rows), in a global order.
 
-    Rows are dealt by range of the order; only one count (and sum) for each range is added up.
+    Rows are dealt by range of the order, sorted and written once, with the range and place of
+    each; a second reading would sample other bounds.  Only one count (and sum) for each range is
+    added up.  There are as many ranges as the session has shuffle partitions.
     """
-    dealt = rows.repartitionByRange(into, *order).withColumn("__p", F.spark_partition_id())
-    w = W.partitionBy("__p").orderBy(*order)
+    into = into or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()  # the range above 33 bits, the place in it below
+    dealt = rows.repartitionByRange(into, *order).sortWithinPartitions(*order).withColumn("__at", place)
+    local = written(dealt, "numbered").withColumn("__p", F.shiftright("__at", 33)).withColumn("__n", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     amount = F.col(weight) if weight else F.lit(0)
-    local = dealt.withColumn("__n", F.row_number().over(w) - 1).withColumn("__s", F.sum(amount).over(w.rowsBetween(W.unboundedPreceding, 0)) - amount)
     totals = local.groupBy("__p").agg(F.count("*").alias("c"), F.sum(amount).alias("t"))
     o = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
     base = totals.select("__p", F.coalesce(F.sum("c").over(o), F.lit(0)).alias("bc"), F.coalesce(F.sum("t").over(o), F.lit(0)).alias("bt"))
+    if weight:
+        earlier = W.partitionBy("__p").orderBy("__n").rowsBetween(W.unboundedPreceding, -1)
+        local = local.withColumn("__s", F.coalesce(F.sum(amount).over(earlier), F.lit(0)))
     out = local.join(F.broadcast(base), "__p").withColumn("rn", F.col("__n") + F.col("bc"))
     if weight:
-        out = out.withColumn("before", F.col("__s") + F.col("bt"))
-    return out.drop("__p", "__n", "__s", "bc", "bt")
+        out = out.withColumn("before", F.col("__s") + F.col("bt")).drop("__s")
+    return out.drop("__at", "__p", "__n", "bc", "bt")
 
 
 def length_groups(subjects: DataFrame, size: int) -> DataFrame:

@@ -28,12 +28,12 @@ def with_oids(records: DataFrame, *order: str) -> DataFrame:
 
 
 def with_taxids(subjects: DataFrame, taxid: int | None = None, taxids: DataFrame | None = None) -> DataFrame:
-    """One taxid for all, or those of a map (subject_id, taxid); without either, 0."""
+    """One taxid for all, or those of a map (subject_id, taxid), the least of repeated ids; without either, 0."""
     if taxid is not None and taxids is not None:
         raise ValueError("give a taxid or a map of them, not both")
     if taxids is None:
         return subjects.withColumn("taxid", F.lit(taxid or 0))
-    return subjects.join(taxids.dropDuplicates(["subject_id"]), "subject_id", "left").withColumn("taxid", F.coalesce("taxid", F.lit(0)))
+    return subjects.join(taxids.groupBy("subject_id").agg(F.min("taxid").alias("taxid")), "subject_id", "left").withColumn("taxid", F.coalesce("taxid", F.lit(0)))
 
 
 def with_hash(subjects: DataFrame) -> DataFrame:
