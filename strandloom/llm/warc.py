@@ -3,10 +3,10 @@
 The writer puts one record per row into archives of gzip members (or plain text) in the shared
 folder.  Of rows with equal payloads, that with the least id is a response and the others
 revisit it.  The reader checks every record (gzip checksum, version line, headers, length,
-block digest); after a failed check it searches for the next gzip member or version line
+digests of block and payload); after a failed check it searches for the next gzip member or version line
 that begins a valid record, goes on there, and logs the bytes in between as a gap.
 
-Null and empty payloads are payloads of no bytes.  Rows of equal id are all written; all rows
+Null and empty payloads are payloads of no bytes; very long ones are one record each.  Ids are whole numbers or strings.  Rows of equal id are all written; all rows
 of the least id of a payload are responses.  A null url is written as an empty one.  Extra columns
 are ignored; an empty table writes no archive.
 """
@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -32,6 +33,8 @@ VERSION = b"WARC/1.1"
 #: Archives are closed beyond this many bytes.
 ROLL = 64 << 20
 _CHUNK = 1 << 15
+#: A gzip member of more bytes counts as damaged.
+MOST_INFLATED = 1 << 31
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -43,6 +46,7 @@ def sha1(data: bytes) -> str:
 def record(page_id: object, url: str | None, payload: bytes, refers_to: object | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """The bytes of one record: a response, or a revisit of ``refers_to`` without a block."""
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
+    page_id, refers_to = (quote(x, safe="") if isinstance(x, str) else x for x in (page_id, refers_to))
     digest, block = sha1(payload), payload if refers_to is None else b""
     head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:page:{page_id}>", "WARC-Date": date, "WARC-Target-URI": clean, "WARC-Payload-Digest": f"sha1:{digest}", "WARC-Block-Digest": f"sha1:{digest if refers_to is None else sha1(b'')}", "X-Payload-Length": len(payload)}
     if refers_to is not None:
@@ -81,9 +85,12 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("length does not fit")
     block = data[body:end]
-    want = head.get("WARC-Block-Digest", "")
-    if want.startswith("sha1:") and want[5:] != sha1(block):
-        raise Damaged("digest does not fit")
+    digests = {head.get("WARC-Block-Digest", "")}
+    if head["WARC-Type"] == "response" and not head.get("Content-Type", "").startswith("application/http"):
+        digests.add(head.get("WARC-Payload-Digest", ""))  # the block is the payload
+    if digests := {d[5:] for d in digests if d.startswith("sha1:")}:
+        if digests != {sha1(block)}:
+            raise Damaged("digest does not fit")
     return head, block, end + 4
 
 
@@ -108,16 +115,19 @@ class _Bytes:
 
 def _member(src: _Bytes, at: int) -> tuple[bytes, int]:
     """The data of the gzip member at ``at`` and its end."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    z, out, pos, size = zlib.decompressobj(31), [], at, 0
     while not z.eof:
         piece = src.read(pos, _CHUNK)
         if not piece:
             raise Damaged("member cut off")
         try:
-            out.append(z.decompress(piece))
+            out.append(z.decompress(piece, MOST_INFLATED - size + 1))
         except zlib.error as e:
             raise Damaged("gzip: " + str(e)) from None
         pos += len(piece)
+        size += len(out[-1])
+        if size > MOST_INFLATED:
+            raise Damaged("member too large")
     return b"".join(out), pos - len(z.unused_data)
 
 
@@ -216,11 +226,14 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
 
 
 def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """Records and gaps of archives (column file): file, kind, offset, bytes, headers, payload, reason."""
+    """Records and gaps of archives (column file): file, kind, offset, bytes, headers, block_bytes, block_sha1, payload, reason.
+
+    Lengths and digests are those of the blocks that are read, whatever the headers say; without ``payloads`` the blocks themselves stay behind.
+    """
     spark = archives.sparkSession
     small_batches(spark)
-    names = ["file", "kind", "offset", "bytes", "headers", "payload", "reason"]
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string()]
+    names = ["file", "kind", "offset", "bytes", "headers", "block_bytes", "block_sha1", "payload", "reason"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.int64(), pa.string(), pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,7 +242,7 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                 rows, size = [], 0
                 with fs.open_input_file(place) as f:
                     for kind, at, n, head, block, why in salvage(f):
-                        rows.append((uri, kind, at, n, list(head.items()) if head is not None else None, block if payloads else None, why))
+                        rows.append((uri, kind, at, n, list(head.items()) if head is not None else None, len(block) if head is not None else None, sha1(block) if head is not None else None, block if payloads else None, why))
                         size += len(block) if payloads else 0
                         if len(rows) >= 1024 or size > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -238,20 +251,34 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     spread = archives.select("file").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
-    return spread.mapInArrow(run, "file string, kind string, offset long, bytes long, headers map<string,string>, payload binary, reason string")
+    return spread.mapInArrow(run, "file string, kind string, offset long, bytes long, headers map<string,string>, block_bytes long, block_sha1 string, payload binary, reason string")
 
 
 def pages_of(records: DataFrame, kind: str = "long") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records read."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records read.
+
+    Bytes and digest of a response are those of its block; a revisit has those of the response that it
+    refers to, by id and digest, and nulls where that one is not there.
+    """
     h = F.col("headers")
-    urn = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
-    return records.where("kind = 'record'").select(
-        urn(h["WARC-Record-ID"]).try_cast(kind).alias("page_id"),
-        h["X-Payload-Length"].try_cast("long").alias("payload_bytes"),
-        F.regexp_replace(h["WARC-Payload-Digest"], "^sha1:", "").alias("payload_digest"),
+
+    def urn(c: F.Column) -> F.Column:
+        text = F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
+        return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))) if kind == "string" else text.try_cast(kind)
+
+    rows = written(records.where("kind = 'record'").select(
+        urn(h["WARC-Record-ID"]).alias("page_id"),
+        F.col("block_bytes").alias("payload_bytes"),
+        F.col("block_sha1").alias("payload_digest"),
+        F.regexp_replace(h["WARC-Payload-Digest"], "^sha1:", "").alias("said"),
         h["WARC-Type"].alias("record_type"),
-        F.when(h["WARC-Type"] == "revisit", urn(h["WARC-Refers-To"]).try_cast(kind)).alias("refers_to"),
-    )
+        F.when(h["WARC-Type"] == "revisit", urn(h["WARC-Refers-To"])).alias("refers_to"),
+    ), "records")
+    own = rows.where("record_type <> 'revisit'")
+    first = own.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("said"), F.col("payload_bytes").alias("n")).distinct()
+    again = rows.where("record_type = 'revisit'").join(first, ["refers_to", "said"], "left")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return own.select(names).unionByName(again.select("page_id", F.col("n").alias("payload_bytes"), F.when(F.col("n").isNotNull(), F.col("said")).alias("payload_digest"), "record_type", "refers_to"))
 
 
 _BITS_SQL = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x' || substr(h, {5 * i + 1}, 5) AS INT) >> {5 * (3 - k)}) % 32 + 1, 1)" for i in range(8) for k in range(4))

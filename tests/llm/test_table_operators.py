@@ -385,6 +385,39 @@ def test_small_payloads_can_stay_responses(spark):
     assert warc.read_archives(warc.write_archives(pages(spark).where("false"))).count() == 0
 
 
+def test_archives_equal_sql(spark, sf):
+    for data in (spark.read.parquet(f"{sf}/pages.parquet"), pages(spark).where("page_id <> 7")):
+        mine = warc.pages_of(warc.read_archives(warc.write_archives(data), payloads=False)).toPandas()
+        c = duckdb.connect()
+        c.register("pages", data.toPandas())
+        other = c.sql(queries.oracle_sql()["op9_warc"]).df()
+        cols = sorted(mine.columns)
+        assert cols == sorted(other.columns)
+        key = lambda d: sorted((tuple(None if pd.isna(x) else x for x in r) for r in d[cols].itertuples(index=False, name=None)), key=str)
+        assert key(mine) == key(other)
+
+
+def test_archive_results_come_from_the_blocks(spark, tmp_path):
+    """Headers that lie about a payload are damage; a revisit without its response has no bytes."""
+    good = warc.record(1, "u", b"payload", None)
+    lies = good.replace(b"X-Payload-Length: 7", b"X-Payload-Length: 9")
+    wrong = warc.record(2, "u", b"payload", None).replace(warc.sha1(b"payload").encode(), warc.sha1(b"other").encode(), 1)
+    lost = warc.record(3, "u", b"gone", 99)
+    (tmp_path / "a.warc").write_bytes(lies + wrong + lost + warc.record(4, "u", b"payload", 1))
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.warc",)], "file string")
+    records = warc.read_archives(files)
+    assert records.where("kind = 'gap'").count() == 1
+    found = {r["page_id"]: tuple(r)[1:] for r in warc.pages_of(records).collect()}
+    digest = warc.sha1(b"payload")
+    assert found == {1: (7, digest, "response", None), 3: (None, None, "revisit", 99), 4: (7, digest, "revisit", 1)}
+
+
+def test_archives_of_string_ids(spark):
+    data = spark.createDataFrame([("a b\r\nX: y", "u", "p"), ("z>+%", "u", "p"), ("é", None, None)], "page_id string, url string, html string")
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.pages_of(warc.read_archives(warc.write_archives(data)), "string").collect()}
+    assert found == {"a b\r\nX: y": ("response", None), "z>+%": ("revisit", "a b\r\nX: y"), "é": ("response", None)}
+
+
 def salvaged(data):
     return list(warc.salvage(pa.BufferReader(data)))
 
