@@ -3,28 +3,29 @@
 Texts are lower-cased (A-Z) and cut into words; the strings searched for are the windows of
 ten consecutive words of each benchmark item (an item with fewer words is one window).  For
 windows of one length the search keeps a shift table over hashed blocks of two words, so
-that most positions are skipped; where the shift is zero, a bucket of the suffix hash gives
-the windows to test, and the words themselves are compared.
+that most positions are skipped; where the shift is zero, the bucket of the suffix block's hash
+has the windows to test, of which those with another first block go; then the words themselves
+are compared.
 
 Null and empty texts have no words and are clean.  An item without a word matches nothing.
 Repeated rows are judged row by row, repeated items count once by id, extra columns are ignored.
 An empty benchmark leaves every document clean.
 
-The windows are broadcast in blocks of at most ``block_bytes`` of item text, one matcher
-after the other, so that neither the driver nor a worker builds more than one block's tables
-at a time; all documents are read once.
+Very long texts are searched whole.  A benchmark of up to ``block_bytes`` of text is broadcast as
+tables of about ten times its size.  A larger one is cut into such blocks, each with a pass of its
+own over the documents, after which its tables go; the passes' hits are merged by row.  So
+neither the driver nor a worker ever holds more than one block's tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordClass, mapped, mix, small_batches
+from .common import WordClass, mapped, mix, small_batches, written
 
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 _DELIMITERS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -36,105 +37,111 @@ _LANE = 256
 
 
 class Matcher:
-    """Wu-Manber tables for windows of one length in words."""
+    """Wu-Manber tables for the windows of one length in words.
+
+    words: hashes of all words of the items, one item after the other; starts: where windows begin in
+    them; owner: the item of each window; said(i): the bytes of the words of a window.
+    """
 
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], list[str]]):
+    def __init__(self, length: int, words: np.ndarray, starts: np.ndarray, owner: np.ndarray, names: list[str], raw: list[bytes], first: np.ndarray, last: np.ndarray):
         self.length, self.block = length, min(2, length)
-        self.patterns = list(patterns)
-        self.items = list(patterns.values())
-        text = [b" ".join(p) for p in self.patterns]
-        h = BENCH_WORDS.words(text)[0].reshape(len(text), length)
-        self.bits = max(12, int(np.ceil(np.log2(1 + len(text) * length))) + 3)
+        self.words, self.names, self.raw, self.first, self.last = words, names, raw, first, last
+        self.bits = max(12, int(np.ceil(np.log2(1 + len(starts) * length))) + 3)
         self.down = np.uint64(64 - self.bits)
         self.shift = np.full(1 << self.bits, length - self.block + 1, np.int32)
         for end in range(self.block - 1, length):
-            key = self._block(h[:, end - self.block + 1 : end + 1])
-            np.minimum.at(self.shift, key, length - 1 - end)
-        # Buckets by the hash of the last block; within one, by the hash of the whole window.
-        whole = self._whole(h)
-        order = np.argsort(whole, kind="stable")
-        self.whole, self.by_whole = whole[order], order
-
-    def _block(self, h: np.ndarray) -> np.ndarray:
-        key = h[..., 0]
-        for i in range(1, h.shape[-1]):
-            key = key * np.uint64(0x9DDFEA08EB382D69) + h[..., i]
-        return (mix(key) >> self.down).astype(np.int64)
-
-    @staticmethod
-    def _whole(h: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(h), np.uint64)
-        for i in range(h.shape[1]):
-            key = key * np.uint64(0x9DDFEA08EB382D69) + h[:, i]
-        return mix(key)
+            np.minimum.at(self.shift, self._code(self._block(words, starts + end)), length - 1 - end)
+        # Buckets by the hash of the last block; within one, by the hash of the first.
+        key = self._bucket(self._block(words, starts + length - 1), self._block(words, starts + self.block - 1))
+        order = np.argsort(key, kind="stable")
+        self.bucket, self.starts, self.owner = key[order], starts[order], owner[order]
+
+    def _block(self, h: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of the block whose last word is at ``end``."""
+        return mix(h[end] if self.block == 1 else h[end - 1] * np.uint64(0x9DDFEA08EB382D69) + h[end])
+
+    def _code(self, block: np.ndarray) -> np.ndarray:
+        return (block >> self.down).astype(np.int64)
+
+    def _bucket(self, suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """Buckets follow one another; below each, what its windows begin with."""
+        low = np.uint64(64 - self.bits)
+        return (suffix >> self.down << low) | (prefix >> np.uint64(self.bits))
+
+    def said(self, i: int) -> bytes:
+        """The words of a window, separated by blanks."""
+        text, at = self.raw[self.owner[i]], self.starts[i]
+        return b" ".join(text[self.first[k] : self.last[k]] for k in range(at, at + self.length)).translate(_LOWER)
 
     def find(self, h: np.ndarray, doc: np.ndarray, word: callable) -> tuple[np.ndarray, np.ndarray]:
-        """(position of the last word, pattern) of all occurrences within one text.  word(i, n): n words up to position i."""
+        """(position of the last word, window) of all occurrences within one text.  word(i, n): n words up to position i."""
         n, m = len(h), self.length
-        if n < m or not self.patterns:
+        if n < m or not len(self.starts):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        key = h if self.block == 1 else None
         at = np.arange(m - 1, n, _LANE)
         stop = np.minimum(at + _LANE, n)
         ends: list[np.ndarray] = []
         while len(at):
-            if self.block == 1:
-                code = (mix(key[at]) >> self.down).astype(np.int64)
-            else:
-                code = (mix(h[at - 1] * np.uint64(0x9DDFEA08EB382D69) + h[at]) >> self.down).astype(np.int64)
-            step = self.shift[code]
+            step = self.shift[self._code(self._block(h, at))]
             ends.append(at[step == 0])
             at = at + np.maximum(step, 1)
             live = at < stop
             at, stop = at[live], stop[live]
         end = np.concatenate(ends)
         end = end[doc[end] == doc[end - m + 1]]
-        whole = self._whole(h[end[:, None] - np.arange(m - 1, -1, -1)]) if len(end) else np.zeros(0, np.uint64)
-        lo, hi = np.searchsorted(self.whole, whole, "left"), np.searchsorted(self.whole, whole, "right")
-        where, which = [], []
-        for i in np.flatnonzero(hi > lo):
-            text = word(int(end[i]), m)
-            for j in self.by_whole[lo[i] : hi[i]]:
-                if self.patterns[j] == text:
-                    where.append(end[i])
-                    which.append(j)
-        return np.asarray(where, np.int64), np.asarray(which, np.int64)
+        key = self._bucket(self._block(h, end), self._block(h, end - m + self.block))
+        lo, hi = np.searchsorted(self.bucket, key, "left"), np.searchsorted(self.bucket, key, "right")
+        where = np.repeat(end, hi - lo)
+        which = np.arange(len(where)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+        # Direct comparison: hashes of all words first, then the words.
+        for k in range(m):
+            same = h[where - k] == self.words[self.starts[which] + m - 1 - k]
+            where, which = where[same], which[same]
+        same = np.fromiter((word(int(e), m) == self.said(int(w)) for e, w in zip(where, which, strict=True)), bool, len(where))
+        return where[same], which[same]
 
 
 def windows(items: list[tuple[str, str | None]], width: int = WINDOW) -> list[Matcher]:
     """A matcher for each length of window in (id, text) items."""
-    found: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
-    for name, text in items:
-        raw = (text or "").encode("utf-8", "replace")
-        _, _, s, e = BENCH_WORDS.words([raw])
-        words = [raw[a:b].translate(_LOWER) for a, b in zip(s, e, strict=True)]
-        size = min(width, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            owners = found.setdefault(size, {}).setdefault(tuple(words[i : i + size]), [])
-            if name not in owners:
-                owners.append(name)
-    return [Matcher(size, p) for size, p in sorted(found.items())]
-
-
-def hits(texts: list[bytes], blocks: Iterator[list[Matcher]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """Of each text: words, hit words, ids of items with occurring windows."""
+    raw = [(text or "").encode("utf-8", "replace") for _, text in items]
+    h, own, first, last = BENCH_WORDS.words(raw)
+    count = np.bincount(own, minlength=len(items))
+    begin = np.cumsum(count) - count
+    size = np.minimum(count, width)
+    found = []
+    for length in np.unique(size[size > 0]).tolist():
+        mine = np.flatnonzero(size == length)
+        many = count[mine] - length + 1
+        owner = np.repeat(mine, many)
+        starts = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[mine], many)
+        found.append(Matcher(length, h, starts, owner, [name for name, _ in items], raw, first, last))
+    return found
+
+
+def places(texts: list[bytes], blocks: list[list[Matcher]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+    """Of all texts' words, which are hit and which text has them; of each text: words, ids of items with occurring windows."""
     h, doc, s, e = BENCH_WORDS.words(texts)
     mark = np.zeros(len(h) + 1, np.int64)
     items: list[set[str]] = [set() for _ in texts]
 
-    def word(end: int, n: int) -> tuple[bytes, ...]:
+    def word(end: int, n: int) -> bytes:
         raw = texts[doc[end]]
-        return tuple(raw[s[i] : e[i]].translate(_LOWER) for i in range(end - n + 1, end + 1))
+        return b" ".join(raw[s[i] : e[i]] for i in range(end - n + 1, end + 1)).translate(_LOWER)
 
     for block in blocks:
         for m in block:
             end, which = m.find(h, doc, word)
             np.add.at(mark, end - m.length + 1, 1)
             np.add.at(mark, end + 1, -1)
-            for i, j in zip(end, which, strict=True):
-                items[doc[i]].update(m.items[j])
-    hit = np.cumsum(mark[:-1]) > 0
-    return np.bincount(doc, minlength=len(texts)), np.bincount(doc[hit], minlength=len(texts)), items
+            for i, j in zip(end.tolist(), m.owner[which].tolist(), strict=True):
+                items[doc[i]].add(m.names[j])
+    return np.cumsum(mark[:-1]) > 0, doc, np.bincount(doc, minlength=len(texts)), items
+
+
+def hits(texts: list[bytes], blocks: list[list[Matcher]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Of each text: words, hit words, ids of items with occurring windows."""
+    hit, doc, n, items = places(texts, blocks)
+    return n, np.bincount(doc[hit], minlength=len(texts)), items
 
 
 def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = 8 << 20, prefix: str = "") -> DataFrame:
@@ -144,16 +151,44 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: t
     bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null")
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = -(-size // block_bytes) or 1
-    blocks = []
-    for k in range(parts):
+    names = [prefix + n for n in ("n_words", "n_hit", "items", "contaminated")]
+
+    def block(k: int) -> Broadcast:
         rows = bench.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toPandas()
-        blocks.append(spark.sparkContext.broadcast(windows(list(zip(rows["i"], rows["t"], strict=True)), width)))
+        return spark.sparkContext.broadcast(windows(list(zip(rows["i"], rows["t"], strict=True)), width))
+
+    if parts == 1:
+        only = block(0)
 
-    def run(texts: list[str | None]) -> list[pa.Array]:
-        n, hit, items = hits([(t or "").encode("utf-8", "replace") for t in texts], (x.value for x in blocks))
-        return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(hit > 0)]
+        def run(texts: list[str | None]) -> list[pa.Array]:
+            n, hit, items = hits([(t or "").encode("utf-8", "replace") for t in texts], [only.value])
+            return [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(hit > 0)]
 
-    return mapped(docs, text, list(keep), "long, long, array<string>, boolean", [prefix + n for n in ("n_words", "n_hit", "items", "contaminated")], run)
+        return mapped(docs, text, list(keep), "long, long, array<string>, boolean", names, run)
+
+    # Beyond one block: a pass over the documents for each, which leaves the places of its hits.
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("row"))
+    rows = written(inner, "numbered")
+    found = []
+    for k in range(parts):
+        now = block(k)
+
+        def run(texts: list[str | None], now: Broadcast = now) -> list[pa.Array]:
+            hit, doc, n, items = places([(t or "").encode("utf-8", "replace") for t in texts], [now.value])
+            begin = np.cumsum(n) - n
+            at = np.split(np.flatnonzero(hit), np.searchsorted(np.flatnonzero(hit), begin[1:]))
+            return [pa.array(n, pa.int64()), pa.array([x - b for x, b in zip(at, begin.tolist())], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+
+        made = mapped(rows.select("row", "t"), "t", ["row"], "long, array<long>, array<string>", ["n", "at", "items"], run)
+        found.append(written(made if k == 0 else made.where(F.size("items") > 0), "pass"))
+        now.unpersist()
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = every.groupBy("row").agg(F.max("n").alias("n"), F.size(union("at")).cast("long").alias("n_hit"), union("items").alias("items"))
+    out = rows.join(merged, "row").select(*[f"k{i}" for i in range(len(keep))], "n", "n_hit", "items", F.col("n_hit") > 0)
+    return out.toDF(*keep, *names)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +137,39 @@ def test_decontamination_by_brute_force(spark, sf):
             assert (found[i]["n_words"], found[i]["n_hit"], list(found[i]["items"])) == decontaminate.brute(t, bench)
 
 
+def same_as_sql(query, mine, **tables):
+    """Whether a query's rows are those that its SQL gives on the same tables."""
+    mine = mine.toPandas()
+    c = duckdb.connect()
+    for name, data in tables.items():
+        c.register(name, data)
+    other = c.sql(queries.oracle_sql()[query]).df()
+    cols = sorted(mine.columns)
+    assert cols == sorted(other.columns)
+    key = lambda d: sorted((tuple(None if pd.isna(x) else x for x in r) for r in d[cols].itertuples(index=False, name=None)), key=str)
+    assert key(mine) == key(other)
+
+
+def test_decontamination_equals_sql(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text").unionByName(odd_documents(spark).where("doc_id not in (5, 8)").select((F.col("doc_id") + 9000).alias("doc_id"), "text"))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    for size in (8 << 20, 2000):
+        found = decontaminate.digest(decontaminate.search(docs, bench, block_bytes=size))
+        same_as_sql("op5_decontaminate", found, documents=docs.toPandas(), benchmark=bench.toPandas())
+
+
+def test_decontamination_of_windows_with_one_end(spark):
+    """Windows that end, or begin, alike are told apart; repeated ids name one item."""
+    rng = random.Random(9)
+    items = [(i % 15, " ".join([rng.choice("abc") for _ in range(8)] + ["same", "end"])) for i in range(30)]
+    items += [(i, " ".join(["same", "start"] + [rng.choice("abc") for _ in range(12)])) for i in range(30, 50)] + [(60, "a b"), (61, "c"), (62, "")]
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "same", "end", "start", rng.choice(items)[1]]) for _ in range(40))) for i in range(60)]
+    for size in (1 << 20, 300):
+        found = rows_of(decontaminate.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=size))
+        for i, t in rows:
+            assert (found[i]["n_words"], found[i]["n_hit"], list(found[i]["items"])) == decontaminate.brute(t, [(str(k), x) for k, x in items])
+
+
 def test_decontamination_odd_rows(spark, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     found = decontaminate.digest(decontaminate.search(odd_documents(spark), bench)).collect()
