@@ -281,6 +281,32 @@ def test_pii_further_kinds(spark):
     assert {k: r["spans"] for k, r in rows_of(pii.digest(pii.find(docs))).items()} == {1: "iban:5:32", 2: "", 3: "natid:10:21", 4: "", 5: "secret:0:26", 6: "", 7: "secret:0:20"}
 
 
+def test_pii_context_decides(spark):
+    texts = {1: "a sample account GB82WEST12345698765432 here", 2: "GB82 WEST 1234 5698 7654 32 THIS is", 3: "key: example token=abcdef0123456789", 4: "ship 10.0.0.1 hotel", 5: "the ip 10.0.0.1", 6: "socially 123-45-6789", 7: "taxes 123-45-6789", 8: "GB82 WEST 1234 5698 7654 3", 9: "fake 4111 1111 1111 1111", 10: "DE89 3704 0044 0532 0130 00 NEXT WORD"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {k: (r["spans"], r["scores"]) for k, r in rows_of(pii.digest(pii.find(docs))).items()}
+    want = {1: ("", ""), 2: ("iban:0:27", "0.60"), 3: ("", ""), 4: ("ip:5:13", "0.50"), 5: ("ip:7:15", "0.70"), 6: ("", ""), 7: ("", ""), 8: ("", ""), 9: ("card:5:24", "0.40"), 10: ("iban:0:27", "0.60")}
+    assert found == want
+
+
+def test_pii_equals_sql(spark, sf):
+    rng = random.Random(6)
+    parts = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "token=abcdef0123456789", "123-45-6789", "10.0.0.1", "a@b.co", "+1 (988) 555-2485", "4111 1111 1111 1111", "sample", "ssn", "tax", "accounts", "WORD", "visa", "é", "\n", "example,", "ship", "tel"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)] + [" ".join(rng.choice(parts) for _ in range(900)), None, ""]
+    docs = documents(spark, sf).select((F.col("doc_id") + 9000).alias("doc_id"), "text").unionByName(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    same_as_sql("op4_pii", pii.digest(pii.find(docs)), documents=docs.toPandas())
+
+
+def test_pii_many_matches(spark):
+    n = 30_000
+    text = " ".join(f"a{i}@b.co" for i in range(n))
+    row = pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    spans = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(BASE[0][1], text))
+    assert (row["n_email"], row["n_spans"], row["spans"]) == (n, n, spans)
+    out = pii.redacted(spark.createDataFrame([(1, " ".join(f"a{i}@b.co" for i in range(2000)))], "doc_id long, text string")).first()
+    assert out["text"] == " ".join(["[EMAIL]"] * 2000)
+
+
 def test_pii_long_runs_are_linear(spark):
     texts = ["a." * 100_000, "1" * 200_000, "1-" * 100_000, "x@" + "y." * 50_000 + "z", "+1" + "(" * 100_000, "A" * 200_000, "+1" * 100_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
