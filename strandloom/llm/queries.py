@@ -50,7 +50,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.digest(chat_format.preferences(chat_format.paired(table(spark, sf_dir, "conversations"))))
+    return chat_format.digest(chat_format.preferences(chat_format.swapped(table(spark, sf_dir, "conversations"))))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

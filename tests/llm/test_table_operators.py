@@ -342,9 +342,37 @@ def test_chat_format(spark):
     assert sum(r["n_turns"] for k, r in out.items() if k[:2] == (5, "prompt")) == 150 and out[5, "rejected", 2]["start"] == 0
 
 
+def test_chat_pairs_share_their_prompt(spark, sf):
+    """By plain lists: every conversation with an answer, and a neighbour with one, has prompt, chosen and rejected."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").collect()
+    talks = {}
+    for r in rows:
+        talks.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
+    answers = {c: max(t for t, role, _ in x if role == "assistant") for c, x in talks.items() if any(role == "assistant" for _, role, _ in x)}
+    show = lambda said: "".join(f"<|{role}|>\n{text}<|end|>\n" for _, role, text in said)
+    got = {}
+    for r in chat_format.preferences(chat_format.swapped(spark.read.parquet(f"{sf}/conversations.parquet"))).orderBy("block").collect():
+        got[r["pair_id"], r["part"]] = got.get((r["pair_id"], r["part"]), "") + r["text"]
+    prompts = 0
+    for c, talk in talks.items():
+        talk = sorted(talk)
+        if c not in answers:
+            assert got[c, "prompt"] == show(talk) and (c, "chosen") not in got
+            continue
+        chosen = [x for x in talk if x[0] <= answers[c]]
+        other = [(answers[c], *x[1:]) for x in sorted(talks.get(c ^ 1, [])) if x[0] == answers.get(c ^ 1)]
+        rejected = [x for x in chosen if x[0] < answers[c]] + other
+        k = 0
+        while k < min(len(chosen), len(rejected)) and chosen[k] == rejected[k]:
+            k += 1
+        assert (got.get((c, "prompt"), ""), got.get((c, "chosen"), ""), got.get((c, "rejected"), "")) == (show(chosen[:k]), show(chosen[k:]), show(rejected[k:]))
+        prompts += k > 0 and (c, "rejected") in got
+    assert prompts > 5
+
+
 def test_chat_format_equals_sql(spark, sf):
     for data in (chats(spark), spark.read.parquet(f"{sf}/conversations.parquet"), chats(spark).where("false")):
-        mine = chat_format.digest(chat_format.preferences(chat_format.paired(data))).toPandas()
+        mine = chat_format.digest(chat_format.preferences(chat_format.swapped(data))).toPandas()
         c = duckdb.connect()
         c.register("conversations", pa.Table.from_pandas(data.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}), schema=pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]), preserve_index=False))
         other = c.sql(queries.oracle_sql()["op8_chat_format"]).df()
