@@ -2,13 +2,16 @@
 
 Only DataFrame functions.  Level by level, the segments below a host's template so far become
 a wildcard if they look variable (digits, hex, ids), if the node has many rare children, or if
-their labels do not differ from their siblings'.  A template is rejected if the smoothed share
+their labels do not differ from their siblings' (with at least ``support`` labels on either side:
+too few labels to tell merge nothing).  A template is rejected if the smoothed share
 of good labels among its urls is too small; what a template lacks in labels comes from its
 host, and the host's from all.
 
 A null url, or one without ``://``, has an empty host and path.  Rules come first, the longest
 that fits.  Repeated rows and equal ids are judged row by row; extra columns are ignored.
-Without labels nothing is rejected.
+Very long paths are followed to their end.  Rules of equal length cannot both fit unless their
+hosts differ in length; then the greater string wins.  Labels of one id add up.  Without labels nothing is
+rejected; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ def ruled(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES
     return rule, verdict
 
 
-def templates(paths: DataFrame, *, most_children: int = 64, rare: float = 0.02, z: float = 1.96) -> DataFrame:
+def templates(paths: DataFrame, *, most_children: int = 64, rare: float = 0.02, z: float = 1.96, support: int = 5) -> DataFrame:
     """(host, path, template) of a table (host, path, n, good, bad) with one row for each path.
 
     A path that is the last one below its template so far has no siblings, so the rest of it goes by its looks at once.
@@ -72,7 +75,7 @@ def templates(paths: DataFrame, *, most_children: int = 64, rare: float = 0.02,
         pooled = share(F.col("all_good"), F.col("all_good") + F.col("all_bad"))
         noise = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (share(F.lit(1), known) + share(F.lit(1), others)))
         apart = F.try_divide(F.abs(share(F.col("good"), known) - share(F.col("all_good") - F.col("good"), others)), noise)
-        alike = (known > 0) & (others > 0) & (apart < z)
+        alike = (known >= support) & (others >= support) & (apart < z)
         wild = F.col("seg").rlike(VARIABLE) | ((F.col("kinds") > most_children) & (F.col("n") < rare * F.col("all_n"))) | alike
         step = child.join(node, ["host", "t"]).select("host", "t", "seg", F.when(F.coalesce(wild, F.lit(False)), "*").otherwise(F.col("seg")).alias("next"))
         after = written(state.withColumn("seg", seg).join(step, ["host", "t", "seg"]).select("host", "path", "n", "good", "bad", "segs", F.concat("t", F.lit("/"), "next").alias("t")), "step")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import duckdb
@@ -80,6 +81,80 @@ def test_url_statistics_reach_every_level(spark):
     assert all(r["verdict"] == ("block" if i < 200 else "allow") for i, r in found.items())
 
 
+def plain_templates(rows, labels, most_children=64, rare=0.02, z=1.96, support=5):
+    """The tree by plain dictionaries: {page: template}."""
+    votes = {}
+    for i, y in labels:
+        votes.setdefault(i, []).append(y)
+    paths = {}
+    for i, url in rows:
+        at = paths.setdefault(plain_parts(url), [0, 0, 0])
+        at[0] += 1
+        at[1] += sum(votes.get(i, []))
+        at[2] += sum(1 - y for y in votes.get(i, []))
+    state = {k: "" for k in paths}
+    segs = {k: [s for s in k[1].split("/") if s] for k in paths}
+    done, level = {}, 0
+    while state:
+        nodes = {}
+        for k, t in state.items():
+            if len(segs[k]) > level:
+                nodes.setdefault((k[0], t), []).append(k)
+        for k in [k for k, t in state.items() if len(nodes.get((k[0], t), ())) < 2 or len(segs[k]) <= level]:
+            done[k] = state.pop(k) + "".join("/" + ("*" if re.search(url_filters.VARIABLE, s) else s) for s in segs[k][level:])
+        nodes = {}
+        for k, t in state.items():
+            nodes.setdefault((k[0], t), {}).setdefault(segs[k][level], []).append(k)
+        for (_, t), kinds in nodes.items():
+            sums = {s: np.sum([paths[k] for k in ks], 0) for s, ks in kinds.items()}
+            n, good, bad = np.sum(list(sums.values()), 0)
+            for s, (c, g, b) in sums.items():
+                known, others = g + b, good + bad - g - b
+                alike = False
+                if known >= support and others >= support:
+                    p = good / (good + bad)
+                    alike = abs(g / known - (good - g) / others) / np.sqrt(max(p * (1 - p), 1e-9) * (1 / known + 1 / others)) < z
+                wild = re.search(url_filters.VARIABLE, s) or (len(sums) > most_children and c < rare * n) or alike
+                for k in kinds[s]:
+                    state[k] = f"{t}/{'*' if wild else s}"
+        level += 1
+    return {i: done[plain_parts(url)] for i, url in rows}, paths
+
+
+def test_url_verdicts_by_plain_dictionaries(spark, sf):
+    """The query's verdicts, templates and purities against the tree by plain dictionaries."""
+    rng = random.Random(21)
+    words = ["news", "blog", "shop", "tag", "a", "b", "2024", "item-7", "deadbeef01"]
+    rows = [(i, f"http://h{rng.choice('aab')}.com/" + "/".join(rng.choice(words) + (str(rng.randint(0, 400)) if rng.random() < 0.2 else "") for _ in range(rng.randint(0, 6)))) for i in range(1500)]
+    labels = [(i, int("shop" not in u or rng.random() < 0.3)) for i, u in rows if rng.random() < 0.5]
+    real = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    known = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    for data, votes in ((rows, labels), (real, known)):
+        found = {r["page_id"]: r for r in url_filters.judge(spark.createDataFrame(data, "page_id long, url string"), spark.createDataFrame(votes, "doc_id long, quality int")).collect()}
+        want, paths = plain_templates(data, votes)
+        assert {i: r["template"] for i, r in found.items()} == want
+        total = np.sum(list(paths.values()), 0)
+        prior = (total[1] + 1) / (total[1] + total[2] + 2)
+        hosts, shapes = {}, {}
+        for i, url in data:
+            host = plain_parts(url)[0]
+            ys = [y for k, y in votes if k == i]
+            for table, key in ((hosts, host), (shapes, (host, want[i]))):
+                at = table.setdefault(key, [0, 0])
+                at[0] += sum(ys)
+                at[1] += len(ys)
+        blocked = 0
+        for i, url in data:
+            host, path = plain_parts(url)
+            g, n = shapes[host, want[i]]
+            purity = (g + 8 * (hosts[host][0] + 8 * prior) / (hosts[host][1] + 8)) / (n + 8)
+            assert abs(found[i]["purity"] - purity) < 1e-9
+            rule, says = plain_rule(host, path)
+            assert found[i]["verdict"] == (says or ("block" if purity < 0.5 else "allow"))
+            blocked += found[i]["verdict"] == "block"
+        assert blocked or data is real
+
+
 def test_url_empty_table(spark):
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string"), None).count() == 0
 
