@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandloom.llm import chat_format, near_dedup, queries, token_store, url_filters, warc
+from strandloom.llm import chat_format, decontaminate, language_id, near_dedup, pii, queries, token_store, url_filters, warc
 from strandloom.llm.chunks import default_path
 from strandloom.llm.components import components
 from tests.llm.helpers import documents, nothing, odd_documents
@@ -615,11 +615,65 @@ def test_pipeline_by_stage(spark, sf):
     assert final.count() == docs.count() and final.where("n_tokens = 0").count() == 0
 
 
-def test_pipeline_takes_odd_and_empty_tables(spark, sf):
-    for docs in (odd_documents(spark), nothing(spark)):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs.withColumn("score", F.lit(1)).withColumn("n_hit", F.lit(1)), sf).drop("score", "n_hit")
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= 0
+def test_pipeline_by_brute_force(spark, sf):
+    """Each stage against a plain version of it, on what the stage before it kept; then the whole run."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bench = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    now = {r["doc_id"]: r for r in docs.collect()}
+    model = language_id.fit(docs.where(language_id.learnable()))
+    found = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    now = {i: r for i, r in now.items() if found[i]["lang_pred"] != "und" and not found[i]["ambiguous"]}
+    # Near duplicates: all pairs, components, the least id of each.
+    words = {i: (r["text"] or "").split() for i, r in now.items()}
+    top = {i: i for i in now}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(now)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if now[i]["text"] == now[j]["text"] or words[i] and words[j] and near_dedup.similarity(words[i], words[j]):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    now = {i: r for i, r in now.items() if root(i) == i}
+    now = {i: r for i, r in now.items() if not decontaminate.brute(r["text"], bench)[1]}
+    # Personal data: spans by the operator (tested on its own), replaced by slicing.
+    spans = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    texts = {}
+    for i, r in now.items():
+        out, at = "", 0
+        for x in spans[i]:
+            if x["start"] >= at:
+                out += r["text"][at : x["start"]] + f"[{x['kind'].upper()}]"
+            at = max(at, x["end"])
+        texts[i] = out + r["text"][at:]
+    library = Tokenizer.from_file(default_path())
+    want = [(i, now[i]["lang"], now[i]["source"], len(e), e) for i, t in sorted(texts.items()) for e in [library.encode(t, add_special_tokens=False).ids]]
+    got = sorted((r["doc_id"], r["lang"], r["source"], r["n_tokens"], r["ids"]) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == want and 0 < len(got) < docs.count()
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, sf):
+    """What each stage keeps of nulls, empty and long texts, repeated rows and clashing columns."""
+    for docs, want in ((odd_documents(spark), {5, 6, 7, 8, 9, 11, 12}), (nothing(spark), set())):
+        clash = docs.withColumn("n_hit", F.lit(1)).withColumn("md5", F.lit("x"))
+        ids = lambda d: [r["doc_id"] for r in d.collect()]
+        found = corpus_pipeline.language_stage(spark, clash, sf)
+        assert found.columns == clash.columns and set(ids(found)) <= want | {10}
+        left = ids(corpus_pipeline.dedup_stage(spark, clash, sf))
+        # The repeated long text goes, as the repeated row of id 5 does; its other text stays, as do nulls.
+        assert sorted(left) == ([0, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 11, 12] if want else [])
+        clean = corpus_pipeline.decontamination_stage(spark, clash, sf)
+        assert sorted(ids(clean)) == sorted(ids(docs)) and clean.columns == clash.columns
+        same = corpus_pipeline.pii_stage(spark, clash, sf)
+        assert sorted(map(str, same.select("doc_id", "text").collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
+        coded = corpus_pipeline.bpe_stage(spark, clash, sf).collect()
+        assert sorted(r["doc_id"] for r in coded) == sorted(ids(docs)) and all(r["n_tokens"] == len(r["ids"]) for r in coded)
 
 
 def test_every_query_is_registered():
