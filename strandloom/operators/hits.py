@@ -54,23 +54,31 @@ def evalue(score: Column, space: Column, gapped: bool = True) -> Column:
     return space * k * F.exp(score * -lam)
 
 
-def spaces(queries: DataFrame, subjects: DataFrame, *, gapped: bool = True, db_size: int = 0, fixed: int = 0) -> DataFrame:
-    """(query_id, space): effective search spaces, from totals of all subjects before any filter."""
+def spaces(queries: DataFrame, subjects: DataFrame, *, gapped: bool = True, db_size: int = 0, fixed: int = 0, length: Column | None = None) -> DataFrame:
+    """(query_id, space): effective search spaces, from totals of all subjects before any filter.
+
+    ``length``: of a query, that of its residues unless given.
+    """
+    size = F.length("residues") if length is None else length
     if fixed:
         return queries.select("query_id", F.lit(fixed).cast("double").alias("space"))
     total = subjects.agg(F.sum(F.length("residues")).alias("n"), F.count("*").alias("c")).first()
     n, c = db_size or total["n"] or 1, total["c"] or 1
     # One row for each length that occurs: at most as many as the longest query has residues.
-    lengths = [r["n"] for r in queries.select(F.length("residues").alias("n")).distinct().collect()]
+    lengths = [r["n"] for r in queries.select(size.cast("int").alias("n")).distinct().collect()]
     table = queries.sparkSession.createDataFrame([(m, float(search_space(m, n, c, gapped))) for m in lengths], "n int, space double")
-    return queries.select("query_id", F.length("residues").alias("n")).join(F.broadcast(table), "n").select("query_id", "space")
+    return queries.select("query_id", size.cast("int").alias("n")).join(F.broadcast(table), "n").select("query_id", "space")
+
+
+def least_score(space: Column, evalue_limit: float, gapped: bool = True) -> Column:
+    """The least raw score of an E-value within the limit."""
+    lam, k, _ = GAPPED if gapped else UNGAPPED
+    return F.greatest(F.ceil(F.log(space * k / evalue_limit) / lam), F.lit(1)).cast("int")
 
 
 def cutoffs(queries: DataFrame, subjects: DataFrame, *, evalue_limit: float = 10.0, trigger: float = 22.0, drop: float = 7.0, drop_gapped: float = 15.0) -> DataFrame:
     """Raw cutoffs that hold for all queries, the least stringent of each: ungapped and gapped score, X-drops."""
-    lam, k, _ = GAPPED
-    needed = F.ceil(F.log(F.col("space") * k / evalue_limit) / lam).cast("int")
-    each = spaces(queries, subjects).select(F.greatest(needed, F.lit(1)).alias("score"))
+    each = spaces(queries, subjects).select(least_score(F.col("space"), evalue_limit).alias("score"))
     return each.agg(F.min("score").alias("gapped_score")).select(F.lit(raw_from_bits(trigger, False)).alias("ungapped_score"), "gapped_score", F.lit(raw_drop(drop)).alias("x_drop"), F.lit(raw_drop(drop_gapped, True)).alias("x_drop_gapped"))
 
 
@@ -107,21 +115,41 @@ def uncontained(hsps: DataFrame, separation: int = 0, keys: tuple[str, ...] = ("
     return kept.select(*keys, F.explode("kept").alias("x")).select(*keys, "x.*").select(hsps.columns)
 
 
+#: Query residues in a bin of the joins that look for pairs covering others.
+_BIN = 32
+
+
+def _binned(pairs: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Pairs at every bin of the query residues first to last."""
+    return pairs.withColumn("bin", F.explode(F.sequence(F.floor(first / _BIN), F.greatest(F.floor(last / _BIN), F.floor(first / _BIN)))))
+
+
 def culled(hsps: DataFrame, limit: int) -> DataFrame:
-    """Drops a pair whose query range lies within those of at least ``limit`` better pairs of its query."""
+    """Drops a pair whose query range lies within those of at least ``limit`` better pairs of its query.
+
+    What covers a pair covers its first residue, so the two meet in that one's bin.
+    """
     b = hsps.select("query_id", F.col("score").alias("bs"), F.col("q_start").alias("b0"), F.col("q_end").alias("b1"), F.col("oid").alias("bo"), F.col("s_start").alias("bp"))
     better = (F.col("bs") > F.col("score")) | ((F.col("bs") == F.col("score")) & ((F.col("bo") < F.col("oid")) | ((F.col("bo") == F.col("oid")) & (F.col("bp") < F.col("s_start")))))
     key = ["query_id", "oid", "q_start", "q_end", "s_start", "s_end"]
-    over = hsps.join(b, "query_id").where((F.col("b0") <= F.col("q_start")) & (F.col("b1") >= F.col("q_end")) & better).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+    at = hsps.select(*key, "score", F.floor(F.col("q_start") / _BIN).alias("bin"))
+    over = at.join(_binned(b, F.col("b0"), F.col("b1") - 1), ["query_id", "bin"]).where((F.col("b0") <= F.col("q_start")) & (F.col("b1") >= F.col("q_end")) & better).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= limit)
     return hsps.join(over, key, "left_anti")
 
 
 def best_hits(hsps: DataFrame, overhang: float = 0.1, edge: float = 0.1) -> DataFrame:
-    """Drops a pair that another of its query covers but for the overhang, with no larger E-value and clearly more score per residue."""
+    """Drops a pair that another of its query covers but for the overhang, with no larger E-value and clearly more score per residue.
+
+    Overhang and edge are less than a half.  What covers a pair but for the overhang covers its middle, so the two meet in that one's bin.
+    """
+    if not (0 <= overhang < 0.5 and 0 <= edge < 0.5):
+        raise ValueError("overhang and edge are from 0 to less than 0.5")
     b = hsps.select("query_id", F.col("evalue").alias("be"), F.col("q_start").alias("b0"), F.col("q_end").alias("b1"), (F.col("score") / (F.col("q_end") - F.col("q_start"))).alias("bd"))
     slack = (F.col("q_end") - F.col("q_start")) * overhang
     key = ["query_id", "oid", "q_start", "q_end", "s_start", "s_end"]
-    beaten = hsps.join(b, "query_id").where((F.col("b0") <= F.col("q_start") + slack) & (F.col("b1") >= F.col("q_end") - slack) & (F.col("be") <= F.col("evalue")) & (F.col("bd") * (1 - edge) > F.col("score") / (F.col("q_end") - F.col("q_start")))).select(*key).distinct()
+    at = hsps.select(*key, "evalue", "score", F.floor((F.col("q_start") + F.col("q_end")) / 2 / _BIN).alias("bin"))
+    # One residue more on either side: the middle may lie on the edge of what covers the pair.
+    beaten = at.join(_binned(b, F.greatest(F.col("b0") - 1, F.lit(0)), F.col("b1")), ["query_id", "bin"]).where((F.col("b0") <= F.col("q_start") + slack) & (F.col("b1") >= F.col("q_end") - slack) & (F.col("be") <= F.col("evalue")) & (F.col("bd") * (1 - edge) > F.col("score") / (F.col("q_end") - F.col("q_start")))).select(*key).distinct()
     return hsps.join(beaten, key, "left_anti")
 
 

@@ -175,7 +175,7 @@ _XDROP = H.raw_drop(7.0)
 _ARM = f"""
 e AS (SELECT query_id, oid, diag, max(length) AS length, arg_max(q_start, (length, -q_start)) AS q_start, arg_max(s_start, (length, -q_start)) AS s_start FROM island GROUP BY query_id, oid, diag),
 pair AS (SELECT e.query_id, e.oid, e.diag, i, substr(q.residues, CAST(e.q_start + e.length + i AS BIGINT), 1) AS a, substr(s.residues, CAST(e.s_start + e.length + i AS BIGINT), 1) AS b
-         FROM e JOIN q USING (query_id) JOIN s USING (oid), LATERAL (SELECT unnest(range(1, least(length(q.residues) - e.q_start - e.length, length(s.residues) - e.s_start - e.length, 200) + 1)) AS i)),
+         FROM e JOIN q USING (query_id) JOIN s USING (oid), LATERAL (SELECT unnest(range(1, least(length(q.residues) - e.q_start - e.length, length(s.residues) - e.s_start - e.length) + 1)) AS i)),
 scored AS (SELECT query_id, oid, diag, i, sc FROM pair JOIN matrix m ON m.a = pair.a AND m.b = pair.b),
 total AS (SELECT *, sum(sc) OVER w AS t FROM scored WINDOW w AS (PARTITION BY query_id, oid, diag ORDER BY i)),
 peak AS (SELECT *, greatest(0, max(t) OVER (PARTITION BY query_id, oid, diag ORDER BY i)) AS p FROM total),
@@ -189,7 +189,7 @@ stopped AS (SELECT *, min(CASE WHEN p - t >= {_XDROP} THEN i END) OVER (PARTITIO
 FROM (SELECT *, max(p) OVER (PARTITION BY query_id, oid, diag) AS best FROM stopped WHERE stop IS NULL OR i <= stop) GROUP BY query_id, oid, diag"""
 )
 def ungapped_xdrop(spark, sf):
-    """The right arm of the longest island of each diagonal, to the X-drop or the end of a sequence; the SQL has it in window form, over the first 200 residues."""
+    """The right arm of the longest island of each diagonal, to the X-drop or the end of a sequence; the SQL has it in window form."""
     i, q, s = _islands(spark, sf), _q(spark, sf), _s(spark, sf)
     best = i.groupBy("query_id", "oid", "diag").agg(F.max(F.struct("length", (-F.col("q_start")).alias("m"), "s_start")).alias("x"))
     e = best.select("query_id", "oid", "diag", (-F.col("x.m") + F.col("x.length")).cast("int").alias("q0"), (F.col("x.s_start") + F.col("x.length")).cast("int").alias("s0"))
@@ -283,7 +283,21 @@ def hsp_common_endpoint_purge(spark, sf):
     return H.purged(_hsps(spark, sf))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + (_BASE + _words_sql(K) + _ISLANDS).rstrip().rstrip(",")
+    + f""",
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, oid ORDER BY {_ORDER}) AS rn FROM hsp),
+fold AS (
+  SELECT query_id, oid, rn, [struct_pack(a := q_start, b := q_end, c := s_start, d := s_end)] AS kept, true AS mine FROM o WHERE rn = 1
+  UNION ALL
+  SELECT n.query_id, n.oid, n.rn,
+         CASE WHEN list_bool_or(list_transform(f.kept, lambda x: n.q_start >= x.a AND n.q_end <= x.b AND n.s_start >= x.c AND n.s_end <= x.d)) THEN f.kept
+              ELSE list_append(f.kept, struct_pack(a := n.q_start, b := n.q_end, c := n.s_start, d := n.s_end)) END,
+         NOT list_bool_or(list_transform(f.kept, lambda x: n.q_start >= x.a AND n.q_end <= x.b AND n.s_start >= x.c AND n.s_end <= x.d))
+  FROM fold f JOIN o n ON n.query_id = f.query_id AND n.oid = f.oid AND n.rn = f.rn + 1)
+SELECT query_id, oid, q_start, q_end, s_start, s_end, score FROM o JOIN fold USING (query_id, oid, rn) WHERE mine"""
+)
 def hsp_containment(spark, sf):
     return H.uncontained(_hsps(spark, sf))
 
@@ -291,27 +305,40 @@ def hsp_containment(spark, sf):
 @query(
     _with(_BASE, _words_sql(K), _ISLANDS)
     + """SELECT h.query_id, h.oid, h.q_start, h.q_end, h.s_start, h.s_end, h.score FROM hsp h
-WHERE h.score >= 60 AND (SELECT count(*) FROM hsp b WHERE b.score >= 60 AND b.query_id = h.query_id AND b.q_start <= h.q_start AND b.q_end >= h.q_end
+WHERE (SELECT count(*) FROM hsp b WHERE b.query_id = h.query_id AND b.q_start <= h.q_start AND b.q_end >= h.q_end
   AND (b.score > h.score OR (b.score = h.score AND (b.oid < h.oid OR (b.oid = h.oid AND b.s_start < h.s_start))))) < 3"""
 )
 def hsp_culling(spark, sf):
-    return H.culled(_hsps(spark, sf).where("score >= 60"), 3)
+    return H.culled(_hsps(spark, sf), 3)
 
 
 @query(
     _with(_BASE, _words_sql(K), _ISLANDS)
-    + """, l AS (SELECT * FROM hsp WHERE score >= 60)
-SELECT h.* FROM l h WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.query_id = h.query_id AND b.q_start <= h.q_start + (h.q_end - h.q_start) * 0.25 AND b.q_end >= h.q_end - (h.q_end - h.q_start) * 0.25
-  AND b.score >= h.score AND b.score / (b.q_end - b.q_start) * 1.5 > h.score / (h.q_end - h.q_start) AND b.score > h.score)"""
+    + """, d AS (SELECT query_id, oid, q_start, q_end, s_start, s_end, CAST(score + (q_start * 7 + oid) % (4 * (q_end - q_start)) AS INT) AS score FROM hsp),
+l AS (SELECT *, exp(-0.1 * score) AS evalue FROM d)
+SELECT h.query_id, h.oid, h.q_start, h.q_end, h.s_start, h.s_end, h.score FROM l h WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.query_id = h.query_id
+  AND b.q_start <= h.q_start + (h.q_end - h.q_start) * 0.25 AND b.q_end >= h.q_end - (h.q_end - h.q_start) * 0.25
+  AND b.evalue <= h.evalue AND b.score / (b.q_end - b.q_start) * 0.9 > h.score / (h.q_end - h.q_start))"""
 )
 def best_hit_filter(spark, sf):
-    h = _hsps(spark, sf).where("score >= 60").withColumn("evalue", (-F.col("score")).cast("double"))
-    b = h.select("query_id", F.col("score").alias("bs"), F.col("q_start").alias("b0"), F.col("q_end").alias("b1"))
-    # Exact islands all score alike for each residue: the longer of two is the better one.
-    slack = (F.col("q_end") - F.col("q_start")) * 0.25
-    key = ["query_id", "oid", "q_start", "q_end", "s_start", "s_end"]
-    beaten = h.join(b, "query_id").where((F.col("b0") <= F.col("q_start") + slack) & (F.col("b1") >= F.col("q_end") - slack) & (F.col("bs") > F.col("score"))).select(*key).distinct()
-    return h.join(beaten, key, "left_anti").drop("evalue")
+    """Islands with scores that are made uneven, so that some have clearly more for each residue than others."""
+    uneven = F.col("score") + (F.col("q_start") * 7 + F.col("oid")) % (4 * (F.col("q_end") - F.col("q_start")))
+    h = _hsps(spark, sf).withColumn("score", uneven.cast("int"))
+    return H.best_hits(h.withColumn("evalue", F.exp(F.col("score") * -0.1)), 0.25, 0.1).drop("evalue")
+
+
+@query(
+    _with(_BASE, _words_sql(K), _ISLANDS)
+    + f""", e AS (SELECT h.*, length(q.residues) * exp(-{GAPPED[0]} * score) AS evalue FROM hsp h JOIN q USING (query_id) WHERE q_end - q_start >= 12),
+best AS (SELECT query_id, oid, min(evalue) AS e, max(score) AS s FROM e GROUP BY query_id, oid),
+ranked AS (SELECT query_id, oid, CAST(row_number() OVER (PARTITION BY query_id ORDER BY e, s DESC, oid) AS INT) AS rank FROM best)
+SELECT query_id, oid, q_start, s_start, score, rank FROM e JOIN ranked USING (query_id, oid) WHERE rank <= 10"""
+)
+def top_subjects(spark, sf):
+    """The pairs of the ten best subjects of each query, by least E-value, then score, then oid."""
+    h = _hsps(spark, sf).where("q_end - q_start >= 12").join(_q(spark, sf).select("query_id", F.length("residues").alias("m")), "query_id")
+    h = h.withColumn("evalue", F.col("m") * F.exp(F.col("score") * -GAPPED[0]))
+    return H.top_subjects(h, 10).select("query_id", "oid", "q_start", "s_start", "score", "rank")
 
 
 _LAM, _KK, _ = GAPPED
@@ -362,7 +389,7 @@ def hsp_chains(spark, sf):
 
 @query()
 def mask_level_filter(spark, sf):
-    return H.masked_level(_hsps(spark, sf).where("score >= 60"))
+    return H.masked_level(_hsps(spark, sf))
 
 
 # ------------------------------------------------------------------ subjects
