@@ -297,16 +297,27 @@ def word_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, kind: str, counts: np.ndarray) -> DataFrame:
-    """(i, h, n, keys, bag) of rows (i, h, t)."""
+    """(i, h, n, keys) of rows (i, h, t)."""
     shared = docs.sparkSession.sparkContext.broadcast(handicaps(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = list(_words(b.column("t")))
             keys = [keys_of(x, shared.value).view(np.int64) for x in each]
-            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array([bag(x) for x in each], pa.binary())], ["i", "h", "n", "keys", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), pa.array([len(x) for x in each], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["i", "h", "n", "keys"])
 
-    return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>, bag binary")
+    return docs.mapInArrow(run, f"i {kind}, h binary, n long, keys array<long>")
+
+
+def _bagged(texts: DataFrame) -> DataFrame:
+    """(u, n, bag) of rows (u, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = list(_words(b.column("t")))
+            yield pa.RecordBatch.from_arrays([b.column("u"), pa.array([len(x) for x in each], pa.int64()), pa.array([bag(x) for x in each], pa.binary())], ["u", "n", "bag"])
+
+    return texts.mapInArrow(run, "u long, n long, bag binary")
 
 
 def _possible(pairs: DataFrame, meta: DataFrame, least: float) -> DataFrame:
@@ -487,16 +498,16 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     base = rows.where("t is not null").withColumn("h", F.unhex(F.md5("t")))
     counts = word_counts(base)
     # One node u for each different text; rep: its least id.
-    once = _sketched(base.select("i", "h", "t"), kind, counts).groupBy("h").agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bag").alias("bag"))
-    nodes = written(once.select(F.monotonically_increasing_id().alias("u"), "h", "rep", "copies", "n", "keys", "bag"), "nodes")
+    once = _sketched(base.select("i", "h", "t"), kind, counts).groupBy("h").agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = written(once.select(F.monotonically_increasing_id().alias("u"), "h", "rep", "copies", "n", "keys"), "nodes")
 
     each = nodes.where("n > 0").select("u", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("pivot")).where("size > 1")
     buckets = written(each.join(shared, "key"), "buckets")
-    involved = written(nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep", "n", "bag"), "involved")
-    own = involved.select("u", "uh", "rep")
-    texts = base.join(own, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
-    links = written(_links(buckets, involved.select("u", "n", "bag"), written(texts, "texts"), counts, least), "all-links")
+    involved = nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep")
+    texts = base.join(involved, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
+    texts = written(texts, "texts")
+    links = written(_links(buckets, written(_bagged(texts), "bags"), texts, counts, least), "all-links")
 
     ends = links.select(F.col("a").alias("u")).unionByName(links.select(F.col("b").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
     linked = written(ends.join(components(links).toDF("u", "label"), "u"), "linked")
