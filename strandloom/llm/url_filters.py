@@ -59,7 +59,8 @@ def templates(paths: DataFrame, *, most_children: int = 64, rare: float = 0.02,
     def parted(state: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         """Paths that go on at this level, and the finished ones with their templates."""
         more = F.size("segs") > level
-        many = state.where(more).groupBy("host", "t").agg(F.count("*").alias("paths")).where("paths > 1")
+        # Written, so that Spark can split the join at a host that has many of the paths.
+        many = written(state.where(more).groupBy("host", "t").agg(F.count("*").alias("paths")).where("paths > 1"), "many")
         both = written(state.join(many, ["host", "t"], "left").withColumn("on", more & F.col("paths").isNotNull()), "level")
         tail = F.transform(F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), F.when(s.rlike(VARIABLE), "*").otherwise(s)))
         return both.where("on").select(*fields), both.where("not on").select("host", "path", "n", "good", "bad", F.concat("t", F.array_join(tail, "")).alias("template"))
@@ -69,7 +70,7 @@ def templates(paths: DataFrame, *, most_children: int = 64, rare: float = 0.02,
     while not state.isEmpty():
         seg = F.get("segs", F.lit(level))
         child = written(state.groupBy("host", "t", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")]), "children")
-        node = child.groupBy("host", "t").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")])
+        node = written(child.groupBy("host", "t").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")]), "nodes")
         known, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
         share = lambda good, of: F.try_divide(good.cast("double"), of.cast("double"))
         pooled = share(F.col("all_good"), F.col("all_good") + F.col("all_bad"))
