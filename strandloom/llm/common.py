@@ -36,10 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again (cuts lineage, survives executors); it goes when the session ends."""
+#: Rows that a file of a written table holds, where a bound on the table's rows is known, and files that any table may have.
+FILE_ROWS, FEW_FILES = 20_000, 8
+
+
+def written(df: DataFrame, name: str, most_rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again (cuts lineage, survives executors); it goes when the session ends.
+
+    most_rows: a bound on its rows, where one is known.  The table then has no more files (and its last
+    stage no more tasks) than ``per_file`` rows each need, so small tables of many partitions are a few files.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if most_rows is not None:
+        df = df.coalesce(max(FEW_FILES, -(-most_rows // per_file)))
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -64,6 +64,8 @@ _MOST, _RUN, _FEW = 512, 64, 4
 #: Least keys of a text's groups by which repeated pairs are told from new ones.
 _FIRSTS = 32
 _BLOCK = 1 << 16
+#: Rows of a file of pairs that were aligned, which are dearer than others.
+_PAIRS = 5_000
 
 
 def _occurrence(g: np.ndarray) -> np.ndarray:
@@ -277,23 +279,24 @@ def _words(texts: pa.Array) -> Iterator[np.ndarray]:
             yield h[at[i] : at[i + 1]]
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How many words of all texts (t) fall into each bin."""
+def word_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many words of all texts (t) fall into each bin; how many texts there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RANKS, np.int64)
+        total, n = np.zeros(RANKS, np.int64), 0
         for b in batches:
             column = b.column("t")
+            n += len(column)
             for lo, hi in steps(pc.binary_length(column).to_pylist()):
                 total += np.bincount(_bin(SPACED.words(utf8(column.slice(lo, hi - lo)))[0]), minlength=RANKS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bin", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, RANKS).astype(np.int32)), pa.array(np.append(total[at], n))], ["bin", "c"])
 
-    # RANKS rows at most, whatever the data.
+    # RANKS + 1 rows at most, whatever the data: the last bin counts texts.
     found = texts.select("t").mapInArrow(run, "bin int, c long").groupBy("bin").agg(F.sum("c").alias("c")).toPandas()
-    counts = np.zeros(RANKS, np.int64)
+    counts = np.zeros(RANKS + 1, np.int64)
     counts[found["bin"]] = found["c"]
-    return counts
+    return counts[:RANKS], int(counts[RANKS])
 
 
 def _sketched(docs: DataFrame, kind: str, counts: np.ndarray) -> DataFrame:
@@ -379,14 +382,15 @@ def _by_rarest(members: DataFrame, counts: np.ndarray, least: float) -> DataFram
     return members.select("u", "label", "t").mapInArrow(spread, "key long, u long, label long")
 
 
-def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
+def _across(groups: DataFrame, meta: DataFrame, least: float, most: int) -> DataFrame:
     """(a, b, la, lb), a < b: pairs of a group and of two classes la, lb that the bound does not rule out.  groups: key, u, label; meta: u, n, bag.
 
     Groups of one class go; larger ones than a block are dealt over blocks so that every two texts meet in one.
+    most: rows of ``groups``.
     """
     mixed = groups.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     dealt = groups.join(mixed.select("key", F.ceil(F.col("size") / _MOST).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("u"), "parts").cast("int"))
-    dealt = written(dealt, "dealt")
+    dealt = written(dealt, "dealt", most)
     # A pair that shares several groups is told in the first of them, as far as these few keys of each text show.
     firsts = dealt.groupBy("u").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _FIRSTS).alias("firsts"))
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(firsts.join(meta, "u"), "u")
@@ -453,36 +457,42 @@ def _across(groups: DataFrame, meta: DataFrame, least: float) -> DataFrame:
     return block.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, la long, lb long").distinct()
 
 
-def _labels(of: DataFrame, links: DataFrame) -> DataFrame:
-    """(u, label) of the texts ``of`` (u) in the components of the links (a, b)."""
-    over = components(links).toDF("u", "label")
+def _labels(of: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(u, label) of the texts ``of`` (u) in the components of the links (a, b), ``most`` at most."""
+    over = components(links, most).toDF("u", "label")
     return of.join(over, "u", "left").select("u", F.coalesce("label", "u").alias("label"))
 
 
 def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
     """(a, b): the links among the texts of buckets (key, u, pivot, size)."""
+    size = buckets.count()
     stars = buckets.where("u > pivot").select(F.col("pivot").alias("a"), F.col("u").alias("b")).distinct()
-    checked = written(_verified(written(_possible(stars, meta, least), "possible"), texts, least), "checked")
+    possible = written(_possible(stars, meta, least), "possible", size)
+    met = possible.count()
+    checked = written(_verified(possible, texts, least), "checked", met, _PAIRS)
     involved = buckets.select("u").distinct()
-    labels = written(_labels(involved, checked.where("sim > 0")), "classes")
+    labels = written(_labels(involved, checked.where("sim > 0"), met), "classes", size)
 
     # The rest: buckets of several classes.
-    member = written(buckets.select("key", "u", "size").join(labels, "u"), "members")
+    member = written(buckets.select("key", "u", "size").join(labels, "u"), "members", size)
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = written(member.join(mixed, "key", "left_semi"), "mixed")
+    rest = written(member.join(mixed, "key", "left_semi"), "mixed", size)
     large = rest.where(F.col("size") > FULL).select("u", "label").distinct().join(texts, "u")
-    groups = rest.where(F.col("size") <= FULL).select("key", "u", "label").unionByName(_by_rarest(written(large, "large"), counts, least))
-    new = written(_across(written(groups, "groups"), meta, least).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    groups = rest.where(F.col("size") <= FULL).select("key", "u", "label").unionByName(_by_rarest(written(large, "large", size), counts, least))
+    groups = written(groups, "groups")
+    new = written(_across(groups, meta, least, groups.count()).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    open_ = new.count()
     # A few pairs of each two classes first: they mostly make them one.
     best = new.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"), F.pmod(F.xxhash64("a", "b"), F.lit(_FEW)).alias("k")).agg(F.min(F.struct("a", "b")).alias("p"))
-    some = written(_verified(written(best.select("p.a", "p.b"), "some"), texts, least), "checked")
+    some = written(best.select("p.a", "p.b"), "some", open_)
+    some = written(_verified(some, texts, least), "checked", some.count(), _PAIRS)
     checked = checked.unionByName(some)
     links = some.where("sim > 0").select("a", "b").join(new, ["a", "b"])
-    merged = written(components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))), "merged")
+    merged = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), open_)
     for c in ("la", "lb"):
         new = new.join(merged.toDF(c, "top"), c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
-    others = new.where("la <> lb").select("a", "b").join(some.select("a", "b"), ["a", "b"], "left_anti")
-    checked = checked.unionByName(written(_verified(written(others, "others"), texts, least), "checked"))
+    others = written(new.where("la <> lb").select("a", "b").join(some.select("a", "b"), ["a", "b"], "left_anti"), "others", open_)
+    checked = checked.unionByName(written(_verified(others, texts, least), "checked", others.count(), _PAIRS))
     return checked.where("sim > 0").select("a", "b")
 
 
@@ -496,21 +506,23 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"))
     base = rows.where("t is not null").withColumn("h", F.unhex(F.md5("t")))
-    counts = word_counts(base)
+    counts, n = word_counts(base)
     # One node u for each different text; rep: its least id.
     once = _sketched(base.select("i", "h", "t"), kind, counts).groupBy("h").agg(F.min("i").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = written(once.select(F.monotonically_increasing_id().alias("u"), "h", "rep", "copies", "n", "keys"), "nodes")
+    nodes = written(once.select(F.monotonically_increasing_id().alias("u"), "h", "rep", "copies", "n", "keys"), "nodes", n)
 
     each = nodes.where("n > 0").select("u", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("pivot")).where("size > 1")
     buckets = written(each.join(shared, "key"), "buckets")
     involved = nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep")
     texts = base.join(involved, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
-    texts = written(texts, "texts")
-    links = written(_links(buckets, written(_bagged(texts), "bags"), texts, counts, least), "all-links")
+    texts = written(texts, "texts", n)
+    links = _links(buckets, written(_bagged(texts), "bags", n), texts, counts, least)
+    found = links.count()
+    links = written(links, "all-links", found)
 
     ends = links.select(F.col("a").alias("u")).unionByName(links.select(F.col("b").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
-    linked = written(ends.join(components(links).toDF("u", "label"), "u"), "linked")
+    linked = written(ends.join(components(links, found).toDF("u", "label"), "u"), "linked", n)
     member = nodes.select("u", "h", "rep", "copies").join(linked, "u", "left").select("h", "rep", "copies", F.coalesce("label", "u").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
     head = member.groupBy("label").agg(F.sum("copies").alias("class_size"), F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "h"))).alias("head"))
     classes = member.join(head, "label").select("h", F.col("head.rep").alias("class_id"), F.col("head.h").alias("hh"), "class_size", "links")
