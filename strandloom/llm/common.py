@@ -58,13 +58,16 @@ def written(df: DataFrame, name: str, most_rows: int | None = None, per_file: in
 
 #: Rows and bytes of an Arrow batch.  Every operator sets the same, so it does not matter which one was called last.
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+#: For Python workers: Arrow's own pool and the arenas of malloc would hold on to a stage's peak for as long as the worker lives.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, as texts can be long, and lets Python workers find this package where the driver did."""
+    """Bounds Arrow batches by bytes, as texts can be long; lets Python workers give memory back, and find this package where the driver did."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.update(WORKER_ENV)
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (paths, root)))
