@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat_format, decontaminate, language_id, near_dedup, pii, quality_rules, token_store, url_filters, warc
+from . import bpe, chat_format, decontaminate, language_id, near_dedup, pii, quality_rules, sharding, spelling, token_store, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +62,18 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checksums(token_store.write_sequences(table(spark, sf_dir, "documents")))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filters, op2_language_id, op3_quality_rules, op4_pii, op5_decontaminate, op6_bpe, op7_near_dedup, op8_chat_format, op9_warc, op10_token_store)
+    own = (op1_url_filters, op2_language_id, op3_quality_rules, op4_pii, op5_decontaminate, op6_bpe, op7_near_dedup, op8_chat_format, op9_warc, op10_token_store, op11_sharding, op12_spelling_variants)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    return {"op4_pii": pii.ORACLE_SQL, "op5_decontaminate": decontaminate.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL}
