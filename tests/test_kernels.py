@@ -99,9 +99,9 @@ def stepped(q, s, qp, sp, before, k, drop):
         if top - total >= drop:
             break
         i += 1
-    score, right = top, 0
+    score, right, went, i = top, 0, False, 0
     if left >= sa - before:
-        total, i = top, 0
+        total, went = top, True
         while qa + i < len(q) and sa + i < len(s):
             total += int(M[q[qa + i], s[sa + i]])
             if total > score:
@@ -109,7 +109,7 @@ def stepped(q, s, qp, sp, before, k, drop):
             if total <= 0 or score - total >= drop:
                 break
             i += 1
-    return qa - left, sa - left, left + right, max(top, score)
+    return qa - left, sa - left, left + right, max(top, score), went, sa + i
 
 
 def test_ungapped_extension_step_by_step():
@@ -120,36 +120,64 @@ def test_ungapped_extension_step_by_step():
         s[rng.integers(0, 30, 8)] = rng.choice(AA, 8)
         p = int(rng.integers(0, 28))
         b = int(rng.integers(0, p + 1))
-        assert K.ungapped(q, s, p, p, b, 3, 10, M)[:4] == stepped(q, s, p, p, b, 3, 10)
+        assert K.ungapped(q, s, p, p, b, 3, 10, M) == stepped(q, s, p, p, b, 3, 10)
 
 
 def folded(q, s, hits, k, window, drop, cutoff):
-    """The two-hit state machine hit by hit, with a table of diagonals."""
-    state, out = {}, []
+    """The two-hit state machine hit by hit, over all diagonals at once, with steps in place of arrays."""
+    last, held, out, tried = {}, {}, [], 0
     for sp, qp in sorted((sp, qp) for qp, sp in hits):
-        last, held = state.get(qp - sp, (-window, False))
-        if held:
-            state[qp - sp] = (sp, False) if sp >= last else (last, True)
-        elif sp - last >= window:
-            state[qp - sp] = (sp, False)
-        elif sp - last >= k:
-            q0, s0, n, score, went, _ = K.ungapped(q, s, qp, sp, last + k, k, drop, M)
-            state[qp - sp] = (s0 + n - k + 1, True) if went else (sp, False)
-            if score >= cutoff:
-                out.append((q0, s0, n, sp - s0, score))
-    return sorted(out)
+        d = qp - sp
+        before = last.get(d, -window)
+        if held.get(d):
+            # Hits before the mark do nothing; the first one at or after it is a new first hit.
+            if sp >= before:
+                last[d], held[d] = sp, False
+            continue
+        gap = sp - before
+        if gap < k:
+            continue
+        last[d] = sp
+        if gap >= window:
+            continue
+        tried += 1
+        q0, s0, n, score, went, stop = stepped(q, s, qp, sp, before + k, k, drop)
+        if went:
+            # The scan's last place, stepped back by what a word still covers.
+            last[d], held[d] = stop - (k - 1), True
+        if score >= cutoff:
+            out.append((q0, s0, n, sp - s0, score))
+    return sorted(out), tried
+
+
+def word_hits(q, s, k):
+    return [(i, j) for i in range(len(q) - k + 1) for j in range(len(s) - k + 1) if (q[i : i + k] == s[j : j + k]).all()]
 
 
 def test_two_hit_extension_is_the_state_machine():
     rng = np.random.default_rng(5)
-    for _ in range(60):
-        q = rng.choice(AA[:4], 50)
-        s = np.concatenate([rng.choice(AA[:4], 5), q[:40], rng.choice(AA[:4], 20)])
-        hits = [(i, j) for i in range(48) for j in range(len(s) - 2) if (q[i : i + 3] == s[j : j + 3]).all()]
-        qp, sp = (np.array(x) for x in zip(*hits, strict=True))
-        found, seen, tried = K.two_hit_extend(q, s, qp, sp, 3, 40, 16, 20, M)
-        assert sorted(found) == folded(q, s, hits, 3, 40, 16, 20)
-        assert seen == len(hits) >= tried
+    for n in (2, 3, 4):
+        for _ in range(40):
+            q = rng.choice(AA[:n], 50)
+            s = np.concatenate([rng.choice(AA[:n], 5), q[:40], rng.choice(AA[:n], 20)])
+            s[rng.integers(0, len(s), 8)] = rng.choice(AA, 8)
+            hits = word_hits(q, s, 3)
+            if not hits:
+                continue
+            qp, sp = (np.array(x) for x in zip(*hits, strict=True))
+            for drop in (6, 16):
+                found, seen, tried = K.two_hit_extend(q, s, qp, sp, 3, 40, drop, 20, M)
+                assert (sorted(found), tried) == folded(q, s, hits, 3, 40, drop, 20)
+                assert seen == len(hits)
+
+
+def test_the_mark_is_where_the_scan_stopped():
+    """Hits between the best end of an extension and the stop of its scan are ignored."""
+    q, s = codes("W" * 10 + "A" * 15), codes("W" * 10 + "G" * 15)  # A against G scores nothing, so the scan runs to the end
+    hits = [(0, 0), (3, 3), (14, 14), (17, 17), (20, 20)]
+    qp, sp = (np.array(x) for x in zip(*hits, strict=True))
+    found, _, tried = K.two_hit_extend(q, s, qp, sp, 3, 40, 16, 20, M)
+    assert found == [(0, 0, 10, 3, 110)] and tried == folded(q, s, hits, 3, 40, 16, 20)[1] == 1
 
 
 @pytest.mark.parametrize("gap", [2, 3, 39, 40, 41])
