@@ -58,6 +58,11 @@ def _with(*parts: str) -> str:
     return "WITH " + "".join(parts).rstrip().rstrip(",") + "\n"
 
 
+def hits_sql() -> str:
+    """Common tables up to ``q``, ``s``, ``island`` and ``hsp``, for SQL that goes on from there."""
+    return _with(_BASE, _words_sql(K), _ISLANDS)
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
