@@ -7,7 +7,8 @@ that most positions are skipped; where the shift is zero, the bucket of the suff
 has the windows to test, of which those with another first block go; then the words themselves
 are compared.
 
-Null and empty texts have no words and are clean.  An item without a word matches nothing.
+Null and empty texts have no words and are clean.  An item without a word matches nothing.  An item without an
+id is searched for like any other, and words within its windows are hit; it has no name to be listed or counted by.
 Repeated rows are judged row by row, repeated items count once by id, extra columns are ignored.
 An empty benchmark leaves every document clean.
 
@@ -101,7 +102,7 @@ class Matcher:
         return where[same], which[same]
 
 
-def windows(items: list[tuple[str, str | None]], width: int = WINDOW) -> list[Matcher]:
+def windows(items: list[tuple[str | None, str | None]], width: int = WINDOW) -> list[Matcher]:
     """A matcher for each length of window in (id, text) items."""
     raw = [(text or "").encode("utf-8", "replace") for _, text in items]
     h, own, first, last = BENCH_WORDS.words(raw)
@@ -134,7 +135,8 @@ def places(texts: list[bytes], blocks: list[list[Matcher]]) -> tuple[np.ndarray,
             np.add.at(mark, end - m.length + 1, 1)
             np.add.at(mark, end + 1, -1)
             for i, j in zip(end.tolist(), m.owner[which].tolist(), strict=True):
-                items[doc[i]].add(m.names[j])
+                if m.names[j] is not None:
+                    items[doc[i]].add(m.names[j])
     return np.cumsum(mark[:-1]) > 0, doc, np.bincount(doc, minlength=len(texts)), items
 
 
@@ -148,14 +150,14 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: t
     """The columns ``keep`` of docs with n_words, n_hit, items (sorted ids as strings), contaminated, each name after ``prefix``."""
     spark = docs.sparkSession
     small_batches(spark)
-    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null")
+    bench = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = -(-size // block_bytes) or 1
     names = [prefix + n for n in ("n_words", "n_hit", "items", "contaminated")]
 
     def block(k: int) -> Broadcast:
-        rows = bench.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toPandas()
-        return spark.sparkContext.broadcast(windows(list(zip(rows["i"], rows["t"], strict=True)), width))
+        rows = bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k).collect()  # of about ``block_bytes`` of text
+        return spark.sparkContext.broadcast(windows([tuple(r) for r in rows], width))
 
     if parts == 1:
         only = block(0)
@@ -180,7 +182,7 @@ def search(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: t
             return [pa.array(n, pa.int64()), pa.array([x - b for x, b in zip(at, begin.tolist())], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
         made = mapped(rows.select("row", "t"), "t", ["row"], "long, array<long>, array<string>", ["n", "at", "items"], run)
-        found.append(written(made if k == 0 else made.where(F.size("items") > 0), "pass"))
+        found.append(written(made if k == 0 else made.where(F.size("at") > 0), "pass"))
         now.unpersist()
     every = found[0]
     for more in found[1:]:
@@ -196,8 +198,8 @@ def digest(found: DataFrame) -> DataFrame:
     return found.withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)}).drop("items")
 
 
-def brute(text: str | None, items: list[tuple[str, str | None]], width: int = WINDOW) -> tuple[int, int, list[str]]:
-    """The same by plain comparison of every window, for tests."""
+def brute(text: str | None, items: list[tuple[str | None, str | None]], width: int = WINDOW) -> tuple[int, int, list[str]]:
+    """The same by plain comparison of every window, for tests; items without an id hit and are not named."""
     cut = lambda t: [bytes(w) for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().translate(bytes.maketrans(_DELIMITERS, b" " * len(_DELIMITERS))).split(b" ") if w]
     words, hit, names = cut(text), set(), set()
     for name, t in items:
@@ -208,13 +210,14 @@ def brute(text: str | None, items: list[tuple[str, str | None]], width: int = WI
             if tuple(words[i : i + size]) in wins:
                 hit.update(range(i, i + size))
                 names.add(name)
+    names.discard(None)
     return len(words), len(hit), sorted(names)
 
 
 _WORDS_SQL = r"list_filter(string_split_regex(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 #: DuckDB's SQL for ``digest(search(documents, benchmark))``.
 ORACLE_SQL = f"""
-WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL.format("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL.format("coalesce(text, '')")} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
        FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT size FROM bw),
@@ -222,7 +225,7 @@ d AS (SELECT doc_id, {_WORDS_SQL.format("coalesce(text, '')")} AS w FROM documen
 dw AS (SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS win FROM d, sizes, LATERAL (SELECT unnest(range(1, len(w) - size + 2)) AS i)),
 hits AS (SELECT DISTINCT doc_id, size, i, item FROM dw JOIN bw USING (size, win)),
 marked AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, LATERAL (SELECT unnest(range(i, i + size)) AS p) GROUP BY doc_id),
-named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits WHERE item IS NOT NULL GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN named USING (doc_id)

@@ -6,9 +6,14 @@ revisit it.  The reader checks every record (gzip checksum, version line, header
 digests of block and payload); after a failed check it searches for the next gzip member or version line
 that begins a valid record, goes on there, and logs the bytes in between as a gap.
 
-Null and empty payloads are payloads of no bytes; very long ones are one record each.  Ids are whole numbers or strings.  Rows of equal id are all written; all rows
-of the least id of a payload are responses.  A null url is written as an empty one.  Extra columns
+Null and empty payloads are payloads of no bytes; very long ones are one record each.  Ids are whole numbers or strings.  Every row is
+written as one record, whatever ids and payloads repeat: a row revisits by its payload, not by its id, and all rows
+of the least id of a payload are responses.  A row without an id is a response whose record id names no page, and comes back
+without one; no row revisits it.  A null url is written as an empty one.  Extra columns
 are ignored; an empty table writes no archive.
+
+Two bounds keep a reader's memory finite, and what is beyond them is a gap: ``most_inflated`` bytes of a gzip member
+and ``most_header`` bytes of a plain record's headers.  Archives with larger ones are read whole by raising them.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ VERSION = b"WARC/1.1"
 #: Archives are closed beyond this many bytes.
 ROLL = 64 << 20
 _CHUNK = 1 << 15
-#: A gzip member of more bytes counts as damaged.
-MOST_INFLATED = 1 << 31
+#: A gzip member, and the headers of a plain record, of more bytes count as damaged, unless a reader is told otherwise.
+MOST_INFLATED, MOST_HEADER = 1 << 31, 4 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -47,8 +52,9 @@ def record(page_id: object, url: str | None, payload: bytes, refers_to: object |
     """The bytes of one record: a response, or a revisit of ``refers_to`` without a block."""
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     page_id, refers_to = (quote(x, safe="") if isinstance(x, str) else x for x in (page_id, refers_to))
+    name = f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
     digest, block = sha1(payload), payload if refers_to is None else b""
-    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:page:{page_id}>", "WARC-Date": date, "WARC-Target-URI": clean, "WARC-Payload-Digest": f"sha1:{digest}", "WARC-Block-Digest": f"sha1:{digest if refers_to is None else sha1(b'')}", "X-Payload-Length": len(payload)}
+    head = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name, "WARC-Date": date, "WARC-Target-URI": clean, "WARC-Payload-Digest": f"sha1:{digest}", "WARC-Block-Digest": f"sha1:{digest if refers_to is None else sha1(b'')}", "X-Payload-Length": len(payload)}
     if refers_to is not None:
         head |= {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": _PROFILE}
     head |= {"Content-Type": "text/html; charset=utf-8", "Content-Length": len(block)}
@@ -113,7 +119,7 @@ class _Bytes:
         return self.size
 
 
-def _member(src: _Bytes, at: int) -> tuple[bytes, int]:
+def _member(src: _Bytes, at: int, most: int) -> tuple[bytes, int]:
     """The data of the gzip member at ``at`` and its end."""
     z, out, pos, size = zlib.decompressobj(31), [], at, 0
     while not z.eof:
@@ -121,25 +127,25 @@ def _member(src: _Bytes, at: int) -> tuple[bytes, int]:
         if not piece:
             raise Damaged("member cut off")
         try:
-            out.append(z.decompress(piece, MOST_INFLATED - size + 1))
+            out.append(z.decompress(piece, most - size + 1))
         except zlib.error as e:
             raise Damaged("gzip: " + str(e)) from None
         pos += len(piece)
         size += len(out[-1])
-        if size > MOST_INFLATED:
+        if size > most:
             raise Damaged("member too large")
     return b"".join(out), pos - len(z.unused_data)
 
 
-def _plain(src: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+def _plain(src: _Bytes, at: int, most: int) -> tuple[dict[str, str], bytes, int]:
     """The plain record at ``at``: its headers say how much to read."""
     n = 1 << 14
     while True:
         data = src.read(at, n)
         stop = data.find(b"\r\n\r\n")
-        if stop >= 0 or len(data) < n or n > 1 << 20:
+        if stop >= 0 or len(data) < n or n >= most:
             break
-        n *= 4
+        n = min(4 * n, most)
     m = re.search(rb"(?i)\r\ncontent-length: *([0-9]{1,18})\r\n", data[: stop + 2]) if stop >= 0 else None
     if m and stop + 8 + int(m[1]) > len(data):
         data = src.read(at, stop + 8 + int(m[1]))
@@ -147,14 +153,14 @@ def _plain(src: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return head, block, at + end
 
 
-def salvage(file) -> Iterator[tuple[str, int, int, dict[str, str] | None, bytes, str]]:
+def salvage(file, most_inflated: int = MOST_INFLATED, most_header: int = MOST_HEADER) -> Iterator[tuple[str, int, int, dict[str, str] | None, bytes, str]]:
     """('record' or 'gap', offset, bytes, headers, block, reason) over a file, gzip members and plain records alike."""
     src, at, gap, why = _Bytes(file), 0, -1, ""
     while at < src.size:
         try:
             found = []
             if src.read(at, 2) == b"\x1f\x8b":
-                data, end = _member(src, at)
+                data, end = _member(src, at, most_inflated)
                 k = 0
                 while k < len(data):
                     head, block, k = parse(data, k)
@@ -162,7 +168,7 @@ def salvage(file) -> Iterator[tuple[str, int, int, dict[str, str] | None, bytes,
                 if not found:
                     raise Damaged("empty member")
             else:
-                head, block, end = _plain(src, at)
+                head, block, end = _plain(src, at, most_header)
                 found.append((head, block))
         except Damaged as e:
             if gap < 0:
@@ -188,11 +194,11 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
     small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     kind = pages.schema[page_id].dataType.simpleString()
-    rows = pages.select(F.col(page_id).alias("i"), F.col(url).alias("u"), F.coalesce(payload, F.lit("")).alias("p"))
-    # Only ids and hashes are grouped; payloads move once, by id.
-    hashed = rows.where(F.octet_length("p") >= min_bytes).select("i", F.unhex(F.sha2("p", 256)).alias("h"))
+    rows = pages.select(F.col(page_id).alias("i"), F.col(url).alias("u"), F.coalesce(payload, F.lit("")).alias("p")).withColumn("h", F.unhex(F.sha2("p", 256)))
+    # Only ids and hashes are grouped; payloads move once, by both.
+    hashed = rows.where(F.octet_length("p") >= min_bytes).select("i", "h")
     firsts = hashed.groupBy("h").agg(F.min("i").alias("first"), F.max("i").alias("last")).where("last > first").select("h", "first")
-    again = written(hashed.join(firsts, "h").where("i > first").select("i", "first").distinct(), "revisits")
+    again = written(hashed.join(firsts, "h").where("i > first").select("i", "h", "first").distinct(), "revisits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, uri, n, size = None, "", 0, 0
@@ -221,11 +227,11 @@ def write_archives(pages: DataFrame, *, page_id: str = "page_id", url: str = "ur
             f, r, s = zip(*done, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(r, pa.int64()), pa.array(s, pa.int64())], ["file", "records", "bytes"])
 
-    full = rows.join(again, "i", "left").select("i", "u", "p", "first") if not again.isEmpty() else rows.withColumn("first", F.lit(None).cast(kind))
+    full = rows.join(again, ["i", "h"], "left").select("i", "u", "p", "first") if not again.isEmpty() else rows.select("i", "u", "p", F.lit(None).cast(kind).alias("first"))
     return written(full.mapInArrow(run, "file string, records long, bytes long"), "archives")
 
 
-def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, *, payloads: bool = True, most_inflated: int = MOST_INFLATED, most_header: int = MOST_HEADER) -> DataFrame:
     """Records and gaps of archives (column file): file, kind, offset, bytes, headers, block_bytes, block_sha1, payload, reason.
 
     Lengths and digests are those of the blocks that are read, whatever the headers say; without ``payloads`` the blocks themselves stay behind.
@@ -241,7 +247,7 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
                 fs, place = pa.fs.FileSystem.from_uri(uri)
                 rows, size = [], 0
                 with fs.open_input_file(place) as f:
-                    for kind, at, n, head, block, why in salvage(f):
+                    for kind, at, n, head, block, why in salvage(f, most_inflated, most_header):
                         rows.append((uri, kind, at, n, list(head.items()) if head is not None else None, len(block) if head is not None else None, sha1(block) if head is not None else None, block if payloads else None, why))
                         size += len(block) if payloads else 0
                         if len(rows) >= 1024 or size > 4 << 20:
@@ -264,7 +270,8 @@ def pages_of(records: DataFrame, kind: str = "long") -> DataFrame:
 
     def urn(c: F.Column) -> F.Column:
         text = F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
-        return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))) if kind == "string" else text.try_cast(kind)
+        value = F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))) if kind == "string" else text.try_cast(kind)
+        return F.when(c.startswith("<urn:page:"), value)
 
     rows = written(records.where("kind = 'record'").select(
         urn(h["WARC-Record-ID"]).alias("page_id"),
@@ -286,6 +293,6 @@ _BITS_SQL = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (CAST('0x'
 ORACLE_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
 SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_BITS_SQL} AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
 FROM p
 """

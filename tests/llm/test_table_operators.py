@@ -488,8 +488,34 @@ def test_small_payloads_can_stay_responses(spark):
     assert warc.read_archives(warc.write_archives(pages(spark).where("false"))).count() == 0
 
 
+def repeated_pages(spark):
+    """Ids that repeat with other payloads, each of which others have as well, and rows without an id."""
+    rows = [(3, "u", "A"), (5, "u", "A"), (5, "u", "B"), (2, "u", "C"), (5, "u", "C"), (5, "u", "C"), (3, "v", "A"), (None, "u", "A"), (None, "u", "D"), (None, None, None), (9, None, "B"), (9, None, None)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_archives_of_repeated_and_missing_ids(spark, kind):
+    """A record for each row; a row revisits by its payload, one without an id never does."""
+    data = repeated_pages(spark).withColumn("page_id", F.col("page_id").cast(kind))
+    records = warc.read_archives(warc.write_archives(data))
+    found = sorted((tuple(r)[:2] + tuple(r)[3:] for r in warc.pages_of(records, kind).collect()), key=str)
+    to = {"long": int, "string": str}[kind]
+    want = [(3, 1, "response", None), (3, 1, "response", None), (5, 1, "revisit", 3), (5, 1, "response", None), (2, 1, "response", None), (5, 1, "revisit", 2), (5, 1, "revisit", 2), (None, 1, "response", None), (None, 1, "response", None), (None, 0, "response", None), (9, 1, "revisit", 5), (9, 0, "response", None)]
+    assert found == sorted(((None if i is None else to(i), n, t, None if r is None else to(r)) for i, n, t, r in want), key=str)
+    assert {bytes(r["payload"]) for r in records.where("headers['WARC-Type'] = 'response'").collect()} == {b"A", b"B", b"C", b"D", b""}
+
+
+def test_bounds_of_a_reader_are_parameters():
+    large = warc.record(1, "u", b"x" * 5000, None)
+    assert [k for k, *_ in warc.salvage(pa.BufferReader(member(large)), most_inflated=4000)] == ["gap"]
+    assert [k for k, *_ in warc.salvage(pa.BufferReader(member(large)), most_inflated=6000)] == ["record"]
+    wide = warc.record(1, "u" * (5 << 20), b"x", None)
+    assert "record" not in [k for k, *_ in salvaged(wide)] and [k for k, *_ in warc.salvage(pa.BufferReader(wide), most_header=16 << 20)] == ["record"]
+
+
 def test_archives_equal_sql(spark, sf):
-    for data in (spark.read.parquet(f"{sf}/pages.parquet"), pages(spark).where("page_id <> 7")):
+    for data in (spark.read.parquet(f"{sf}/pages.parquet"), pages(spark).where("page_id <> 7"), repeated_pages(spark)):
         mine = warc.pages_of(warc.read_archives(warc.write_archives(data), payloads=False)).toPandas()
         c = duckdb.connect()
         c.register("pages", data.toPandas())

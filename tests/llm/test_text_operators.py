@@ -130,9 +130,12 @@ def test_decontamination_by_brute_force(spark, sf):
         at = rng.randint(0, max(0, len(w) - 14))
         texts.append(" ".join([*rng.choice(texts[:50]).split()[:40], *w[at : at + rng.randint(8, 14)], "Of-THE"]).upper())
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Items without an id: their windows are hit, and they have no name.
+    bench += [(None, " ".join(texts[3].split()[:12])), (None, bench[2][1]), (None, None)]
     items = spark.createDataFrame([(a, b) for a, b in bench], "item_id string, text string")
     for size in (8 << 20, 3000):
         found = rows_of(decontaminate.search(docs, items, block_bytes=size))
+        assert found[3]["n_hit"] >= 10 and None not in found[3]["items"]
         for i, t in enumerate(texts):
             assert (found[i]["n_words"], found[i]["n_hit"], list(found[i]["items"])) == decontaminate.brute(t, bench)
 
@@ -153,9 +156,11 @@ def same_as_sql(query, mine, **tables):
 def test_decontamination_equals_sql(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text").unionByName(odd_documents(spark).where("doc_id not in (5, 8)").select((F.col("doc_id") + 9000).alias("doc_id"), "text"))
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    unnamed = documents(spark, sf).where("doc_id in (3, 4)").select(F.lit(None).cast("long").alias("item_id"), "text")
+    bench = bench.unionByName(unnamed)
     for size in (8 << 20, 2000):
         found = decontaminate.digest(decontaminate.search(docs, bench, block_bytes=size))
-        same_as_sql("op5_decontaminate", found, documents=docs.toPandas(), benchmark=bench.toPandas())
+        same_as_sql("op5_decontaminate", found, documents=docs.toPandas(), benchmark=bench.toArrow())
 
 
 def test_decontamination_of_windows_with_one_end(spark):
