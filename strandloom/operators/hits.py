@@ -12,27 +12,34 @@ from strandloom.functions.matrix import GAPPED, UNGAPPED
 
 # ------------------------------------------------------------------ statistics
 
+Parameters = tuple[float, float, float]  # lambda, K, H
 
-def bits(score: Column, gapped: bool = True) -> Column:
-    lam, k, _ = GAPPED if gapped else UNGAPPED
+
+def of(gapped: bool, params: Parameters | None = None) -> Parameters:
+    """``params``, or else those of BLOSUM62 with gap costs 11 and 1, or without gaps."""
+    return params or (GAPPED if gapped else UNGAPPED)
+
+
+def bits(score: Column, gapped: bool = True, params: Parameters | None = None) -> Column:
+    lam, k, _ = of(gapped, params)
     return (score * lam - math.log(k)) / math.log(2)
 
 
-def raw_from_bits(b: float, gapped: bool = True) -> int:
+def raw_from_bits(b: float, gapped: bool = True, params: Parameters | None = None) -> int:
     """Raw score of a bit score, rounded up."""
-    lam, k, _ = GAPPED if gapped else UNGAPPED
+    lam, k, _ = of(gapped, params)
     return math.ceil((b * math.log(2) + math.log(k)) / lam)
 
 
-def raw_drop(b: float, gapped: bool = False) -> int:
+def raw_drop(b: float, gapped: bool = False, params: Parameters | None = None) -> int:
     """Raw X-drop of a drop in bits."""
-    lam = (GAPPED if gapped else UNGAPPED)[0]
+    lam = of(gapped, params)[0]
     return math.ceil(b * math.log(2) / lam)
 
 
-def length_adjustment(m: int, n: int, count: int, gapped: bool = True) -> int:
+def length_adjustment(m: int, n: int, count: int, gapped: bool = True, params: Parameters | None = None) -> int:
     """Expected length of an alignment by chance (Altschul and Gish 1996), by fixed-point steps."""
-    _, k, h = GAPPED if gapped else UNGAPPED
+    _, k, h = of(gapped, params)
     found = 0.0
     for _ in range(20):
         space = max(m - found, 1 / k) * max(n - count * found, 1 / k)
@@ -44,17 +51,17 @@ def length_adjustment(m: int, n: int, count: int, gapped: bool = True) -> int:
     return int(found)
 
 
-def search_space(m: int, n: int, count: int, gapped: bool = True) -> int:
-    a = length_adjustment(m, n, count, gapped)
+def search_space(m: int, n: int, count: int, gapped: bool = True, params: Parameters | None = None) -> int:
+    a = length_adjustment(m, n, count, gapped, params)
     return max(1, m - a) * max(1, n - count * a)
 
 
-def evalue(score: Column, space: Column, gapped: bool = True) -> Column:
-    lam, k, _ = GAPPED if gapped else UNGAPPED
+def evalue(score: Column, space: Column, gapped: bool = True, params: Parameters | None = None) -> Column:
+    lam, k, _ = of(gapped, params)
     return space * k * F.exp(score * -lam)
 
 
-def spaces(queries: DataFrame, subjects: DataFrame, *, gapped: bool = True, db_size: int = 0, fixed: int = 0, length: Column | None = None) -> DataFrame:
+def spaces(queries: DataFrame, subjects: DataFrame, *, gapped: bool = True, db_size: int = 0, fixed: int = 0, length: Column | None = None, params: Parameters | None = None) -> DataFrame:
     """(query_id, space): effective search spaces, from totals of all subjects before any filter.
 
     ``length``: of a query, that of its residues unless given.
@@ -66,13 +73,13 @@ def spaces(queries: DataFrame, subjects: DataFrame, *, gapped: bool = True, db_s
     n, c = db_size or total["n"] or 1, total["c"] or 1
     # One row for each length that occurs: at most as many as the longest query has residues.
     lengths = [r["n"] for r in queries.select(size.cast("int").alias("n")).distinct().collect()]
-    table = queries.sparkSession.createDataFrame([(m, float(search_space(m, n, c, gapped))) for m in lengths], "n int, space double")
+    table = queries.sparkSession.createDataFrame([(m, float(search_space(m, n, c, gapped, params))) for m in lengths], "n int, space double")
     return queries.select("query_id", size.cast("int").alias("n")).join(F.broadcast(table), "n").select("query_id", "space")
 
 
-def least_score(space: Column, evalue_limit: float, gapped: bool = True) -> Column:
+def least_score(space: Column, evalue_limit: float, gapped: bool = True, params: Parameters | None = None) -> Column:
     """The least raw score of an E-value within the limit."""
-    lam, k, _ = GAPPED if gapped else UNGAPPED
+    lam, k, _ = of(gapped, params)
     return F.greatest(F.ceil(F.log(space * k / evalue_limit) / lam), F.lit(1)).cast("int")
 
 

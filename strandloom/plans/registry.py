@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandloom.functions import residues as R
+from strandloom.functions import statistics
 from strandloom.functions.matrix import GAPPED, blosum62
 from strandloom.operators import hits as H
 from strandloom.operators import ranges, words
@@ -217,6 +218,24 @@ def gapped_hsps(spark, sf):
     return search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"), _exact_options()).select("query_id", "oid", "q_start", "q_end", "s_start", "s_end", "score", "rank", "gaps", "identities")
 
 
+@query()
+def default_search(spark, sf):
+    """All options at their defaults: neighbouring words of three residues, two hits, gapped alignment, E-value 10."""
+    h = search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"))
+    return h.select("query_id", "oid", "q_start", "q_end", "s_start", "s_end", "score", "rank", "gaps", "identities")
+
+
+@query()
+def composition_modes(spark, sf):
+    """Pairs of each query that stay significant with scores by composition: none, scaled, a matrix for each pair of sequences."""
+    out = None
+    for mode in (0, 1, 2):
+        h = search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"), _exact_options().with_(composition=mode, max_targets=0))
+        n = h.groupBy("query_id").agg(F.lit(mode).alias("mode"), F.countDistinct("oid").alias("subjects"), F.count("*").alias("pairs"), F.round(F.max("bits"), 3).alias("best_bits"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query()
 def edit_script_stats(spark, sf):
     h = search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"), _exact_options().with_(max_targets=0))
@@ -228,7 +247,7 @@ def translated_search(spark, sf):
     """Bases in six frames against the proteins of their own first and fifth frames."""
     n = _n(spark, sf).withColumnRenamed("bases", "residues")
     own = n.select((F.col("query_id") * 2).alias("oid"), R.translated(F.col("residues"), 1).alias("residues")).unionByName(n.select((F.col("query_id") * 2 + 1).alias("oid"), R.translated(F.col("residues"), -2).alias("residues")))
-    h = search(spark, n, own, SearchOptions(task="translated", threshold=None, word_size=4, evalue=1e-3))
+    h = search(spark, n, own, SearchOptions(task="translated", evalue=1e-3))
     return h.select("query_id", "oid", "frame", "score", "identities", F.col("on_bases.from").alias("base_from"), F.col("on_bases.to").alias("base_to"), "rank")
 
 
@@ -354,6 +373,42 @@ def bit_scores(spark, sf):
     return _hsps(spark, sf).groupBy("query_id", "oid", "score").agg(F.count("*").alias("n")).withColumn("bits", F.round(H.bits(F.col("score")), 6))
 
 
+_BACK = ", ".join(f"('{c}', {i}, {v!r})" for i, (c, v) in enumerate(statistics.BACKGROUND.items()))
+_CHANCE = f"""
+back(b, ord, f) AS (VALUES {_BACK}),
+letter AS (SELECT d.lang, b, CAST(sum(length(residues) - length(replace(residues, b, ''))) AS DOUBLE) AS n FROM s JOIN documents d ON d.doc_id = s.oid, back WHERE d.lang IS NOT NULL GROUP BY d.lang, b),
+pr AS (SELECT lang, b AS a, n / sum(n) OVER (PARTITION BY lang) AS p, sum(n) OVER (PARTITION BY lang) AS total FROM letter),
+by_score AS (SELECT lang, sc AS x, sum(p * f / (SELECT sum(f) FROM back)) AS c, any_value(total) AS total FROM pr JOIN matrix m USING (a) JOIN back ON back.b = m.b GROUP BY lang, sc),
+edge AS (SELECT min(sc) AS lo, max(sc) AS hi FROM matrix m JOIN back u ON u.b = m.a JOIN back w ON w.b = m.b),
+grid AS (SELECT lang, unnest(range(lo, hi + 1)) AS x FROM (SELECT DISTINCT lang FROM by_score), edge),
+filled AS (SELECT g.lang, g.x, coalesce(c, 0) AS c FROM grid g LEFT JOIN by_score b ON b.lang = g.lang AND b.x = g.x),
+dist AS (SELECT lang, list(c ORDER BY x) AS cs, list(x ORDER BY x) AS xs FROM filled GROUP BY lang),
+halved AS (
+  SELECT lang, 0 AS k, CAST(0.01 AS DOUBLE) AS a, CAST(5 AS DOUBLE) AS z FROM dist
+  UNION ALL
+  SELECT lang, k + 1, CASE WHEN over_ THEN a ELSE mid END, CASE WHEN over_ THEN mid ELSE z END
+  FROM (SELECT h.lang, k, a, z, (a + z) / 2 AS mid, list_sum(list_transform(range(1, len(cs) + 1), lambda i: cs[i] * exp((a + z) / 2 * xs[i]))) > 1 AS over_ FROM halved h JOIN dist USING (lang) WHERE k < 60)),
+lam AS (SELECT lang, (a + z) / 2 AS l FROM halved WHERE k = 60),
+entropy AS (SELECT lang, l, l * list_sum(list_transform(range(1, len(cs) + 1), lambda i: xs[i] * cs[i] * exp(l * xs[i]))) AS h FROM lam JOIN dist USING (lang)),
+sums AS (
+  SELECT lang, 1 AS k, cs AS c, (SELECT lo FROM edge) AS low FROM dist
+  UNION ALL
+  SELECT s.lang, k + 1, list_transform(range(0, len(c) + len(cs) - 1), lambda i: list_sum(list_transform(range(greatest(0, i - len(c) + 1), least(i, len(cs) - 1) + 1), lambda j: cs[j + 1] * c[i - j + 1]))), low + (SELECT lo FROM edge)
+  FROM sums s JOIN dist USING (lang) WHERE k < 240),
+series AS (SELECT lang, sum(list_sum(list_transform(range(1, len(c) + 1), lambda i: c[i] * exp(l * least(low + i - 1, 0)))) / k) AS sigma FROM sums JOIN lam USING (lang) GROUP BY lang),
+"""
+
+
+@query("WITH RECURSIVE " + (_BASE + _MATRIX + _CHANCE).rstrip().rstrip(",") + """
+SELECT lang, CAST((SELECT any_value(total) FROM by_score b WHERE b.lang = e.lang) AS BIGINT) AS n, round(l, 6) AS lambda, round(exp(-2 * sigma) / (h / l * (1 - exp(-l))), 5) AS k, round(h, 6) AS h
+FROM entropy e JOIN series USING (lang)""")
+def matrix_statistics(spark, sf):
+    """lambda, K and H of the matrix for the composition of the letters of each language, against the background of proteins."""
+    docs = _table(spark, sf, "documents").where("lang is not null").select(F.col("doc_id").alias("oid"), "lang")
+    found = statistics.composition_parameters(statistics.compositions(_s(spark, sf).join(docs, "oid"), "lang"), "lang")
+    return found.select("lang", "n", F.round("lambda", 6).alias("lambda"), F.round("k", 5).alias("k"), F.round("h", 6).alias("h"))
+
+
 _EV = f"""
 tot AS (SELECT sum(length(residues)) AS n FROM s),
 ev AS (SELECT h.*, length(q.residues) * (SELECT n FROM tot) * {_KK} * exp(-{_LAM} * score) AS e FROM hsp h JOIN q USING (query_id)),

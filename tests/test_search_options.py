@@ -7,10 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import residues as R
-from strandloom.functions.matrix import RESIDUES, blosum62, codes
+from strandloom.functions.matrix import RESIDUES
 from strandloom.operators import hits as H
-from strandloom.operators import kernels as K
-from strandloom.operators.words import neighbour_index
 from strandloom.plans import search as S
 from strandloom.plans.options import SearchOptions
 
@@ -35,33 +33,12 @@ def related(spark):
     return (queries, subjects + ["", "A"], *tables(spark, queries, subjects + ["", "A"]))
 
 
-def plain_hits(queries, subjects, o):
-    m, k, found = blosum62(), o.word_size, {}
-    for i, q in enumerate(queries):
-        index = neighbour_index(q, k, o.threshold)
-        for j, s in enumerate(subjects):
-            qp, sp = [], []
-            for at in range(len(s) - k + 1):
-                number = 0
-                for c in codes(s[at : at + k]).tolist():
-                    number = number * 28 + c
-                qp += index.get(number, [])
-                sp += [at] * len(index.get(number, []))
-            got = K.two_hit_extend(codes(q), codes(s), np.array(qp, int), np.array(sp, int), k, o.window, H.raw_drop(o.xdrop_ungapped), H.raw_from_bits(o.gap_trigger, False), m)[0] if qp else []
-            if got:
-                found[i, j] = sorted(got)
-    return found
-
-
-def test_default_seeds_equal_plain_look_ups(spark, related, monkeypatch):
-    queries, subjects, q, s = related
-    o = SearchOptions()
-    want = plain_hits(queries, subjects, o)
-    assert len(want) > 10
-    for block in (100_000, 100):
-        monkeypatch.setattr(S, "BLOCK_RESIDUES", block)
-        rows = S.indexed_hits(spark, S.contexts(q, o), s.where("residues <> ''"), o).collect()
-        assert {(r["query_id"], r["oid"]): sorted((h["q_start"], h["s_start"], h["length"], h["seed"], h["score"]) for h in r["hits"]) for r in rows} == want
+def test_blocks_of_queries_give_the_pairs_of_one_block(spark, related, monkeypatch):
+    _, _, q, s = related
+    rows = lambda: sorted(tuple(r) for r in S.search(spark, q, s, SearchOptions(evalue=1e-3)).select("query_id", "oid", "q_start", "q_end", "s_start", "s_end", "score").collect())
+    want = rows()
+    monkeypatch.setattr(S, "BLOCK_RESIDUES", 100)
+    assert rows() == want and len(want) >= 30
 
 
 def test_default_search_finds_the_copies(spark, related):
