@@ -210,7 +210,7 @@ def _exact_options() -> SearchOptions:
 
 @query()
 def ungapped_hsps(spark, sf):
-    return search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"), _exact_options().with_(ungapped=True)).select("query_id", "oid", "q_start", "q_end", "s_start", "s_end", "score", "rank")
+    return search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"), _exact_options().with_(ungapped=True)).select("query_id", "oid", "q_start", "q_end", "s_start", "s_end", "score", "rank", "n_linked")
 
 
 @query()

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from strandloom.functions import masking
 from strandloom.functions import residues as R
 from strandloom.operators import hits as H
 from strandloom.operators import ranges, words
@@ -181,12 +180,6 @@ def test_assembled_and_empty_warning(spark):
         catalog.warned_if_empty(row.where("false"))
 
 
-def test_low_complexity(spark):
-    assert masking.entropy_masks("MKVLDERTYPWNHQ" + "A" * 20 + "MKVLDERTYPWNHQ")[0][0] > 5
-    assert masking.entropy_masks("AC") == [] and masking.triplet_masks("ACG") == []
-    assert masking.triplet_masks("ACGT" * 40) and masking.triplet_masks("ACGTTGCATGTCGCATGATGCATGAGAGCT") == []
-
-
 def test_sequence_functions(spark):
     row = spark.createDataFrame([("ATGAAATTTTGA", "500MB", "11-200", ">sp|P1 some title", 17, bytes([0b00011011, 0b11000000]))], "b string, z string, l string, d string, n int, p binary")
     got = row.select(

@@ -80,7 +80,7 @@ def test_matrix_text_scores(spark, related):
 
 def test_genetic_code_of_a_translated_search(spark):
     q, s = tables(spark, ["TGAGCTTGGAAATGAGCTTGGAAATGGCAT" * 3], ["WAWKWAWKWH" * 3])
-    o = SearchOptions(task="translated", threshold=None, evalue=10.0, strand="plus")
+    o = SearchOptions(task="translated", threshold=None, evalue=10.0, strand="plus", seg=False, composition=0)
     one, two = (S.search(spark, q, s, o.with_(genetic_code=c)).where("frame = 1").agg(F.max("identities")).first()[0] for c in (1, 2))
     assert two == 30 and (one or 0) < 30
     assert spark.range(1).select(R.translated(F.lit("TGAAGAATA"), 1, R.CODES[2])).first()[0] == "W*M"
@@ -90,7 +90,7 @@ def test_search_space_goes_by_the_longest_frame(spark):
     """The frame that is last in the alphabet is not the longest one."""
     bases = "TAC" * 40 + "TACG"
     q, s = tables(spark, [bases], ["Y" * 40 + "ACDEFGHIKLMNPQRSTVWY" * 20])
-    o = SearchOptions(task="translated", threshold=None)
+    o = SearchOptions(task="translated", threshold=None, seg=False, composition=0)
     frames = S.contexts(q, o)
     longest = max(len(r["residues"]) for r in frames.collect())
     space = H.search_space(longest, 440, 1)
