@@ -6,7 +6,8 @@ ambiguous if the runner-up is close.
 
 Null texts, and texts without a letter, get ``und`` with score 0.  Nothing but the text is
 an input of a prediction.  Repeated rows and ids are predicted row by row; extra columns of
-the input are ignored.  With no labelled row, every text gets ``und``.
+the input are ignored.  With no labelled row, every text gets ``und``.  Very long texts are read whole, in
+blocks.  Languages of equal loss: the first in the order of their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

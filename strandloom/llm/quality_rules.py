@@ -5,7 +5,8 @@ kept out of the training, and applied in Arrow batches against a fixed threshold
 
 Null and empty texts have no words, fail the base rule and are not kept.  Repeated rows are
 judged row by row; extra columns are ignored.  Without labels of both kinds the model gives
-every text the share of good labels (1 without any label).
+every text the share of good labels (1 without any label).  Very long texts are read whole.  A probability at the
+threshold is kept.  An empty table gives no rows.
 """
 
 from __future__ import annotations

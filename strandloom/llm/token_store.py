@@ -4,14 +4,15 @@ A file is an Arrow IPC file (random access by its footer) of record batches with
 fixed-size-list columns: ``ids`` (16 bits wide if the vocabulary fits, else 32) and ``mask``
 (true where an id stands, false in the padding after a file's last id).  All batches but the
 last have the same number of sequences, so a sequence is found by arithmetic and read without
-a copy from a mapped file.  Files hold documents in ascending order of doc_id; an index
-table says where each document begins.
+a copy from a mapped file.  Files hold documents in ascending order of doc_id.  Each batch carries,
+as metadata, the ids of the documents that begin in it and where; so the files alone say what they hold, and
+an index table only names them (with each document's place, for random access).
 
 Files are written under names of their own; only those that the index names count, so a
 task that is lost and run again leaves at most a file that nobody reads.
 
 Null and empty texts are the end id alone.  Rows of equal doc_id are all stored, next to each
-other; null ids come first.  Extra columns are ignored.  An empty table gives an empty index.
+other; null ids come first.  Very long texts run on over as many batches as they take.  Extra columns are ignored.  An empty table gives an empty index.
 doc_id is an integer column.
 """
 
@@ -124,19 +125,21 @@ def vocabulary(path: str) -> int:
 class SequenceWriter:
     """Writes one file of equal-length sequences."""
 
-    def __init__(self, uri: str, kind: str, length: int = LENGTH, per_batch: int = PER_BATCH):
+    def __init__(self, uri: str, kind: str, length: int = LENGTH, per_batch: int = PER_BATCH, part: int = 0):
         self.kind, self.length, self.block = kind, length, length * per_batch
         fs, place = pa.fs.FileSystem.from_uri(uri)
         fs.create_dir(os.path.dirname(place), recursive=True)
         value = pa.from_numpy_dtype(np.dtype(kind))
-        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"part": str(part)})
         self.sink = fs.open_output_stream(place)
         self.out = pa.ipc.new_file(self.sink, self.schema)
-        self.waiting, self.size, self.total = [], 0, 0
+        self.waiting, self.size, self.total, self.written = [], 0, 0, 0
+        self.begun: list[tuple[int | None, int]] = []
 
-    def add(self, ids: bytes) -> int:
+    def add(self, ids: bytes, doc: int | None = None) -> int:
         """Appends a document; its first position in the file."""
         at = self.total
+        self.begun.append((doc, at))
         n = len(ids) // np.dtype(self.kind).itemsize
         self.waiting.append(ids)
         self.size += n
@@ -153,7 +156,14 @@ class SequenceWriter:
         mask = np.zeros(len(flat), bool)
         mask[:real] = True
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
-        self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
+        self.written += real
+        here = [x for x in self.begun if x[1] < self.written]
+        self.begun = self.begun[len(here) :]
+        bounds = pa.table({"doc": pa.array([d for d, _ in here], pa.int64()), "at": pa.array([a for _, a in here], pa.int64())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, bounds.schema) as out:
+            out.write_table(bounds)
+        self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema), custom_metadata={"documents": sink.getvalue().to_pybytes()})
 
     def close(self) -> None:
         if self.size:
@@ -186,6 +196,31 @@ class SequenceFile:
         lo = row * self.length
         return b.column("ids").values.to_numpy()[lo : lo + self.length], b.column("mask").values.slice(lo, self.length)
 
+    def documents(self) -> Iterator[tuple[int | None, int, int, int]]:
+        """(doc_id, first position, ids, crc32 of the ids as little-endian 32-bit numbers) of all documents, from one pass over the file."""
+        now, at = None, 0
+        for k in range(self.reader.num_record_batches):
+            batch, meta = self.reader.get_batch_with_custom_metadata(k)
+            bounds = pa.ipc.open_stream(meta[b"documents"]).read_all()
+            real = int(pc.sum(batch.column("mask").values.slice(0, len(batch) * self.length)).as_py() or 0)
+            ids = batch.column("ids").values.to_numpy()[:real]
+            cuts = [a - at for a in bounds.column("at").to_pylist()]
+            ends = [*cuts, real]
+            if now is not None:
+                now[2:] = now[2] + ends[0], zlib.crc32(ids[: ends[0]].astype("<u4").tobytes(), now[3])
+            for doc, lo, hi in zip(bounds.column("doc").to_pylist(), cuts, ends[1:], strict=True):
+                if now is not None:
+                    yield tuple(now)
+                now = [doc, at + lo, hi - lo, zlib.crc32(ids[lo:hi].astype("<u4").tobytes())]
+            at += real
+        if now is not None:
+            yield tuple(now)
+
+    @property
+    def part(self) -> int:
+        """Which of the files of a store this is, by ascending ids."""
+        return int(self.reader.schema.metadata[b"part"])
+
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids at positions start to start + n, a view for each batch touched."""
         size = self.per_batch * self.length
@@ -225,14 +260,14 @@ def write_sequences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         out, now, uri = None, None, ""
         for b in batches:
             places, names, sizes = [], [], []
-            for part, ids in zip(b.column("part").to_pylist(), b.column("ids"), strict=True):
+            for doc, part, ids in zip(b.column("i").to_pylist(), b.column("part").to_pylist(), b.column("ids"), strict=True):
                 if part != now:
                     if out:
                         out.close()
                     now, uri = part, f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
-                    out = SequenceWriter(uri, kind, length)
+                    out = SequenceWriter(uri, kind, length, part=part)
                 raw = ids.as_buffer().to_pybytes()
-                places.append(out.add(raw))
+                places.append(out.add(raw, doc))
                 names.append(uri)
                 sizes.append(len(raw) // np.dtype(kind).itemsize)
             yield pa.RecordBatch.from_arrays([b.column("i"), b.column("part"), pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], ["i", "part", "file", "at", "n_tokens"])
@@ -242,35 +277,38 @@ def write_sequences(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     coded = rows.mapInArrow(encode, f"i {id_kind}, part int, ids binary")
     ranged = coded.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("i").asc_nulls_first(), "ids")
     index = written(ranged.mapInArrow(store, f"i {id_kind}, part int, file string, at long, n_tokens long"), "index")
-    # One row for each file: as many as this cluster writes at once, not as many as documents.
-    sizes = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
-    before, total = [], 0
-    for r in sizes:
-        before.append((r["part"], total))
+    return index.join(F.broadcast(_ahead(index)), "part").select(F.col("i").alias(doc_id), "file", "at", (F.col("base") + F.col("at")).alias("start"), "n_tokens")
+
+
+def _ahead(rows: DataFrame) -> DataFrame:
+    """(part, base): the ids in all files before each one.  A row for each file: as many as there are shuffle partitions, not as many as documents."""
+    base, total = [], 0
+    for r in rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():
+        base.append((r["part"], total))
         total += r["n"]
-    base = spark.createDataFrame(before, "part int, base long")
-    return index.join(F.broadcast(base), "part").select(F.col("i").alias(doc_id), "file", "at", (F.col("base") + F.col("at")).alias("start"), "n_tokens")
+    return rows.sparkSession.createDataFrame(base, "part int, base long")
 
 
 def read_checksums(index: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit numbers), read from the files of an index."""
+    """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit numbers) of all documents, all read from the files that an index names."""
     spark = index.sparkSession
     small_batches(spark)
     id_kind = index.schema[doc_id].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, file = "", None
+        names, kinds = ["i", "part", "at", "n_tokens", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for b in batches:
-            sums = []
-            for uri, at, n in zip(*(b.column(c).to_pylist() for c in ("file", "at", "n_tokens")), strict=True):
-                if uri != name:
-                    name, file = uri, SequenceFile(uri)
-                crc = 0
-                for ids in file.tokens(at, n):
-                    crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
-                sums.append(crc)
-            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())], ["i", "start", "n_tokens", "ids_crc32"])
-
-    rows = index.select(F.col(doc_id).alias("i"), "file", "at", "start", "n_tokens")
-    spread = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").sortWithinPartitions("file", "at")
-    return spread.mapInArrow(check, f"i {id_kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("i", doc_id)
+            for uri in b.column("file").to_pylist():
+                file, rows = SequenceFile(uri), []
+                for doc, at, n, crc in file.documents():
+                    rows.append((doc, file.part, at, n, crc))
+                    if len(rows) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    spread = index.select("file").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    found = written(spread.mapInArrow(check, "i long, part int, at long, n_tokens long, ids_crc32 long"), "documents-read")
+    ahead = F.broadcast(_ahead(found))
+    return found.join(ahead, "part").select(F.col("i").cast(id_kind).alias(doc_id), (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,0 +1,151 @@
+"""Language ID and quality rules against plain versions of their decoding and scoring, letter by letter."""
+
+import dataclasses
+import math
+import zlib
+
+import pytest
+
+from strandloom.llm import common, language_id, quality_rules, queries
+from tests.llm.helpers import documents, nothing, odd_documents
+
+MASK = (1 << 64) - 1
+
+
+def mix(h):
+    for _ in range(2):
+        h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK
+    return h ^ (h >> 32)
+
+
+# ------------------------------------------------------------------ language
+
+
+def plain_grams(text, bits):
+    """Buckets of the 1- to 3-grams of letters and single blanks."""
+    chars = []
+    for c in f" {text.lower()} ":
+        c = c if c.isalpha() else " "
+        if c != " " or not chars or chars[-1] != " ":
+            chars.append(c)
+    out = [mix((ord(c) + (1 << 60)) & MASK) for c in chars if c != " "]
+    for size in (2, 3):
+        for i in range(len(chars) - size + 1):
+            h = ((size << 60) + sum(ord(c) << (21 * k) for k, c in enumerate(chars[i : i + size]))) & MASK
+            out.append(mix(h * 0x9E3779B97F4A7C15 & MASK))
+    return [h >> (64 - bits) for h in out], any(c != " " for c in chars)
+
+
+def plain_language(model, text):
+    """(lang, score, ambiguous): the codeword of least weighted loss, by sums over n-grams."""
+    buckets, some = plain_grams(text or "", model.bits_of_bucket)
+    if not some or not model.langs:
+        return "und", 0.0, True
+    bits = range(model.weights.shape[1])
+    margin = [sum(float(model.weights[b, k]) for b in buckets) / len(buckets) for k in bits]
+    loss = [sum(float(model.trust[k]) * max(0.0, 1 - margin[k] * float(word[k])) for k in bits) for word in model.code]
+    z = [math.exp(-model.scale * (x - min(loss))) for x in loss]
+    share = sorted((x / sum(z) for x in z), reverse=True)
+    return model.langs[loss.index(min(loss))], share[0], share[0] - (share[1] if len(share) > 1 else 0) < model.least_gap
+
+
+def test_languages_by_plain_decoding(spark, sf):
+    docs = documents(spark, sf)
+    model = language_id.fit(docs.where(language_id.learnable()))
+    found = {r["doc_id"]: r for r in queries.op2_language_id(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        f = found[r["doc_id"]]
+        lang, score, unsure = plain_language(model, r["text"])
+        assert (f["lang_pred"], f["ambiguous"], f["held_out"]) == (lang, unsure, zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert f["score"] == pytest.approx(score, abs=1e-6)
+
+
+def test_languages_of_odd_texts_by_plain_decoding(spark, sf):
+    model = language_id.fit(documents(spark, sf).where(language_id.learnable()))
+    for docs in (odd_documents(spark), nothing(spark)):
+        found = sorted((r["doc_id"], r["lang_pred"], r["ambiguous"], round(r["score"], 5)) for r in language_id.predict(docs, model).collect())
+        plain = [(r["doc_id"], *plain_language(model, r["text"])) for r in docs.collect()]
+        assert found == sorted((i, lang, unsure, round(score, 5)) for i, lang, score, unsure in plain)
+
+
+def test_ties_between_codewords_take_the_first_language():
+    import numpy as np
+
+    model = language_id.LanguageModel(("a", "b"), language_id.code_book(2), np.zeros((1 << 15, 1), np.float32), np.ones(1), 15, 6.0, 0.02)
+    lang, score, unsure = language_id.predict_texts(model, ["some text"])
+    assert (lang, score.tolist(), unsure.tolist()) == (["a"], [0.5], [True])
+
+
+# ------------------------------------------------------------------ quality
+
+
+def word_hash(word):
+    h = sum(int(common._BYTE[b]) * pow(common._BASE, i, 1 << 64) for i, b in enumerate(word)) + len(word)
+    return mix(h & MASK)
+
+
+def plain_words(text):
+    for c in b"\x20\x09\x0a\x0b\x0c\x0d":
+        text = text.replace(bytes([c]), b" ")
+    return [w for w in text.split(b" ") if w]
+
+
+def plain_probability(model, text):
+    """Means of the weights of words, pairs of words and character 4-grams, then the calibration curve."""
+    raw = (text or "").encode("utf-8", "replace")
+    shift = 64 - model.bits
+    hashes = [word_hash(w) for w in plain_words(raw)]
+    pairs = [mix((mix_of * 0x9DDFEA08EB382D69 + b) & MASK) for mix_of, b in zip(hashes, hashes[1:])]
+    chars = [ord(c) for c in raw.replace(b"\0", b" ").decode()] + [0]
+    fours = []
+    for a, b, c, d in zip(chars, chars[1:], chars[2:], chars[3:]):
+        fours.append(mix((((a * 0x100000001B3 + b) * 0x9E3779B97F4A7C15 + c) * 0xD6E8FEB86659FD93 + d) & MASK))
+    z = model.bias
+    for kind, found in enumerate((hashes, pairs, fours)):
+        if found:
+            z += sum(float(model.weights[kind][h >> shift]) for h in found) / len(found)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * z + model.shift))))
+
+
+def plain_base(text):
+    words = plain_words((text or "").encode("utf-8", "replace"))
+    windows = {}
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i : i + 8]), []).append(i)
+    repeated = {k for at in windows.values() if len(at) > 1 for i in at for k in range(i, i + 8)}
+    return len(words) < 20 or 100 * len(repeated) > 30 * len(words)
+
+
+def test_verdicts_by_plain_scores(spark, sf):
+    docs = documents(spark, sf)
+    model = quality_rules.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    # At the median both verdicts occur.
+    odds = sorted(plain_probability(model, r["text"]) for r in docs.where("doc_id < 60").collect())
+    model = dataclasses.replace(model, threshold=odds[30] + 1e-4)
+    found = {r["doc_id"]: r for r in quality_rules.judge(docs, model).collect()}
+    verdicts = set()
+    for r in docs.collect():
+        f, p = found[r["doc_id"]], plain_probability(model, r["text"])
+        assert f["probability"] == pytest.approx(p, abs=1e-5)
+        assert f["base_failed"] == plain_base(r["text"])
+        assert f["kept"] == (not f["base_failed"] and f["probability"] >= model.threshold)
+        verdicts.add((f["base_failed"], f["kept"]))
+    assert verdicts == {(False, True), (False, False), (True, False)}
+
+
+def test_verdicts_of_odd_texts_by_plain_scores(spark, sf):
+    model = quality_rules.fit(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    docs = odd_documents(spark)
+    found = sorted((r["doc_id"], r["base_failed"], r["kept"], round(r["probability"], 5)) for r in quality_rules.judge(docs, model).collect())
+    plain = [(r["doc_id"], plain_base(r["text"]), plain_probability(model, r["text"])) for r in docs.collect()]
+    assert found == sorted((i, failed, not failed and p >= model.threshold, round(p, 5)) for i, failed, p in plain)
+
+
+def test_a_probability_at_the_threshold_is_kept(spark):
+    import numpy as np
+
+    model = quality_rules.QualityModel(np.zeros((3, 1 << 14), np.float32), 0.0, 1.0, 0.0, 14, 0.5)
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "doc_id long, text string")
+    assert [(r["probability"], r["kept"]) for r in quality_rules.judge(docs, model).collect()] == [(0.5, True)]

@@ -623,6 +623,27 @@ def test_token_store_files_are_equal_length_and_masked(tmp_path):
     assert [sum(f.sequence(i)[1].to_pylist()) for i in range(4)] == [8, 8, 8, 5]
 
 
+def test_token_store_files_say_what_they_hold(tmp_path):
+    """Documents, their places, lengths and checksums come from the file alone, whatever batches they lie in."""
+    uri = f"file://{tmp_path}/b.arrow"
+    w = token_store.SequenceWriter(uri, "<u2", 8, 2, part=3)
+    docs = [(None, 3), (-5, 13), (-5, 16), (7, 1), (8, 50), (9, 16), (2**40, 2)]
+    ids = [np.arange(n, dtype="<u2") + k for k, (_, n) in enumerate(docs)]
+    places = [w.add(x.tobytes(), d) for (d, _), x in zip(docs, ids, strict=True)]
+    w.close()
+    f = token_store.SequenceFile(uri)
+    assert f.part == 3
+    assert list(f.documents()) == [(d, at, n, zlib.crc32(x.astype("<u4").tobytes())) for (d, n), at, x in zip(docs, places, ids, strict=True)]
+
+
+def test_token_store_results_come_from_the_files(spark, sf):
+    """An index that lies about places and lengths changes nothing."""
+    index = token_store.write_sequences(documents(spark, sf), length=64)
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    lies = index.withColumns({"at": F.lit(0).cast("long"), "n_tokens": F.lit(1).cast("long"), "start": F.lit(5).cast("long")})
+    assert rows(token_store.read_checksums(lies)) == rows(token_store.read_checksums(index))
+
+
 def test_token_store_empty(spark):
     assert token_store.read_checksums(token_store.write_sequences(nothing(spark))).count() == 0
 
