@@ -14,6 +14,7 @@ def _columns() -> dict[str, Column]:
         "mismatch": (c("align_length") - c("gaps") - c("identities")).cast("string"), "gapopen": c("gap_opens").cast("string"), "gaps": c("gaps").cast("string"), "nident": c("identities").cast("string"),
         "qstart": (c("q_start") + 1).cast("string"), "qend": c("q_end").cast("string"), "sstart": (c("s_start") + 1).cast("string"), "send": c("s_end").cast("string"),
         "evalue": F.format_string("%.2e", c("evalue")), "bitscore": F.format_string("%.1f", c("bits")), "score": c("score").cast("string"),
+        "stitle": c("title"), "staxid": c("taxid").cast("string"), "sacc": c("subject_id"),
     }
 
 
@@ -30,6 +31,16 @@ def tabular(hsps: DataFrame, spec: str = STANDARD) -> DataFrame:
     return hsps.select(*[known[n].alias(n) for n in dict.fromkeys(names)])
 
 
+def enriched(hsps: DataFrame, subjects: DataFrame, *columns: str) -> DataFrame:
+    """``hsps`` with columns of their subjects (title, taxid, ...), nulls where a subject has gone.
+
+    Only the subjects that were hit are looked up: their ids go first, as hits are few beside subjects.
+    """
+    names = columns or tuple(c for c in ("subject_id", "title", "taxid") if c in subjects.columns)
+    hit = subjects.join(hsps.select("oid").distinct(), "oid", "left_semi").select("oid", *names)
+    return hsps.join(hit, "oid", "left")
+
+
 def write_report(hsps: DataFrame, path: str, *, form: str = "tabular", spec: str = STANDARD) -> None:
     """tabular (6), csv (10) or json; sorted by query, rank of the subject and score."""
     ordered = hsps.orderBy("query_id", "rank", F.desc("score"), "q_start", "s_start")

@@ -97,3 +97,53 @@ def test_search_space_goes_by_the_longest_frame(spark):
     r = S.search(spark, q, s, o).orderBy("evalue").first()
     want = space * 0.041 * np.exp(-0.267 * r["score"])
     assert abs(r["evalue"] / want - 1) < 1e-9
+
+
+def test_long_subjects_in_pieces_give_the_hits_of_whole_ones(spark, monkeypatch):
+    """Passages are planted across every seam; pairs are those of a search without pieces, masks included."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice(AMINO) for _ in range(n))
+    queries = [text(50) for _ in range(3)]
+    size = 5000  # four times the margin is less
+    body = list(text(4 * size + 700))
+    for at in (size - 25, 2 * size - 3, 3 * size - 49, 4 * size + 640, 0, 1200, size + 900):
+        copy = "".join(c if rng.random() < 0.85 else rng.choice(AMINO) for c in queries[at % 3])
+        body[at : at + 50] = copy
+    body = "".join(body)
+    q, s = tables(spark, queries, [body, text(300) + queries[0]])
+    masks = spark.createDataFrame([(0, 1200, 1250), (0, 2 * size - 3, 2 * size + 60)], "oid long, from int, to int")
+    key = ["query_id", "oid", "q_start", "q_end", "s_start", "s_end", "score", "script"]
+    for o in (SearchOptions(evalue=1e-3, composition=0), SearchOptions(evalue=1e-3, ungapped=True, link=False, threshold=None)):
+        rows = lambda chunk, m=None: sorted(map(str, S.search(spark, q, s, o.with_(chunk=chunk), masks=m).select(key).collect()))  # noqa: B023, E731
+        whole = rows(10**9)
+        assert rows(size) == whole and len(whole) >= 6
+        assert rows(size, masks) == rows(10**9, masks) != whole
+    assert S.pieces(s, size, 1100).count() == 6
+
+
+def test_limits_and_filters_of_a_whole_search(spark, related):
+    _, _, q, s = related
+    o = SearchOptions(evalue=1e-3)
+    every = S.search(spark, q, s, o)
+    few = S.search(spark, q, s, o.with_(max_hsps_total=2)).collect()
+    best = {}
+    for r in every.collect():
+        best.setdefault(r["query_id"], []).append(r["score"])
+    assert {k: sorted(v)[-2:] for k, v in best.items()} == {k: sorted(r["score"] for r in few if r["query_id"] == k) for k in best}
+    level = S.search(spark, q, s, o.with_(mask_level=50)).collect()
+    assert {r["query_id"] for r in level} == set(best) and len(level) < every.count()
+    raw = S.search(spark, q, s, SearchOptions(least_score=90, evalue=1e-30))
+    assert raw.count() > 0 and raw.where("score < 90").isEmpty()
+    with pytest.raises(ValueError):
+        SearchOptions(mask_level=101)
+
+
+def test_hits_with_titles_and_taxids(spark, related):
+    from strandloom.sources import report
+
+    _, _, q, s = related
+    subjects = s.withColumns({"subject_id": F.concat(F.lit("s"), "oid"), "title": F.concat(F.lit("title "), "oid"), "taxid": F.col("oid").cast("int") + 7})
+    hits = report.enriched(S.search(spark, q, s, SearchOptions(evalue=1e-3)), subjects.where("oid <> 3"))
+    rows = report.tabular(hits, "qseqid sacc stitle staxid").collect()
+    assert len(rows) == hits.count() and {(r["stitle"], r["staxid"]) for r in rows if r["sacc"] == "s4"} == {("title 4", "11")}
+    assert {r["stitle"] for r in rows if r["sacc"] is None} == {None}
