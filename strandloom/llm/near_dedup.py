@@ -60,7 +60,9 @@ BINS, RANKS = 256, 1 << 16
 #: Words of up to 64 occurrences, or one in 2**15 of all, have no handicap; each doubling beyond adds one bit, up to HANDICAP.
 HANDICAP, RARE_COUNT, RARE_SHARE = 6, 64, 2.0**-15
 #: Texts of a block that are compared at once, partners that meet one text in a task, and pairs of two classes that are aligned before all others.
-_MOST, _RUN, _FEW = 512, 64, 4
+_MOST, _RUN, _FEW = 4096, 64, 4
+#: Partners of a text in a block that are told before all others.
+_PARTNERS = 3
 #: Least keys of a text's groups by which repeated pairs are told from new ones.
 _FIRSTS = 32
 _BLOCK = 1 << 16
@@ -382,11 +384,12 @@ def _by_rarest(members: DataFrame, counts: np.ndarray, least: float) -> DataFram
     return members.select("u", "label", "t").mapInArrow(spread, "key long, u long, label long")
 
 
-def _across(groups: DataFrame, meta: DataFrame, least: float, most: int) -> DataFrame:
-    """(a, b, la, lb), a < b: pairs of a group and of two classes la, lb that the bound does not rule out.  groups: key, u, label; meta: u, n, bag.
+def _across(groups: DataFrame, meta: DataFrame, least: float, most: int, few: int | None = None) -> DataFrame:
+    """(a, b, la, lb, more), a < b: pairs of a group and of two classes la, lb that the bound does not rule out.  groups: key, u, label; meta: u, n, bag.
 
     Groups of one class go; larger ones than a block are dealt over blocks so that every two texts meet in one.
-    most: rows of ``groups``.
+    few: of each text's partners further on in a block only those with the least bounds are told; a row with nothing but ``more``
+    names a group that has others.  most: rows of ``groups``.
     """
     mixed = groups.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     dealt = groups.join(mixed.select("key", F.ceil(F.col("size") / _MOST).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("u"), "parts").cast("int"))
@@ -396,12 +399,12 @@ def _across(groups: DataFrame, meta: DataFrame, least: float, most: int) -> Data
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(firsts.join(meta, "u"), "u")
     block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "u", "label", "n", "bag", "firsts")
 
-    def met(rows: pa.Table) -> list[np.ndarray]:
-        """a, b and their labels, as rows of one array each."""
+    def met(rows: pa.Table) -> tuple[list[np.ndarray], bool]:
+        """a, b and their labels, as rows of one array each; whether there are others."""
         u, n, label, part = (rows.column(c).to_numpy() for c in ("u", "n", "label", "part"))
         same = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
         if (label == label[0]).all():
-            return []
+            return [], False
         bags = _bags(rows.column("bag"))
         sums = bags.sum(1, dtype=np.int64)
         here = rows.column("key")[0].as_py()
@@ -412,29 +415,46 @@ def _across(groups: DataFrame, meta: DataFrame, least: float, most: int) -> Data
                 before[i] = {x for x in rows.column("firsts")[i].as_py() if x < here}
             return before[i]
 
-        found = []
+        found, more = [], False
         for k in range(len(n) - 1):
             size = np.maximum(n[k + 1 :], n[k])
             at = np.flatnonzero((label[k + 1 :] != label[k]) & (np.minimum(n[k + 1 :], n[k]) >= size * least - 1e-6) & (same | (part[k + 1 :] != part[k])))
             if len(at):
-                at = at[_bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at]) <= _allowed(size[at], least)]
+                bounds = _bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at])
+                near = bounds <= _allowed(size[at], least)
+                at, bounds = at[near], bounds[near]
+            if len(at):
+                mine = [earlier(k).isdisjoint(earlier(i + k + 1)) for i in at.tolist()]
+                at, bounds = at[mine], bounds[mine]
+            if few is not None and len(at) > few:
+                at, more = at[np.argsort(bounds, kind="stable")[:few]], True
             if len(at):
-                at = at[[earlier(k).isdisjoint(earlier(i + k + 1)) for i in at.tolist()]]
                 other = u[k + 1 :][at]
                 less = other < u[k]
                 mine, theirs = np.full(len(at), label[k]), label[k + 1 :][at]
                 found.append(np.stack([np.minimum(other, u[k]), np.maximum(other, u[k]), np.where(less, theirs, mine), np.where(less, mine, theirs)]))
-        return found
+        return found, more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         made: list[np.ndarray] = []
+        open_: set[int] = set()
         last = None
 
         def told() -> pa.RecordBatch:
             pairs = np.unique(np.concatenate(made, 1), axis=1) if made else np.zeros((4, 0), np.int64)
+            keys = sorted(open_)
             made.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "la", "lb"])
+            open_.clear()
+            none = [None] * len(keys)
+            return pa.RecordBatch.from_arrays([*(pa.array([*x.tolist(), *none], pa.int64()) for x in pairs), pa.array([None] * pairs.shape[1] + keys, pa.int64())], ["a", "b", "la", "lb", "more"])
+
+        def add() -> None:
+            found, more = met(pa.Table.from_batches(held))
+            made.extend(found)
+            if more:
+                open_.add(last[0])
+            held.clear()
 
         for batch in batches:
             if not batch.num_rows:
@@ -444,17 +464,16 @@ def _across(groups: DataFrame, meta: DataFrame, least: float, most: int) -> Data
             for lo, hi in zip(cuts, cuts[1:]):
                 own = tuple(group[:, lo].tolist())
                 if own != last and held:
-                    made.extend(met(pa.Table.from_batches(held)))
-                    held.clear()
+                    add()
                 last = own
                 held.append(batch.slice(lo, hi - lo))
             if sum(x.shape[1] for x in made) > 100_000:
                 yield told()
         if held:
-            made.extend(met(pa.Table.from_batches(held)))
+            add()
         yield told()
 
-    return block.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, la long, lb long").distinct()
+    return block.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long, la long, lb long, more long").distinct()
 
 
 def _labels(of: DataFrame, links: DataFrame, most: int) -> DataFrame:
@@ -480,19 +499,31 @@ def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, counts: np.nda
     large = rest.where(F.col("size") > FULL).select("u", "label").distinct().join(texts, "u")
     groups = rest.where(F.col("size") <= FULL).select("key", "u", "label").unionByName(_by_rarest(written(large, "large", size), counts, least))
     groups = written(groups, "groups")
-    new = written(_across(groups, meta, least, groups.count()).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
-    open_ = new.count()
-    # A few pairs of each two classes first: they mostly make them one.
-    best = new.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"), F.pmod(F.xxhash64("a", "b"), F.lit(_FEW)).alias("k")).agg(F.min(F.struct("a", "b")).alias("p"))
-    some = written(best.select("p.a", "p.b"), "some", open_)
-    some = written(_verified(some, texts, least), "checked", some.count(), _PAIRS)
-    checked = checked.unionByName(some)
-    links = some.where("sim > 0").select("a", "b").join(new, ["a", "b"])
-    merged = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), open_)
-    for c in ("la", "lb"):
-        new = new.join(merged.toDF(c, "top"), c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
-    others = written(new.where("la <> lb").select("a", "b").join(some.select("a", "b"), ["a", "b"], "left_anti"), "others", open_)
-    checked = checked.unionByName(written(_verified(others, texts, least), "checked", others.count(), _PAIRS))
+
+    def settled(new: DataFrame, checked: DataFrame) -> DataFrame:
+        """``checked`` and what is found of the pairs ``new`` (a, b, la, lb) that it lacks, but for those whose classes others of them make one."""
+        new = written(new.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        open_ = new.count()
+        # A few pairs of each two classes first: they mostly make them one.
+        best = new.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"), F.pmod(F.xxhash64("a", "b"), F.lit(_FEW)).alias("k")).agg(F.min(F.struct("a", "b")).alias("p"))
+        some = written(best.select("p.a", "p.b"), "some", open_)
+        some = written(_verified(some, texts, least), "checked", some.count(), _PAIRS)
+        links = some.where("sim > 0").select("a", "b").join(new, ["a", "b"])
+        merged = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), open_)
+        for c in ("la", "lb"):
+            new = new.join(merged.toDF(c, "top"), c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
+        others = written(new.where("la <> lb").select("a", "b").join(some.select("a", "b"), ["a", "b"], "left_anti"), "others", open_)
+        return checked.unionByName(some).unionByName(written(_verified(others, texts, least), "checked", others.count(), _PAIRS))
+
+    # The most alike partners of each text first; only groups that have others are looked at again, with the classes that these made.
+    first = written(_across(groups, meta, least, groups.count(), _PARTNERS), "partners")
+    checked = settled(first.where("more is null").drop("more"), checked)
+    again = written(groups.join(first.select(F.col("more").alias("key")).distinct(), "key", "left_semi"), "again")
+    n = again.count()
+    if n:
+        labels = _labels(involved, checked.where("sim > 0").select("a", "b"), checked.count())
+        again = written(again.select("key", "u").join(labels, "u"), "again", n)
+        checked = settled(_across(again, meta, least, n).drop("more"), checked)
     return checked.where("sim > 0").select("a", "b")
 
 
