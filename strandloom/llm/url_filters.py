@@ -9,7 +9,7 @@ host, and the host's from all.
 
 A null url, or one without ``://``, has an empty host and path.  Rules come first, the longest
 that fits.  Repeated rows and equal ids are judged row by row; extra columns are ignored.
-Very long paths are followed to their end.  Rules of equal length cannot both fit unless their
+Very long paths are followed to their end.  ``labels`` are labels of the urls' own ids, from any table that has them.  Rules of equal length cannot both fit unless their
 hosts differ in length; then the greater string wins.  Labels of one id add up.  Without labels nothing is
 rejected; an empty table gives no rows.
 """
@@ -48,27 +48,49 @@ def ruled(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES
     return rule, verdict
 
 
+#: Levels after which the paths that are done so far are written, so that no plan grows with the depth.
+_LEVELS = 12
+
+
+def _looks(segs: Column) -> Column:
+    """Segments as the end of a template, each by its looks alone."""
+    return F.array_join(F.transform(segs, lambda s: F.concat(F.lit("/"), F.when(s.rlike(VARIABLE), "*").otherwise(s))), "")
+
+
 def templates(paths: DataFrame, *, most_children: int = 64, rare: float = 0.02, z: float = 1.96, support: int = 5) -> DataFrame:
     """(host, path, template) of a table (host, path, n, good, bad) with one row for each path.
 
-    A path that is the last one below its template so far has no siblings, so the rest of it goes by its looks at once.
+    A path that is the last one below its template so far has no siblings, so the rest of it goes by its looks at once.  Where all
+    paths below a template share their next segments, they go on to where the first of them parts from the others, or ends.  So there are as many
+    rounds as levels at which paths part, however deep they are.
     """
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    fields = ("host", "path", "n", "good", "bad", "segs", "t")
+    fields = ("host", "path", "n", "good", "bad", "segs", "t")  # segs: those that are not yet in the template t
+    rest = lambda taken: F.slice("segs", taken + 1, F.greatest(F.size("segs") - taken, F.lit(0)))
 
-    def parted(state: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """Paths that go on at this level, and the finished ones with their templates."""
-        more = F.size("segs") > level
+    def parted(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Paths that go on, and the finished ones with their templates."""
+        more = F.size("segs") > 0
         # Written, so that Spark can split the join at a host that has many of the paths.
         many = written(state.where(more).groupBy("host", "t").agg(F.count("*").alias("paths")).where("paths > 1"), "many")
         both = written(state.join(many, ["host", "t"], "left").withColumn("on", more & F.col("paths").isNotNull()), "level")
-        tail = F.transform(F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), F.when(s.rlike(VARIABLE), "*").otherwise(s)))
-        return both.where("on").select(*fields), both.where("not on").select("host", "path", "n", "good", "bad", F.concat("t", F.array_join(tail, "")).alias("template"))
-
-    state, found = parted(paths.select("host", "path", "n", "good", "bad", segs.alias("segs"), F.lit("").alias("t")), 0)
+        return both.where("on").select(*fields), both.where("not on").select("host", "path", "n", "good", "bad", F.concat("t", _looks(F.col("segs"))).alias("template"))
+
+    def run_on(state: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The paths below templates with one next segment, at the place where the first of them parts from the others (or all have ended)."""
+        own = state.join(nodes, ["host", "t"], "left_semi")
+        # Paths that part from one another part from the longest one, there or before.
+        longest = written(own.groupBy("host", "t").agg(F.max(F.struct(F.size("segs").alias("z"), "segs")).alias("x")).select("host", "t", F.col("x.segs").alias("r")), "longest")
+        apart = F.array_position(F.zip_with("segs", F.slice("r", F.lit(1), F.size("segs")), lambda x, y: x == y), F.lit(False))  # 0: nowhere
+        taken = written(own.join(longest, ["host", "t"]).groupBy("host", "t").agg(F.coalesce(F.min(F.when(apart > 0, apart - 1)), F.max(F.size("r"))).cast("int").alias("taken")), "taken")
+        k = F.least("taken", F.size("segs"))
+        moved = own.join(taken, ["host", "t"]).select("host", "path", "n", "good", "bad", rest(k).alias("segs"), F.concat("t", _looks(F.slice("segs", F.lit(1), k))).alias("t"))
+        return moved.select(*fields)
+
+    state, found = parted(paths.select("host", "path", "n", "good", "bad", segs.alias("segs"), F.lit("").alias("t")))
     level = 0
     while not state.isEmpty():
-        seg = F.get("segs", F.lit(level))
+        seg = F.get("segs", F.lit(0))
         child = written(state.groupBy("host", "t", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")]), "children")
         node = written(child.groupBy("host", "t").agg(F.count("*").alias("kinds"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")]), "nodes")
         known, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
@@ -78,11 +100,16 @@ def templates(paths: DataFrame, *, most_children: int = 64, rare: float = 0.02,
         apart = F.try_divide(F.abs(share(F.col("good"), known) - share(F.col("all_good") - F.col("good"), others)), noise)
         alike = (known >= support) & (others >= support) & (apart < z)
         wild = F.col("seg").rlike(VARIABLE) | ((F.col("kinds") > most_children) & (F.col("n") < rare * F.col("all_n"))) | alike
-        step = child.join(node, ["host", "t"]).select("host", "t", "seg", F.when(F.coalesce(wild, F.lit(False)), "*").otherwise(F.col("seg")).alias("next"))
-        after = written(state.withColumn("seg", seg).join(step, ["host", "t", "seg"]).select("host", "path", "n", "good", "bad", "segs", F.concat("t", F.lit("/"), "next").alias("t")), "step")
+        step = child.join(node.where("kinds > 1"), ["host", "t"]).select("host", "t", "seg", F.when(F.coalesce(wild, F.lit(False)), "*").otherwise(F.col("seg")).alias("next"))
+        after = state.withColumn("seg", seg).join(step, ["host", "t", "seg"]).select("host", "path", "n", "good", "bad", rest(F.lit(1)).alias("segs"), F.concat("t", F.lit("/"), "next").alias("t"))
+        alone = node.where("kinds = 1").select("host", "t")
+        if not alone.isEmpty():
+            after = after.unionByName(run_on(state, alone))
         level += 1
-        state, more = parted(after, level)
+        state, more = parted(written(after, "step"))
         found = found.unionByName(more)
+        if level % _LEVELS == 0:
+            found = written(found, "found")
     return found
 
 

@@ -71,6 +71,20 @@ def test_url_templates_reject_by_purity(spark):
     assert {r["verdict"] for i, r in found.items() if i % 4 or i >= 400} == {"allow"}
 
 
+def test_url_paths_share_runs_of_segments(spark, monkeypatch):
+    """Deep paths take a round for each level at which they part; templates are those of single levels."""
+    rounds = []
+    before = url_filters.written
+    monkeypatch.setattr(url_filters, "written", lambda df, name, *a: (rounds.append(name), before(df, name, *a))[1])
+    trap = "/".join(["calendar", "2024"] * 400)
+    deep = [f"/{trap}/a/x1", f"/{trap}/b/x2", f"/{trap}/b/12345", f"/{trap}", f"/{trap[:1000]}", "/u/v/w", "/u/v", "/u"]
+    rows = [(i, f"http://trap.com{p}") for i, p in enumerate(deep)] + [(i + 50, f"http://chain.com{'/s' * i}") for i in range(1, 120)]
+    found = {r["page_id"]: r["template"] for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), None).collect()}
+    looks = lambda p: "".join("/" + ("*" if re.match(url_filters.VARIABLE, x) else x) for x in p.split("/") if x)
+    assert found == {i: looks(u.split(".com", 1)[1]) for i, u in rows}
+    assert rounds.count("children") <= 6
+
+
 def test_url_statistics_reach_every_level(spark):
     word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
     rows = [(i, f"http://deep.com/a/b/c/d/e/f/{'bad' if i < 200 else 'good'}/g/{word(i)}") for i in range(600)]
