@@ -134,34 +134,48 @@ def _binned(pairs: DataFrame, first: Column, last: Column) -> DataFrame:
 def culled(hsps: DataFrame, limit: int) -> DataFrame:
     """Drops a pair whose query range lies within those of at least ``limit`` better pairs of its query.
 
-    What covers a pair covers its first residue, so the two meet in that one's bin.
+    Pairs of one range are first cut to the ``limit`` best: those beyond lie within these, and whatever they cover these cover
+    as well.  So what goes on is bounded by the ranges that a query has, not by how many subjects share them.  What covers a pair covers its
+    first residue, so the two meet in that one's bin.
     """
+    if limit < 1:
+        return hsps
+    rank = F.rank().over(W.partitionBy("query_id", "q_start", "q_end").orderBy(F.desc("score"), "oid", "s_start"))
+    hsps = hsps.withColumn("__k", rank).where(F.col("__k") <= limit).drop("__k")
     b = hsps.select("query_id", F.col("score").alias("bs"), F.col("q_start").alias("b0"), F.col("q_end").alias("b1"), F.col("oid").alias("bo"), F.col("s_start").alias("bp"))
     better = (F.col("bs") > F.col("score")) | ((F.col("bs") == F.col("score")) & ((F.col("bo") < F.col("oid")) | ((F.col("bo") == F.col("oid")) & (F.col("bp") < F.col("s_start")))))
     key = ["query_id", "oid", "q_start", "q_end", "s_start", "s_end"]
     at = hsps.select(*key, "score", F.floor(F.col("q_start") / _BIN).alias("bin"))
     over = at.join(_binned(b, F.col("b0"), F.col("b1") - 1), ["query_id", "bin"]).where((F.col("b0") <= F.col("q_start")) & (F.col("b1") >= F.col("q_end")) & better).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= limit)
-    return hsps.join(over, key, "left_anti")
+    return hsps.join(over, key, "left_anti").select(hsps.columns)
 
 
 def best_hits(hsps: DataFrame, overhang: float = 0.1, edge: float = 0.1) -> DataFrame:
     """Drops a pair that another of its query covers but for the overhang, with no larger E-value and clearly more score per residue.
 
     Overhang and edge are less than a half.  What covers a pair but for the overhang covers its middle, so the two meet in that one's bin.
+    Only what differs in range, score or E-value is compared: copies of a passage are one.
     """
     if not (0 <= overhang < 0.5 and 0 <= edge < 0.5):
         raise ValueError("overhang and edge are from 0 to less than 0.5")
     b = hsps.select("query_id", F.col("evalue").alias("be"), F.col("q_start").alias("b0"), F.col("q_end").alias("b1"), (F.col("score") / (F.col("q_end") - F.col("q_start"))).alias("bd"))
     slack = (F.col("q_end") - F.col("q_start")) * overhang
-    key = ["query_id", "oid", "q_start", "q_end", "s_start", "s_end"]
-    at = hsps.select(*key, "evalue", "score", F.floor((F.col("q_start") + F.col("q_end")) / 2 / _BIN).alias("bin"))
+    key = ["query_id", "q_start", "q_end", "evalue", "score"]
+    b = b.distinct()
+    at = hsps.select(key).distinct().select(*key, F.floor((F.col("q_start") + F.col("q_end")) / 2 / _BIN).alias("bin"))
     # One residue more on either side: the middle may lie on the edge of what covers the pair.
     beaten = at.join(_binned(b, F.greatest(F.col("b0") - 1, F.lit(0)), F.col("b1")), ["query_id", "bin"]).where((F.col("b0") <= F.col("q_start") + slack) & (F.col("b1") >= F.col("q_end") - slack) & (F.col("be") <= F.col("evalue")) & (F.col("bd") * (1 - edge) > F.col("score") / (F.col("q_end") - F.col("q_start")))).select(*key).distinct()
-    return hsps.join(beaten, key, "left_anti")
+    return hsps.join(beaten, key, "left_anti").select(hsps.columns)
 
 
 def masked_level(hsps: DataFrame, level: int = 80) -> DataFrame:
-    """Keeps, of pairs of a query that overlap by at least ``level`` percent of the shorter one, the best (greedy)."""
+    """Keeps, of pairs of a query that overlap by at least ``level`` percent of the shorter one, the best (greedy).
+
+    Of pairs of one range only the best can stay: what drops it drops the others, and else it does so itself.  The fold
+    over a query's pairs has one for each range.
+    """
+    own = W.partitionBy("query_id", "q_start", "q_end").orderBy(F.desc("score"), "oid", "s_start")
+    hsps = hsps.withColumn("__r", F.row_number().over(own)).where("__r = 1").drop("__r")
     fields = [f for f in hsps.columns if f != "query_id"]
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o1"), F.col("oid").alias("o2"), F.col("q_start").alias("o3"), F.col("s_start").alias("o4"), F.struct(*fields).alias("row"))))
     kind = hsps.select(F.array(F.struct(*fields))).schema[0].dataType

@@ -143,6 +143,37 @@ def test_containment_culling_chains_mask_level(spark):
     assert H.per_query(h, 2).count() == 2 and H.per_subject(h, 1).count() == 2
 
 
+def plain_mask_level(rows, level):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[6], r[1], r[2], r[4])):
+        over = lambda b: 100 * (min(r[3], b[3]) - max(r[2], b[2])) >= level * min(r[3] - r[2], b[3] - b[2])  # noqa: B023, E731
+        if not any(k[0] == r[0] and over(k) for k in kept):
+            kept.append(r)
+    return sorted(kept)
+
+
+def plain_culling(rows, limit):
+    better = lambda b, r: (-b[6], b[1], b[4]) < (-r[6], r[1], r[4])
+    return sorted(r for r in rows if sum(b[0] == r[0] and b[2] <= r[2] and b[3] >= r[3] and better(b, r) for b in rows) < limit)
+
+
+def test_filters_of_covering_pairs_by_brute_force(spark):
+    """Many subjects that share few ranges, with ties: the rows of plain comparisons of all pairs."""
+    import random
+
+    rng = random.Random(6)
+    ranges_ = [(a, a + n) for a in (0, 3, 10, 40) for n in (12, 20, 33)]
+    rows = sorted({(rng.randint(1, 2), o, *rng.choice(ranges_), p := rng.choice([0, 7]), p + 12, rng.choice([40, 41, 60, 90])) for o in range(80) for _ in range(2)})
+    h = hsps(spark, rows)
+    for limit in (1, 2, 5):
+        assert sorted(map(tuple, H.culled(h, limit).collect())) == plain_culling(rows, limit)
+    for level in (30, 80, 100):
+        assert sorted(map(tuple, H.masked_level(h, level).collect())) == plain_mask_level(rows, level)
+    e = h.withColumn("evalue", F.exp(F.col("score") * -0.1))
+    beaten = lambda r, b: b[0] == r[0] and b[2] <= r[2] + (r[3] - r[2]) * 0.25 and b[3] >= r[3] - (r[3] - r[2]) * 0.25 and b[6] >= r[6] and b[6] / (b[3] - b[2]) * 0.9 > r[6] / (r[3] - r[2])
+    assert sorted(tuple(r)[:7] for r in H.best_hits(e, 0.25, 0.1).collect()) == sorted(r for r in rows if not any(beaten(r, b) for b in rows))
+
+
 def test_best_hits_drop_a_poorer_hit_of_the_same_range(spark):
     h = hsps(spark, [(1, 1, 0, 50, 0, 50, 200), (1, 2, 1, 49, 0, 48, 60), (1, 3, 60, 90, 0, 30, 60)]).withColumn("evalue", -F.col("score").cast("double"))
     assert {r["oid"] for r in H.best_hits(h).collect()} == {1, 3}
