@@ -251,6 +251,16 @@ def translated_search(spark, sf):
     return h.select("query_id", "oid", "frame", "score", "identities", F.col("on_bases.from").alias("base_from"), F.col("on_bases.to").alias("base_to"), "rank")
 
 
+@query()
+def frame_shift_search(spark, sf):
+    """Bases with every 101st one left out against the proteins of their first frame: alignments across frames."""
+    n = _n(spark, sf).withColumnRenamed("bases", "residues")
+    own = n.select(F.col("query_id").alias("oid"), R.translated(F.col("residues"), 1).alias("residues"))
+    broken = n.withColumn("residues", F.regexp_replace("residues", "(.{100}).", "$1"))
+    h = search(spark, broken, own, SearchOptions(task="translated", frame_shift=15, evalue=1e-3))
+    return h.select("query_id", "oid", "strand", "score", "identities", "base_from", "base_to", "s_start", "s_end", "rank", F.size(F.filter("script", lambda x: x["op"].startswith("shift"))).alias("shifts"))
+
+
 @query()
 def tabular_report(spark, sf):
     h = search(spark, _q(spark, sf), _s(spark, sf).select("oid", "residues"), _exact_options())
