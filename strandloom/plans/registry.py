@@ -665,6 +665,17 @@ def smith_waterman(spark, sf):
     return local_scores(pairs, _q(spark, sf), _s(spark, sf))
 
 
+@query()
+def exhaustive_search(spark, sf):
+    """Every query against every subject by full local alignment, without words: what scores an E-value of 0.001 or less."""
+    from strandloom.operators.pairs import every_subject
+
+    q, s = _q(spark, sf), _s(spark, sf)
+    least = H.spaces(q, s).select("query_id", H.least_score(F.col("space"), 1e-3).alias("least"))
+    h = every_subject(q, s, least)
+    return h.select("query_id", "oid", "score", "q_start", "q_end", "s_start", "s_end", "identities", F.size("script").alias("runs"))
+
+
 @query()
 def low_complexity_masks(spark, sf):
     from strandloom.functions.masking import low_complexity
