@@ -133,3 +133,19 @@ def defline_id(line: Column) -> Column:
 
 def defline_title(line: Column) -> Column:
     return F.regexp_extract(line, r"^>?\s*\S+\s+(.*)$", 1)
+
+
+def from_4na(packed: Column, length: Column) -> Column:
+    """Bases of a binary column with two bases a byte, each a set of A, C, G and T in four bits."""
+    return F.left(F.translate(F.lower(F.hex(packed)), "0123456789abcdef", "-ACMGRSVTWYHKDBN"), length)
+
+
+def from_stdaa(packed: Column) -> Column:
+    """Residues of a binary column with a residue code in each byte; bytes that are none become X."""
+    known = F.translate(F.decode(packed, "ISO-8859-1"), "".join(map(chr, range(28))), "-ABCDEFGHIKLMNPQRSTVWXYZU*OJ")
+    return F.regexp_replace(known, "[^A-Z*-]", "X")
+
+
+def from_eaa(text: Column) -> Column:
+    """Residues of extended letters, which are text already: upper case, and what is no residue becomes X."""
+    return clean_protein(text)

@@ -125,7 +125,12 @@ def query_batches(queries: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("batch", F.floor(F.col("before") / limit).cast("int")).drop("rn", "before", "len")
 
 
-def volumes(subjects: DataFrame, limit: int) -> DataFrame:
-    """``subjects`` with a volume number: a new one whenever the residues so far pass a multiple of ``limit``."""
-    rows = numbered(subjects.withColumn("len", F.length("residues").cast("long")), "oid", weight="len")
+def volumes(subjects: DataFrame, limit: int, *, measure: str = "residues") -> DataFrame:
+    """``subjects`` with a volume number: a new one whenever what came before passes a multiple of ``limit``, in residues or in bytes of the rows' text."""
+    size = F.length("residues").cast("long")
+    if measure == "bytes":
+        size = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in subjects.schema.fields if f.dataType.simpleString() == "string"), F.lit(0)).cast("long")
+    elif measure != "residues":
+        raise ValueError("measure is residues or bytes")
+    rows = numbered(subjects.withColumn("len", F.coalesce(size, F.lit(0))), "oid", weight="len")
     return rows.withColumn("volume", F.floor(F.col("before") / limit).cast("int")).drop("rn", "before", "len")

@@ -98,3 +98,69 @@ def oid_at(subjects: DataFrame, residue: int) -> DataFrame:
 def user_columns(subjects: DataFrame) -> list[str]:
     """Columns beyond the engine's own."""
     return [c for c in subjects.columns if c not in ("oid", "subject_id", "title", "residues", "length", "taxid", "volume", "masks", "hash")]
+
+
+# ------------------------------------------------------------------ look-ups
+
+
+def totals(subjects: DataFrame, **which) -> DataFrame:
+    """``stats`` of the subjects that ``restricted`` leaves: totals over what is included."""
+    return stats(restricted(subjects, **which))
+
+
+def oids_of(subjects: DataFrame, ids: DataFrame, by: str = "subject_id") -> DataFrame:
+    """(by, oid) of ids (a column ``by``): accessions, hashes, or any other column of subjects; ids in any case, every oid of an id, null for those that are not there."""
+    key = F.upper(F.col(by).cast("string"))
+    asked = ids.select(by).distinct().withColumn("__k", key)
+    known = subjects.select(key.alias("__k"), "oid")
+    if by == "subject_id":
+        # An accession may have a version behind a dot; without one it stands for every version.
+        bare = known.select(F.regexp_replace("__k", r"\.[0-9]+$", "").alias("__k"), "oid")
+        known = known.unionByName(bare).distinct()
+    return asked.join(known, "__k", "left").select(by, "oid")
+
+
+def sequences_of(subjects: DataFrame, oids: DataFrame) -> DataFrame:
+    """(oid, residues) of a list of oids; those that are not there are left out."""
+    return subjects.join(oids.select("oid").distinct(), "oid", "left_semi").select("oid", "residues")
+
+
+# ------------------------------------------------------------------ user columns and aliases
+
+_META = "strandloom.user"
+
+
+def with_user_column(subjects: DataFrame, blobs: DataFrame, name: str, about: dict[str, str] | None = None) -> DataFrame:
+    """``subjects`` with a column of their own from blobs (oid, and the column), and what is said about it as metadata that Parquet keeps."""
+    if name in subjects.columns:
+        raise ValueError(f"there is a column {name}")
+    out = subjects.join(blobs.select("oid", F.col(name)).dropDuplicates(["oid"]), "oid", "left")
+    return out.withMetadata(name, {_META: about or {}})
+
+
+def about_columns(subjects: DataFrame) -> dict[str, dict[str, str]]:
+    """What is said about each user column."""
+    return {f.name: dict(f.metadata[_META]) for f in subjects.schema.fields if _META in f.metadata}
+
+
+def write_alias(spark: SparkSession, path: str, tables: list[str], title: str = "", ids: str | None = None) -> None:
+    """A name for several subject tables: one row of JSON with their paths, and a table of ids (subject_id) that alone count."""
+    spark.createDataFrame([(title, tables, ids)], "title string, tables array<string>, ids string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_alias(spark: SparkSession, path: str) -> DataFrame:
+    """The subjects of all tables of an alias, with the volume that each comes from; tables may have further columns, and may be aliases themselves."""
+
+    def opened(at: str, seen: tuple[str, ...]) -> list[DataFrame]:
+        if at in seen:
+            raise ValueError(f"an alias that names itself: {at}")
+        row = spark.read.schema("title string, tables array<string>, ids string").json(at).first()
+        found: list[DataFrame] = []
+        for t in row["tables"]:
+            found += opened(t, (*seen, at)) if t.endswith(".alias") else [read_subjects(spark, t).withColumn("from_table", F.lit(t))]
+        return [only(f, spark.read.parquet(row["ids"])) for f in found] if row["ids"] else found
+
+    first, *rest = opened(path, ())
+    for more in rest:
+        first = first.unionByName(more, allowMissingColumns=True)
+    return first

@@ -37,6 +37,26 @@ def checked_molecule(records: DataFrame, molecule: str) -> DataFrame:
     return records.where(protein if molecule == "protein" else ~protein)
 
 
+def checked_input(spark: SparkSession, path: str, molecule: str) -> DataFrame:
+    """Records of FASTA files that are there, have records, and are of the declared molecule; else an error says which of these fails.
+
+    Single records of the other molecule are left out; a file in which they are the most is taken for the wrong one.
+    """
+    if molecule not in ("protein", "nucleotide"):
+        raise ValueError("molecule is protein or nucleotide")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place):
+        raise FileNotFoundError(path)
+    records = read_fasta(spark, path)
+    fits = checked_molecule(records, molecule)
+    n, good = records.count(), fits.count()
+    if not n:
+        raise ValueError(f"no records in {path}")
+    if 2 * good < n:
+        raise ValueError(f"{path} is declared {molecule}, and {n - good} of {n} records are not")
+    return fits
+
+
 def render(defline: Column, residues: Column, width: int = 60, eol: str = "\n") -> Column:
     """FASTA text of a record (without the last line's end)."""
     lines = F.regexp_extract_all(residues, F.lit(f".{{1,{width}}}"), F.lit(0)) if width else F.array(residues)
@@ -72,6 +92,15 @@ def split_parts(records: DataFrame, parts: int, *, order: str = "ord", measure:
     return sized.select(order, "size", F.least(F.floor(middle * parts / F.lit(total)) + 1, F.lit(parts)).cast("int").alias("part"))
 
 
+def write_parts(records: DataFrame, path: str, parts: int, *, order: str = "ord", measure: str = "bytes", width: int = 60) -> None:
+    """Records (ord, subject_id, title, residues) as FASTA files in a folder for each part, in their order."""
+    head = F.trim(F.concat_ws(" ", "subject_id", "title"))
+    named = records.withColumn("defline", head)
+    dealt = named.join(split_parts(named, parts, order=order, measure=measure, width=width).select(order, "part"), order)
+    dealt = dealt.repartition("part").sortWithinPartitions("part", order)
+    dealt.select("part", render(F.col("defline"), F.col("residues"), width).alias("value")).write.partitionBy("part").text(path)
+
+
 def split_by_size(records: DataFrame, most: int, **how) -> DataFrame:
     """(ord, size, part): parts of about ``most`` each."""
     order = how.get("order", "ord")

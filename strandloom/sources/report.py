@@ -53,6 +53,12 @@ def write_report(hsps: DataFrame, path: str, *, form: str = "tabular", spec: str
         raise ValueError(f"no such format: {form}")
 
 
+def merged_files(spark, paths: list[str], out: str) -> None:
+    """Report files of query parts as one report, in the order of the parts, without their comment lines."""
+    found = merged_reports([spark.read.text(p).withColumn("__n", F.monotonically_increasing_id()) for p in paths])
+    found.orderBy("part", "__n").select("value").write.mode("overwrite").text(out)
+
+
 def merged_reports(parts: list[DataFrame]) -> DataFrame:
     """Reports of query parts as one, in the order of the parts; comment lines (#) go."""
     out = None
