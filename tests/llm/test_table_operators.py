@@ -738,4 +738,4 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, sf):
 
 
 def test_every_query_is_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 11)), "pipeline"]
+    assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 13)), "pipeline"]
