@@ -62,6 +62,15 @@ def blosum62() -> np.ndarray:
     return out
 
 
+def base_scores(reward: int, penalty: int) -> np.ndarray:
+    """28 x 28 scores of bases: equal ones of A, C, G and T gain, all others lose."""
+    out = np.full((28, 28), penalty, np.int32)
+    for c in "ACGT":
+        out[RESIDUES.index(c), RESIDUES.index(c)] = reward
+    out[0, :] = out[:, 0] = SENTINEL
+    return out
+
+
 def read_matrix(text: str) -> np.ndarray:
     """Scores from the usual text form: a line of column letters, then a line for each row."""
     lines = [x.split() for x in text.splitlines() if x.strip() and not x.startswith("#")]

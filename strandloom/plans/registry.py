@@ -251,6 +251,16 @@ def translated_search(spark, sf):
     return h.select("query_id", "oid", "frame", "score", "identities", F.col("on_bases.from").alias("base_from"), F.col("on_bases.to").alias("base_to"), "rank")
 
 
+@query()
+def nucleotide_search(spark, sf):
+    """Bases of the items, every other one on its other strand, against the bases of all documents."""
+    n = _n(spark, sf)
+    turned = n.select("query_id", F.when(F.col("query_id") % 2 == 0, F.col("bases")).otherwise(R.reverse_complement(F.col("bases"))).alias("residues"))
+    own = _s(spark, sf).select("oid", R.as_bases(F.col("residues")).alias("residues"))
+    h = search(spark, turned, own, SearchOptions(task="nucleotide", evalue=1e-6))
+    return h.select("query_id", "oid", "strand", "q_start", "q_end", "s_start", "s_end", "score", "identities", "gaps", "rank")
+
+
 @query()
 def frame_shift_search(spark, sf):
     """Bases with every 101st one left out against the proteins of their first frame: alignments across frames."""

@@ -1,0 +1,79 @@
+"""Bases against bases: strands, planted copies with gaps, masks of repeats, statistics of rewards and penalties."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+
+from strandloom.functions import statistics as T
+from strandloom.functions.matrix import base_scores
+from strandloom.plans import search as S
+from strandloom.plans.options import SearchOptions
+
+
+def text(rng, n):
+    return "".join(rng.choice("ACGT") for _ in range(n))
+
+
+def turned(bases):
+    return bases[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_statistics_of_bases():
+    """Reward and penalty of one: p = 1/4 has a closed form; published values of 2 and -3 without gaps."""
+    lam, k, _ = T.of(base_scores(1, -1), False, bases=True)
+    assert lam == pytest.approx(math.log(3), rel=1e-6) and k == pytest.approx(1 / 3, rel=1e-3)
+    lam, k, h = T.of(base_scores(2, -3), False, bases=True)
+    assert (round(lam, 3), round(k, 2), round(h, 2)) == (0.634, 0.41, 0.91)
+    gapped = T.of(base_scores(2, -3), True, 5, 2, bases=True)
+    assert 0.8 * lam < gapped[0] <= lam
+
+
+def test_copies_are_found_on_both_strands(spark):
+    rng = random.Random(1)
+    q = text(rng, 120)
+    edited = q[:50] + "ACG" + q[50:80] + q[82:]
+    rows = [(1, text(rng, 80) + q + text(rng, 60)), (2, text(rng, 50) + turned(q) + text(rng, 90)), (3, text(rng, 40) + edited + text(rng, 40)), (4, text(rng, 300))]
+    queries, subjects = spark.createDataFrame([(7, q)], "query_id long, residues string"), spark.createDataFrame(rows, "oid long, residues string")
+    o = SearchOptions(task="nucleotide", evalue=1e-6)
+    found = {r["oid"]: r for r in S.search(spark, queries, subjects, o).collect()}
+    assert set(found) == {1, 2, 3}
+    assert (found[1]["strand"], found[1]["q_start"], found[1]["q_end"], found[1]["s_start"]) == (1, 0, 120, 80) and found[1]["identities"] == 120
+    assert (found[2]["strand"], found[2]["q_start"], found[2]["q_end"], found[2]["s_start"]) == (-1, 0, 120, 50) and found[2]["score"] == 240
+    assert found[3]["gaps"] == 5 and found[3]["gap_opens"] == 2
+    for strand, ids in (("plus", {1, 3}), ("minus", {2})):
+        assert {r["oid"] for r in S.search(spark, queries, subjects, o.with_(strand=strand)).collect()} == ids
+
+
+def test_lower_case_and_u_and_other_letters(spark):
+    rng = random.Random(2)
+    q = text(rng, 60)
+    subjects = spark.createDataFrame([(1, text(rng, 30) + q.lower().replace("t", "u") + "RYN" + text(rng, 30))], "oid long, residues string")
+    queries = spark.createDataFrame([(1, q), (2, q[:5]), (3, "N" * 40)], "query_id long, residues string")
+    found = S.search(spark, queries, subjects, SearchOptions(task="nucleotide", evalue=1e-3)).collect()
+    assert [(r["query_id"], r["identities"]) for r in found] == [(1, 60)]
+
+
+def test_repeats_seed_nothing_but_are_aligned_over(spark):
+    rng = random.Random(3)
+    head, tail = text(rng, 40), text(rng, 40)
+    q = head + "CA" * 25 + tail
+    rows = [(1, text(rng, 20) + q + text(rng, 20)), (2, text(rng, 50) + "CA" * 40 + text(rng, 50))]
+    queries, subjects = spark.createDataFrame([(1, q)], "query_id long, residues string"), spark.createDataFrame(rows, "oid long, residues string")
+    o = SearchOptions(task="nucleotide", evalue=1e-3, max_hsps=1)
+    found = {r["oid"]: r["identities"] for r in S.search(spark, queries, subjects, o).collect()}
+    assert found == {1: len(q)}
+    assert 2 in {r["oid"] for r in S.search(spark, queries, subjects, o.with_(seg=False)).collect()}
+
+
+def test_options_of_bases():
+    o = SearchOptions(task="nucleotide")
+    assert (o.word_size, o.window, o.gap_open, o.gap_extend, o.threshold, o.composition_mode()) == (11, 0, 5, 2, None, 0)
+    assert SearchOptions.from_json(o.to_json()) == o
+    p = SearchOptions()
+    assert (p.word_size, p.window, p.gap_open, p.gap_extend, p.threshold) == (3, 40, 11, 1, 11)
+    for bad in ({"task": "dna"}, {"task": "nucleotide", "penalty": 1}, {"task": "nucleotide", "composition": 1}):
+        with pytest.raises(ValueError):
+            SearchOptions(**bad)
+    assert np.array_equal(o.scores(), base_scores(2, -3))
