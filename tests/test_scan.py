@@ -52,3 +52,16 @@ def test_neither_words_nor_seeds_are_shuffled(spark):
     for found, _ in STEPS.values():
         plan = found(q, s, 3)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Generate" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("oids", [range(8), [1, 1, 2, None, 3], [1, 1, 2, None, None]])
+@pytest.mark.parametrize("more", ["", "äöüßé", "".join(map(chr, range(200, 2000)))])
+def test_words_are_counted_where_texts_are(spark, oids, more):
+    from pyspark.sql import functions as F
+
+    _, s = tables(spark, 5, range(2), oids)
+    s = s.union(spark.createDataFrame([(77, more + "ACACACA" + more)], "oid long, residues string"))
+    plain = words.words(s, 6, key="oid").groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("oid").alias("subjects"))
+    found = words.word_counts(s, 6)
+    assert rows(found) == rows(plain)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString() or len(set(oids)) < len(list(oids))
