@@ -14,14 +14,14 @@ sketches, of k-mers of five words without a handicap.
 Equal texts collapse first.  In a bucket (the texts with a sketch in common) every text meets
 one pivot, the least.  Buckets whose texts then still lie in several classes are searched on:
 
-* those of up to ``FULL`` texts pair by pair;
-* larger ones by their rarest words.  Two texts of an edit similarity of ``least`` have at least
+* those of up to ``FULL`` texts, or of no more pairs of texts of different classes than words, pair by pair;
+* others by their rarest words.  Two texts of an edit similarity of ``least`` have at least
   that share of the longer one's words in common, so, in whatever order words are ranked, each
   has one of the other's among its own first (1 - least) * length + 1.  Words are ranked from
   rare to frequent, so texts that share a passage meet at words of their own, in small groups.
 
 So no pair that shares a sketch is lost, whatever else is in its bucket.  What meets is compared
-by an exact bound on the edit distance, from counts of words, before any alignment.  Classes are
+by an exact bound on the edit distance, from counts of words (finer ones for longer texts), before any alignment.  Classes are
 the connected components of the links; the least doc_id names a class.
 
 Null texts are classes of their own, as are rows without a word unless equal.  Texts of up to
@@ -53,10 +53,10 @@ SKETCHES, ORDER = 18, 2
 LONG, LONGS = 5, 6
 #: Texts of up to SHORT words have SINGLES more sketches, of one word each: few of their pairs of words outlive an edit.
 SHORT, SINGLES = 20, 8
-#: Buckets of several classes are compared pair by pair up to this many texts, by their rarest words beyond.
+#: Buckets of several classes are compared pair by pair up to this many texts.
 FULL = 512
-#: Counts of words in a bag; counts of the corpus's words (a table of this fixed size reaches the driver and every worker).
-BINS, RANKS = 256, 1 << 16
+#: Counts of words in a bag; in the fine bag of a text of more words than ``_PLAIN``, whose counts in so few bins say little; counts of the corpus's words (a table of this fixed size reaches the driver and every worker).
+BINS, FINE, _PLAIN, RANKS = 256, 2048, 128, 1 << 16
 #: Words of up to 64 occurrences, or one in 2**15 of all, have no handicap; each doubling beyond adds one bit, up to HANDICAP.
 HANDICAP, RARE_COUNT, RARE_SHARE = 6, 64, 2.0**-15
 #: Texts of a block that are compared at once, partners that meet one text in a task, and pairs of two classes that are aligned before all others.
@@ -245,6 +245,11 @@ def bag(h: np.ndarray) -> bytes:
     return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def fine(h: np.ndarray) -> bytes:
+    """The same in ``FINE`` bins; empty for a text of few words."""
+    return np.minimum(np.bincount((h >> np.uint64(53)).astype(np.int64), minlength=FINE), 255).astype(np.uint8).tobytes() if len(h) > _PLAIN else b""
+
+
 def rarest(h: np.ndarray, counts: np.ndarray, least: float = LEAST) -> np.ndarray:
     """The labelled words of a text that one of any similar text's must be among, the rarest by ``counts``."""
     g = labelled(h)
@@ -254,7 +259,7 @@ def rarest(h: np.ndarray, counts: np.ndarray, least: float = LEAST) -> np.ndarra
 
 def _bounds(one: np.ndarray, many: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """A lower bound of the edit distances of one bag and many; an edit changes no count by more than one each way."""
-    common = np.minimum(many, one).sum(1, dtype=np.uint16).astype(np.int64)
+    common = np.minimum(many, one).sum(1, dtype=np.uint16 if many.shape[1] <= BINS else np.uint32).astype(np.int64)
     return np.maximum(sums, int(one.sum(dtype=np.int64))) - common
 
 
@@ -263,6 +268,17 @@ def _allowed(size: np.ndarray, least: float) -> np.ndarray:
     return ((1 - least) * size + 1e-9).astype(np.int64)
 
 
+def _fine_bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fine bags as rows of counts, their sums, and the row of each text's; -1 where it has none."""
+    raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    has = pc.greater(pc.binary_length(raw), 0)
+    own = raw.filter(has)
+    at = int(np.frombuffer(own.buffers()[1], np.int32)[own.offset]) if len(own) else 0
+    bags = np.frombuffer(own.buffers()[2], np.uint8)[at : at + len(own) * FINE].reshape(-1, FINE) if len(own) else np.zeros((0, FINE), np.uint8)
+    has = has.to_numpy(zero_copy_only=False)
+    return bags, bags.sum(1, dtype=np.int64), np.where(has, np.cumsum(has) - 1, -1)
+
+
 def _bags(column: pa.Array) -> np.ndarray:
     """Bags as rows of counts, a view of the Arrow buffer."""
     raw = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -315,14 +331,14 @@ def _sketched(docs: DataFrame, kind: str, counts: np.ndarray) -> DataFrame:
 
 
 def _bagged(texts: DataFrame) -> DataFrame:
-    """(u, n, bag) of rows (u, t)."""
+    """(u, n, bag, fine) of rows (u, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             each = list(_words(b.column("t")))
-            yield pa.RecordBatch.from_arrays([b.column("u"), pa.array([len(x) for x in each], pa.int64()), pa.array([bag(x) for x in each], pa.binary())], ["u", "n", "bag"])
+            yield pa.RecordBatch.from_arrays([b.column("u"), pa.array([len(x) for x in each], pa.int64()), pa.array([bag(x) for x in each], pa.binary()), pa.array([fine(x) for x in each], pa.binary())], ["u", "n", "bag", "fine"])
 
-    return texts.mapInArrow(run, "u long, n long, bag binary")
+    return texts.mapInArrow(run, "u long, n long, bag binary, fine binary")
 
 
 def _possible(pairs: DataFrame, meta: DataFrame, least: float) -> DataFrame:
@@ -335,6 +351,7 @@ def _possible(pairs: DataFrame, meta: DataFrame, least: float) -> DataFrame:
             bound = np.maximum(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64)) - np.minimum(x, y).sum(1, dtype=np.int64)
             yield b.select(["a", "b"]).filter(pa.array(bound <= _allowed(size, least)))
 
+    meta = meta.select("u", "n", "bag")
     full = pairs.join(meta.toDF("b", "nb", "bb"), "b").join(meta.toDF("a", "na", "ba"), "a")
     near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - 1e-6
     return full.where(near).select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
@@ -384,20 +401,38 @@ def _by_rarest(members: DataFrame, counts: np.ndarray, least: float) -> DataFram
     return members.select("u", "label", "t").mapInArrow(spread, "key long, u long, label long")
 
 
+def _dealt(groups: DataFrame) -> DataFrame:
+    """(key, u, label, part, first, parts): rows of groups (key, u, label) of several classes, dealt to parts of about ``_MOST``; a row meets those of the parts from ``first`` on.
+
+    A class that is larger than a part has parts of its own, which need not meet each other: its rows meet the others', however large it is.
+    """
+    of_class = groups.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = of_class.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("classes"), F.max(F.struct("n", "label")).alias("top")).where("classes > 1")
+    own = F.floor(F.col("top.n") / _MOST).cast("int")
+    others = F.ceil((F.col("size") - F.when(F.col("own") > 0, F.col("top.n")).otherwise(0)) / _MOST).cast("int")
+    sized = mixed.withColumn("own", own).withColumn("others", others).select("key", F.col("top.label").alias("top"), "own", "others")
+    apart = (F.col("own") > 0) & (F.col("label") == F.col("top"))
+    part = F.when(apart, F.pmod(F.xxhash64("u"), "own")).otherwise(F.col("own") + F.pmod(F.xxhash64("u"), "others")).cast("int")
+    return groups.join(sized, "key").select("key", "u", "label", part.alias("part"), F.when(apart, F.col("own")).otherwise(0).alias("first"), (F.col("own") + F.col("others")).alias("parts"))
+
+
+def _placed(dealt: DataFrame) -> DataFrame:
+    """Each row of ``_dealt`` once for each part that it meets (other)."""
+    return dealt.withColumn("other", F.explode(F.sequence(F.col("first"), F.col("parts") - 1)))
+
+
 def _across(groups: DataFrame, meta: DataFrame, least: float, most: int, few: int | None = None) -> DataFrame:
-    """(a, b, la, lb, more), a < b: pairs of a group and of two classes la, lb that the bound does not rule out.  groups: key, u, label; meta: u, n, bag.
+    """(a, b, la, lb, more), a < b: pairs of a group and of two classes la, lb that the bound does not rule out.  groups: key, u, label; meta: u, n, bag, fine.
 
-    Groups of one class go; larger ones than a block are dealt over blocks so that every two texts meet in one.
+    Groups of one class go; larger ones than a block are dealt over blocks so that every two texts of different classes meet in one.
     few: of each text's partners further on in a block only those with the least bounds are told; a row with nothing but ``more``
     names a group that has others.  most: rows of ``groups``.
     """
-    mixed = groups.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    dealt = groups.join(mixed.select("key", F.ceil(F.col("size") / _MOST).cast("int").alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("u"), "parts").cast("int"))
-    dealt = written(dealt, "dealt", most)
+    dealt = written(_dealt(groups), "dealt", most)
     # A pair that shares several groups is told in the first of them, as far as these few keys of each text show.
     firsts = dealt.groupBy("u").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _FIRSTS).alias("firsts"))
-    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(firsts.join(meta, "u"), "u")
-    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "u", "label", "n", "bag", "firsts")
+    placed = _placed(dealt).join(firsts.join(meta, "u"), "u")
+    block = placed.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "u", "label", "n", "bag", "fine", "firsts")
 
     def met(rows: pa.Table) -> tuple[list[np.ndarray], bool]:
         """a, b and their labels, as rows of one array each; whether there are others."""
@@ -407,6 +442,7 @@ def _across(groups: DataFrame, meta: DataFrame, least: float, most: int, few: in
             return [], False
         bags = _bags(rows.column("bag"))
         sums = bags.sum(1, dtype=np.int64)
+        fines, fine_sums, fine_row = _fine_bags(rows.column("fine"))
         here = rows.column("key")[0].as_py()
         before: dict[int, set[int]] = {}
 
@@ -423,6 +459,12 @@ def _across(groups: DataFrame, meta: DataFrame, least: float, most: int, few: in
                 bounds = _bounds(bags[k], bags[k + 1 :][at], sums[k + 1 :][at])
                 near = bounds <= _allowed(size[at], least)
                 at, bounds = at[near], bounds[near]
+            if len(at) and fine_row[k] >= 0:
+                row = fine_row[k + 1 :][at]
+                has = row >= 0
+                bounds[has] = _bounds(fines[fine_row[k]], fines[row[has]], fine_sums[row[has]])
+                near = bounds <= _allowed(size[at], least)
+                at, bounds = at[near], bounds[near]
             if len(at):
                 mine = [earlier(k).isdisjoint(earlier(i + k + 1)) for i in at.tolist()]
                 at, bounds = at[mine], bounds[mine]
@@ -482,6 +524,14 @@ def _labels(of: DataFrame, links: DataFrame, most: int) -> DataFrame:
     return of.join(over, "u", "left").select("u", F.coalesce("label", "u").alias("label"))
 
 
+def _mixed(member: DataFrame) -> DataFrame:
+    """(key, u, label, pairwise): rows of buckets (key, u, size, label, n) of several classes; whether the bucket is small, or has no more pairs of two classes than words."""
+    of_class = member.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("words"), F.max("size").alias("size"))
+    mixed = of_class.groupBy("key").agg(F.count("*").alias("classes"), F.max("size").alias("size"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.sum("words").alias("words")).where("classes > 1")
+    across = (F.col("all") * F.col("all") - F.col("same")) / 2
+    return member.select("key", "u", "label").join(mixed.select("key", ((F.col("size") <= FULL) | (across <= F.col("words"))).alias("pairwise")), "key")
+
+
 def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
     """(a, b): the links among the texts of buckets (key, u, pivot, size)."""
     size = buckets.count()
@@ -493,11 +543,10 @@ def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, counts: np.nda
     labels = written(_labels(involved, checked.where("sim > 0"), met), "classes", size)
 
     # The rest: buckets of several classes.
-    member = written(buckets.select("key", "u", "size").join(labels, "u"), "members", size)
-    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = written(member.join(mixed, "key", "left_semi"), "mixed", size)
-    large = rest.where(F.col("size") > FULL).select("u", "label").distinct().join(texts, "u")
-    groups = rest.where(F.col("size") <= FULL).select("key", "u", "label").unionByName(_by_rarest(written(large, "large", size), counts, least))
+    member = written(buckets.select("key", "u", "size").join(labels, "u").join(meta.select("u", "n"), "u"), "members", size)
+    rest = written(_mixed(member), "mixed", size)
+    large = rest.where(~F.col("pairwise")).select("u", "label").distinct().join(texts, "u")
+    groups = rest.where("pairwise").select("key", "u", "label").unionByName(_by_rarest(written(large, "large", size), counts, least))
     groups = written(groups, "groups")
 
     def settled(new: DataFrame, checked: DataFrame) -> DataFrame:
@@ -545,8 +594,9 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     each = nodes.where("n > 0").select("u", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("pivot")).where("size > 1")
     buckets = written(each.join(shared, "key"), "buckets")
-    involved = nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep")
-    texts = base.join(involved, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
+    # Rows of one h have one text, so a hash of the id is enough to deal its copies, and rows that repeat are dropped where they were joined: texts move once.
+    involved = nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", "h", F.xxhash64("rep").alias("k"))
+    texts = base.select("h", F.xxhash64("i").alias("k"), "t").join(involved, ["h", "k"]).dropDuplicates(["h", "k"]).select("u", "t")
     texts = written(texts, "texts", n)
     links = _links(buckets, written(_bagged(texts), "bags", n), texts, counts, least)
     found = links.count()

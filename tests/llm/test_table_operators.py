@@ -6,6 +6,7 @@ import io
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -398,6 +399,49 @@ def test_bags_bound_the_edit_distance():
             assert 0 <= bound <= distance(t.tolist(), other.tolist())
 
 
+def test_fine_bags_bound_the_edit_distance_and_say_more():
+    rng = np.random.default_rng(9)
+    vocabulary = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    first = rng.choice(vocabulary, 800)
+    texts = [np.where(rng.random(800) < share, rng.choice(vocabulary, 800), first) for share in (0.0, 0.1, 0.3, 0.5, 1.0)] + [rng.choice(vocabulary, 129), np.repeat(vocabulary[:1], 70_000)]
+    bags, sums, row = near_dedup._fine_bags(pa.array([near_dedup.fine(t) for t in [*texts, first[:128]]], pa.binary()))
+    assert row.tolist() == [0, 1, 2, 3, 4, 5, 6, -1]
+    coarse = np.stack([np.frombuffer(near_dedup.bag(t), np.uint8) for t in texts])
+    plain = near_dedup._bounds(coarse[0], coarse, coarse.sum(1, dtype=np.int64))
+    bounds = near_dedup._bounds(bags[0], bags, sums)
+    for t, bound in zip(texts[:6], bounds[:6], strict=True):
+        assert 0 <= bound <= distance(first.tolist(), t.tolist())
+    # Unlike texts of frequent words pass the plain bound, but not this one.
+    assert (plain <= bounds).all() and plain[2] <= 160 < bounds[2]
+    assert bounds[6] <= 70_000
+
+
+def test_a_large_class_is_dealt_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_MOST", 16)
+    rows = [(1, u, 0) for u in range(400)] + [(1, 1000 + u, u) for u in range(1, 11)] + [(2, u, u % 3) for u in range(100)] + [(3, u, 5) for u in range(50)]
+    placed = near_dedup._placed(near_dedup._dealt(spark.createDataFrame(rows, "key long, u long, label long"))).collect()
+    # Every text of the large class meets the ten others once; a square of 410 rows in 26 parts had been 10,660.
+    assert sum(r["key"] == 1 for r in placed) == 400 + 10 * 26
+    assert not any(r["key"] == 3 for r in placed)
+    met = Counter()
+    blocks = {}
+    for r in placed:
+        blocks.setdefault((r["key"], min(r["part"], r["other"]), max(r["part"], r["other"])), []).append(r)
+    for (key, x, y), members in blocks.items():
+        for k, a in enumerate(members):
+            met.update((key, *sorted((a["u"], b["u"]))) for b in members[k + 1 :] if a["label"] != b["label"] and (x == y or a["part"] != b["part"]))
+    pairs = {(k, *sorted((u, v))) for k, u, a in rows for j, v, b in rows if k == j and a < b}
+    assert set(met) == pairs and set(met.values()) == {1}
+
+
+def test_buckets_of_few_mixed_pairs_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FULL", 4)
+    # Key 1: 20 texts of one class and two others: 41 mixed pairs, 66 words. Key 2: 20 classes: 190 pairs, 60 words. Key 3: one class. Key 4: few texts.
+    rows = [(1, u, 22, max(0, u - 19), 3) for u in range(22)] + [(2, u, 20, u, 3) for u in range(20)] + [(3, u, 9, 1, 3) for u in range(9)] + [(4, u, 3, u, 0) for u in range(3)]
+    found = near_dedup._mixed(spark.createDataFrame(rows, "key long, u long, size long, label long, n long")).collect()
+    assert Counter((r["key"], r["pairwise"]) for r in found) == {(1, True): 22, (2, False): 20, (4, True): 3}
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = odd_documents(spark)
     found = near_dedup.near_classes(docs).collect()
