@@ -65,6 +65,8 @@ _MOST, _RUN, _FEW = 4096, 64, 4
 _PARTNERS = 3
 #: Least keys of a text's groups by which repeated pairs are told from new ones.
 _FIRSTS = 32
+#: Bits (a power of 2) of a table that tells rows that are needed from most others, at most (4 MiB) and of each of its bitmaps.
+BITS, _MAP = 25, 15
 _BLOCK = 1 << 16
 #: Rows of a file of pairs that were aligned, which are dearer than others.
 _PAIRS = 5_000
@@ -341,6 +343,19 @@ def _bagged(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "u long, n long, bag binary, fine binary")
 
 
+def among(rows: DataFrame, keys: DataFrame, n: int, *of: str) -> DataFrame:
+    """``rows`` without most of those whose columns ``of`` are not in ``keys`` (``n`` rows at most), so that the join that follows moves few texts in vain.
+
+    Keys set bits in a table of 16 bits for each, ``BITS`` at most; a row stays if its bit is set, so none of the keys goes, and a few others stay.
+    """
+    bits = 1 << min(BITS, max(_MAP, (16 * max(1, n) - 1).bit_length()))
+    at = F.pmod(F.xxhash64(*of), F.lit(bits))
+    number, place = F.shiftright(at, _MAP), at % (1 << _MAP)
+    maps = keys.select(number.alias("__map"), place.alias("at")).groupBy("__map").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("__map", number).join(F.broadcast(maps), "__map").where(F.getbit(byte, (place % 8).cast("int")) == 1).select(rows.columns)
+
+
 def _possible(pairs: DataFrame, meta: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that neither lengths nor the bound on the edit distance rule out.  meta: u, n, bag."""
 
@@ -357,8 +372,8 @@ def _possible(pairs: DataFrame, meta: DataFrame, least: float) -> DataFrame:
     return full.where(near).select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, sim) of different pairs (a, b), a < b; sim is 0 under ``least``.  texts: u, t.
+def _verified(pairs: DataFrame, n: int, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim) of ``n`` different pairs (a, b), a < b; sim is 0 under ``least``.  texts: u, t.
 
     Rows of one a are dealt in runs of about ``_RUN`` partners behind a copy of its text, so a text of many partners is spread.
     """
@@ -382,7 +397,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / _RUN).cast("int").alias("parts"))
     dealt = pairs.join(sized, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
     heads = sized.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
-    full = dealt.unionByName(heads).join(texts.toDF("b", "t"), "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("u"))
+    full = dealt.unionByName(heads).join(among(texts, ends, 2 * n, "u").toDF("b", "t"), "b")
     ordered = full.repartition("a", "part").sortWithinPartitions("a", "part", F.col("a") < F.col("b"), "b")
     return ordered.select("a", "part", "b", "t").mapInArrow(run, "a long, b long, sim double")
 
@@ -538,14 +554,15 @@ def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, counts: np.nda
     stars = buckets.where("u > pivot").select(F.col("pivot").alias("a"), F.col("u").alias("b")).distinct()
     possible = written(_possible(stars, meta, least), "possible", size)
     met = possible.count()
-    checked = written(_verified(possible, texts, least), "checked", met, _PAIRS)
+    checked = written(_verified(possible, met, texts, least), "checked", met, _PAIRS)
     involved = buckets.select("u").distinct()
     labels = written(_labels(involved, checked.where("sim > 0"), met), "classes", size)
 
     # The rest: buckets of several classes.
     member = written(buckets.select("key", "u", "size").join(labels, "u").join(meta.select("u", "n"), "u"), "members", size)
     rest = written(_mixed(member), "mixed", size)
-    large = rest.where(~F.col("pairwise")).select("u", "label").distinct().join(texts, "u")
+    large = written(rest.where(~F.col("pairwise")).select("u", "label").distinct(), "of-large", size)
+    large = large.join(among(texts, large, large.count(), "u"), "u")
     groups = rest.where("pairwise").select("key", "u", "label").unionByName(_by_rarest(written(large, "large", size), counts, least))
     groups = written(groups, "groups")
 
@@ -556,13 +573,15 @@ def _links(buckets: DataFrame, meta: DataFrame, texts: DataFrame, counts: np.nda
         # A few pairs of each two classes first: they mostly make them one.
         best = new.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi"), F.pmod(F.xxhash64("a", "b"), F.lit(_FEW)).alias("k")).agg(F.min(F.struct("a", "b")).alias("p"))
         some = written(best.select("p.a", "p.b"), "some", open_)
-        some = written(_verified(some, texts, least), "checked", some.count(), _PAIRS)
+        few = some.count()
+        some = written(_verified(some, few, texts, least), "checked", few, _PAIRS)
         links = some.where("sim > 0").select("a", "b").join(new, ["a", "b"])
         merged = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), open_)
         for c in ("la", "lb"):
             new = new.join(merged.toDF(c, "top"), c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
         others = written(new.where("la <> lb").select("a", "b").join(some.select("a", "b"), ["a", "b"], "left_anti"), "others", open_)
-        return checked.unionByName(some).unionByName(written(_verified(others, texts, least), "checked", others.count(), _PAIRS))
+        many = others.count()
+        return checked.unionByName(some).unionByName(written(_verified(others, many, texts, least), "checked", many, _PAIRS))
 
     # The most alike partners of each text first; only groups that have others are looked at again, with the classes that these made.
     first = written(_across(groups, meta, least, groups.count(), _PARTNERS), "partners")
@@ -594,8 +613,11 @@ def near_classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
     each = nodes.where("n > 0").select("u", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("pivot")).where("size > 1")
     buckets = written(each.join(shared, "key"), "buckets")
-    involved = nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep")
-    texts = base.join(involved, (F.col("h") == F.col("uh")) & F.col("i").eqNullSafe(F.col("rep"))).dropDuplicates(["h", "i"]).select("u", "t")
+    involved = written(nodes.join(buckets.select("u").distinct(), "u", "left_semi").select("u", F.col("h").alias("uh"), "rep"), "involved", n)
+    # Dealt by the text's hash alone, so that repeated rows meet without another shuffle; of equal texts only the rows of the least id are moved.
+    same = F.coalesce(F.col("i") == F.col("rep"), F.col("i").isNull() & F.col("rep").isNull())
+    texts = among(base, involved.select(F.col("rep").alias("i"), F.col("uh").alias("h")), involved.count(), "i", "h")
+    texts = texts.join(involved, (F.col("h") == F.col("uh")) & same).dropDuplicates(["h"]).select("u", "t")
     texts = written(texts, "texts", n)
     links = _links(buckets, written(_bagged(texts), "bags", n), texts, counts, least)
     found = links.count()

@@ -783,3 +783,24 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, sf):
 
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [*(f"op{i}" for i in range(1, 13)), "pipeline"]
+
+
+def test_texts_that_no_join_needs_are_not_moved(spark):
+    rows = [(i, f"text {i}") for i in range(5000)] + [(None, "text 1"), (None, "other"), (7, "text 7")]
+    table = spark.createDataFrame(rows, "i long, t string").withColumn("h", F.unhex(F.md5("t")))
+    wanted = [*rows[:5000:50], (None, "other"), (7, "text 7")]
+    keys = spark.createDataFrame(wanted, table.select("i", "t").schema).select("i", F.unhex(F.md5("t")).alias("h"))
+    for n in (len(wanted), 1, 1 << 40):
+        left = near_dedup.among(table, keys, n, "i", "h")
+        assert left.columns == table.columns
+        # None of the keys goes, and repeated rows all stay.
+        assert {(r["i"], r["t"]) for r in left.collect()} >= set(wanted)
+        assert left.where("i = 7").count() == 2
+    assert near_dedup.among(table, keys, len(wanted), "i", "h").count() < 700
+    assert near_dedup.among(table, keys.where("false"), 0, "i", "h").count() == 0
+
+
+def test_equal_texts_of_odd_ids_are_one_text(spark):
+    rows = [(None, "one two three four five"), (None, "one two three four five"), (None, "one two three four six"), (4, "one two three four six"), (4, "one two three four six"), (9, "one two three four six")]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and {r["class_size"] for r in got} == {6} and {r["links"] for r in got} == {1} and {r["class_id"] for r in got} == {4}
