@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from jobs.common import command_line
 from strandloom.operators import ranges
 from strandloom.sources import catalog
+from strandloom.sources.shared import written
 
 log = logging.getLogger("build_subjects")
 
@@ -53,7 +54,7 @@ class Settings:
 def subjects(docs: DataFrame, excluded: DataFrame | None, s: Settings) -> DataFrame:
     """(oid, subject_id, residues, length, hash, taxid, cased) of the texts with letters that are not left out."""
     taxid = F.regexp_extract(F.col(s.taxid_from), "([0-9]+)$", 1).try_cast("int") if s.taxid_from else F.lit(None).cast("int")
-    cased = F.regexp_replace(F.coalesce(F.col(s.text), F.lit("")), "[^A-Za-z]", "")
+    cased = F.regexp_replace(F.coalesce(F.col(s.text), F.lit("")), "[^A-Za-z]+", "")
     rows = docs.where(F.col(s.doc_id).isNotNull()).select(F.col(s.doc_id).alias("oid"), F.col(s.doc_id).cast("string").alias("subject_id"), cased.alias("cased"), F.coalesce(taxid, F.lit(0)).alias("taxid"))
     rows = rows.withColumn("residues", F.upper("cased")).withColumn("length", F.length("residues")).where(F.col("length") >= max(1, s.least_length))
     return catalog.with_hash(catalog.restricted(rows, exclude=excluded))
@@ -70,24 +71,23 @@ def run(spark: SparkSession, documents: str, out: str, excluded: str | None = No
     docs = spark.read.parquet(documents)
     left_out = spark.read.parquet(excluded).select(F.col(s.doc_id).cast("string").alias("subject_id")) if excluded else None
     rows = subjects(docs, left_out, s)
-    heads = representatives(rows)
-
-    # Volumes follow from ids and lengths; the residues move once, into their volume.
-    # Rows that repeat an id and its text are one subject.
-    own = rows.join(heads, ["hash", "oid"])
-    placed = ranges.numbered(own.groupBy("oid", "hash").agg(F.max("length").cast("long").alias("len")), "oid", "hash", weight="len")
-    placed = placed.select("oid", "hash", F.floor(F.col("before") / s.volume_residues).cast("int").alias("volume"))
-    least = own.groupBy("oid", "hash").agg(F.min(F.struct("cased", "taxid", "subject_id", "residues", "length", "members")).alias("x"))
-    whole = least.select("oid", "hash", "x.*").join(placed, ["oid", "hash"])
-    key = F.struct("oid", "hash")
-    masks = ranges.lower_case_masks(whole.select(key.alias("k"), F.col("cased").alias("text")), key="k").where(F.col("to") - F.col("from") >= s.least_mask)
-    masks = masks.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("masks")).select("k.*", "masks")
-    whole = whole.join(masks, ["oid", "hash"], "left").withColumn("masks", F.coalesce("masks", F.array().cast("array<struct<from:int,to:int>>")))
+    # Hashes, ids and lengths say which row is which subject, and where; letters are gathered once for them and once for the table itself.
+    known = written(rows.select("oid", "subject_id", "hash", F.col("length").cast("long").alias("len")), "sequences")
+    heads = representatives(known)
+
+    # Volumes follow from ids and lengths; rows that repeat an id and its text are one subject.
+    own = known.join(heads, ["hash", "oid"]).groupBy("oid", "hash").agg(F.max("len").alias("len"), F.max("members").alias("members"))
+    placed = ranges.numbered(own, "oid", "hash", weight="len")
+    placed = placed.select("oid", "hash", "members", F.floor(F.col("before") / s.volume_residues).cast("int").alias("volume"))
+    whole = rows.select("oid", "hash", "cased", "taxid").join(placed, ["oid", "hash"])
+    whole = whole.groupBy("oid", "hash").agg(F.min(F.struct("cased", "taxid")).alias("x"), F.first("members").alias("members"), F.first("volume").alias("volume"))
+    whole = ranges.with_lower_case(whole.select("oid", "hash", "x.*", "members", "volume"), least=s.least_mask)
+    whole = whole.select("*", F.col("oid").cast("string").alias("subject_id"), F.upper("cased").alias("residues"), F.length("cased").alias("length"))
     table = whole.select("oid", "subject_id", "residues", "length", "hash", "taxid", "members", "masks", "volume")
     table.repartition("volume").sortWithinPartitions("volume", "length", "oid").write.mode("overwrite").partitionBy("volume").parquet(f"{out}/subjects")
     back = spark.read.schema(table.schema).parquet(f"{out}/subjects")
 
-    ids = rows.select("subject_id", "hash").distinct().join(heads.select("hash", "oid"), "hash").select("subject_id", "oid", "hash")
+    ids = known.select("subject_id", "hash").distinct().join(heads.select("hash", "oid"), "hash").select("subject_id", "oid", "hash")
     ids = ids.withColumn("bucket", F.pmod(F.xxhash64("subject_id"), F.lit(s.buckets)).cast("int"))
     ids.repartition("bucket").sortWithinPartitions("bucket", "subject_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/ids")
     volumes = back.groupBy("volume").agg(F.count("*").alias("subjects"), F.sum("length").alias("residues"), F.min("length").alias("shortest"), F.max("length").alias("longest"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,6 +67,31 @@ def lower_case_masks(seqs: DataFrame, *, key: str = "oid", text: str = "text") -
     return rows.where(F.col("part").rlike("^[a-z]")).select(key, "from", (F.col("from") + F.length("part")).alias("to"))
 
 
+def with_lower_case(rows: DataFrame, *, text: str = "cased", least: int = 1) -> DataFrame:
+    """``rows`` with the runs of at least so many lower-case letters of a text of ASCII letters, as an array ``masks`` of (from, to): made where the row is, without a row for each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(text)
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+            lower = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] >= ord("a")
+            at = at - at[0]
+            edge = np.zeros(len(lower) + 1, bool)
+            edge[at] = True
+            edge[1:-1] |= lower[1:] != lower[:-1]
+            cut = np.flatnonzero(edge)
+            begin, end = cut[:-1], cut[1:]
+            kept = lower[begin] & (end - begin >= least)
+            begin, end = begin[kept], end[kept]
+            own = np.searchsorted(at, begin, "right") - 1
+            found = pa.StructArray.from_arrays([pa.array((x - at[own]).astype(np.int32)) for x in (begin, end)], ["from", "to"])
+            masks = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, at).astype(np.int32)), found)
+            yield pa.RecordBatch.from_arrays([*b.columns, masks], [*b.schema.names, "masks"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, masks array<struct<from:int,to:int>>")
+
+
 def attached(subjects: DataFrame, masks: DataFrame) -> DataFrame:
     """``subjects`` with masks (oid, algorithm_id, from, to) as an array, checked against the lengths.
 

@@ -71,3 +71,14 @@ def test_entry_works_without_the_libraries_of_the_text_operators():
     code = "import sys; sys.modules['tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op1') for n in q), set(e.oracle_sql()) <= set(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
     assert out.stdout.split()[1:] == ["False", "True"] and int(out.stdout.split()[0]) >= 53, out.stderr
+
+
+def test_lower_case_runs_where_the_rows_are(spark):
+    texts = ["aB", "abc", "ABC", "aabbCCddE", "x" * 40 + "Y" + "z" * 12, "Zz", "z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "oid long, cased string").repartition(2)
+    for least in (1, 2, 12):
+        want = {(r["oid"], r["from"], r["to"]) for r in ranges.lower_case_masks(rows, text="cased").collect() if r["to"] - r["from"] >= least}
+        got = ranges.with_lower_case(rows, least=least).collect()
+        assert {(r["oid"], m["from"], m["to"]) for r in got for m in r["masks"]} == want
+        assert {(r["oid"], r["cased"]) for r in got} == set(enumerate(texts))
+    assert ranges.with_lower_case(rows.where("false")).count() == 0
