@@ -100,3 +100,11 @@ def test_inputs_are_checked(spark, tmp_path):
     for path, molecule, error in (("p.fa", "nucleotide", ValueError), ("none.fa", "protein", ValueError), ("lost.fa", "protein", FileNotFoundError), ("p.fa", "rna", ValueError)):
         with pytest.raises(error):
             fasta.checked_input(spark, f"{tmp_path}/{path}", molecule)
+
+
+def test_gathered_letters_are_those_of_subjects(spark):
+    texts = ["ab C1d", "", None, "é", "Straße Ünï x", "12 3", "[@`{|}^_] zZaA", "😀 a😀B"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "no id"), (0, "ab")], "doc_id long, text string").repartition(3)
+    got = sorted((str(r["oid"]), r["residues"]) for r in catalog.gathered(docs).collect())
+    assert got == sorted((str(r["oid"]), r["residues"]) for r in catalog.subjects_of(docs).collect())
+    assert ("4", "STRAENX") in got and catalog.gathered(docs.where("false")).count() == 0
